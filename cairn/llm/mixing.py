@@ -18,6 +18,8 @@ from cairn.llm._common import SPACE_WORD, Scratch, table
 WEIGHTS, SHARE, COPIES = (3.0, 1.0, 2.0), 1.5, 2
 #: Newton stops when every source is within this share of its target; then buckets of the rounding threshold.
 CLOSE, STEPS, BUCKETS, FILLS = 1e-6, 25, 4096, 3
+#: Sources whose one row each is broadcast to the documents; more are joined by a shuffle, whose skew Spark splits.
+BROADCAST_SOURCES = 100_000
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -45,7 +47,13 @@ def _rate(size: Column) -> Column:
     return COPIES / (1 + F.exp(-F.col("lambda") * size / F.col("mean")))
 
 
-def balance(scratch: Scratch, histogram: DataFrame, due: DataFrame) -> DataFrame:
+def _by_source(rows: DataFrame, facts: DataFrame, few: bool, how: str = "inner") -> DataFrame:
+    """Rows with the facts of their source; a null source matches a null source. The facts' other names must be new."""
+    facts = facts.withColumnRenamed("source", "f_source")
+    return rows.join(F.broadcast(facts) if few else facts, F.col("source").eqNullSafe(F.col("f_source")), how).drop("f_source")
+
+
+def balance(scratch: Scratch, histogram: DataFrame, due: DataFrame, few: bool) -> DataFrame:
     """The multiplier of each source: safeguarded Newton steps on the dual, all sources at once.
 
     A source at its bound has no finite multiplier: its documents all get ``COPIES``. One without words gets 0. A step
@@ -61,7 +69,7 @@ def balance(scratch: Scratch, histogram: DataFrame, due: DataFrame) -> DataFrame
     )
     state = scratch.save(state.coalesce(1), "step0")
     for i in range(1, STEPS + 1):
-        one = histogram.withColumnRenamed("source", "h").join(state, F.col("h").eqNullSafe(F.col("source")))
+        one = _by_source(histogram, state, few)
         words = F.col("n") * F.col("size")
         r = _rate(F.col("size"))
         sums = one.groupBy(*(F.col(c) for c in state.columns)).agg(
@@ -80,21 +88,20 @@ def balance(scratch: Scratch, histogram: DataFrame, due: DataFrame) -> DataFrame
     return state.select("source", "source_size", "target", "mean", "free", "lambda")
 
 
-def _fill(docs: DataFrame, first: bool) -> DataFrame:
+def _fill(docs: DataFrame, first: bool, few: bool) -> DataFrame:
     """One more copy for documents in order of ``key`` while a source's words stay within its target.
 
     The order is cut at a bucket by sums of whole buckets; a window runs only over each source's cut bucket.
     ``first``: else only documents that fit what is left take part, so that the cut can skip large ones.
     """
     left = docs.groupBy("source", "target").agg(F.sum(F.col("copies") * F.col("size")).alias("have"))
-    left = left.select(F.col("source").alias("l_source"), F.greatest(F.col("target") - F.col("have"), F.lit(0.0)).alias("left"))
-    d = docs.join(left, F.col("source").eqNullSafe(F.col("l_source"))).drop("l_source")
+    d = _by_source(docs, left.select("source", F.greatest(F.col("target") - F.col("have"), F.lit(0.0)).alias("left")), few)
     may = (F.col("copies") < COPIES) & (F.col("size") > 0) & (F.lit(True) if first else F.col("size") <= F.col("left"))
     d = d.withColumn("bucket", F.when(may, F.floor((F.col("key") + 1) / 2 * BUCKETS)))
     sums = d.filter("bucket IS NOT NULL").groupBy("source", "bucket", "left").agg(F.sum("size").alias("words"))
     upto = F.sum("words").over(W.partitionBy("source").orderBy("bucket"))
     cut = sums.withColumn("upto", upto).filter("upto > left").groupBy("source").agg(F.min_by(F.struct("bucket", (F.col("upto") - F.col("words")).alias("before")), "bucket").alias("cut"))
-    d = d.join(cut.withColumnRenamed("source", "c_source"), F.col("source").eqNullSafe(F.col("c_source")), "left").drop("c_source")
+    d = _by_source(d, cut, few, "left")
     whole = F.coalesce(F.col("bucket") < F.col("cut.bucket"), F.col("bucket").isNotNull())
     at_cut = d.filter(F.col("bucket") == F.col("cut.bucket"))
     run = F.sum("size").over(W.partitionBy("source").orderBy("key", "row_id").rowsBetween(W.unboundedPreceding, 0))
@@ -116,15 +123,16 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text
     sizes = scratch.save(own, "sizes")
     histogram = scratch.save(sizes.groupBy("source", "size").agg(F.count("*").alias("n")), "histogram")
     due = targets(histogram.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")))
-    state = balance(scratch, histogram, due)
+    few = histogram.select("source").distinct().count() <= BROADCAST_SOURCES
+    state = balance(scratch, histogram, due, few)
     unit = F.pmod(F.xxhash64("row_id", F.lit("round")), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    rated = sizes.withColumnRenamed("source", "d_source").join(state, F.col("d_source").eqNullSafe(F.col("source")))
+    rated = _by_source(sizes, state, few)
     rate = F.when(F.col("free"), _rate(F.col("size"))).otherwise(F.lit(float(COPIES)))
     rated = rated.select("doc_id", "source", "size", "row_id", "source_size", "target", rate.alias("rate"))
     start = rated.withColumns({"copies": F.floor("rate").cast("int"), "key": unit - (F.col("rate") - F.floor("rate"))})
     filled = start
     for i in range(FILLS):
-        filled = scratch.save(_fill(filled, i == 0), f"fill{i}")
+        filled = scratch.save(_fill(filled, i == 0, few), f"fill{i}")
         if i:
             scratch.drop(f"fill{i - 1}")
     return filled.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
