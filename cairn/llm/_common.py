@@ -40,6 +40,13 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def settle(self) -> None:
+        """Lets Spark's cleaner drop the shuffle files of plans that have been written and are out of use.
+
+        The cleaner acts when the driver collects its garbage, which a driver with little to do seldom does.
+        """
+        self.spark._jvm.System.gc()
+
     def drop(self, name: str) -> None:
         """Frees a table which no DataFrame still in use reads."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")

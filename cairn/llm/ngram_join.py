@@ -1,14 +1,16 @@
 """N-gram Jaccard join: a blocked sparse product of the document by n-gram incidence.
 
 Rows of the incidence are documents, columns are hashed word 5-grams. Two documents with Jaccard >= 3/4 share a column among
-the first n - ceil(3n/4) + 1 of each in any common order of columns, so only these *leading* columns take part in the
-product; Spark's shuffle by column makes the blocks. Overlap counts add up over columns, and a pair is
-dropped once its count plus what may remain after the leading columns stays below the overlap that its two sizes ask for.
-The few pairs left are settled on whole sets.
-
-Hot columns: the order puts the most frequent columns last, so that a passage which many documents share leads in
-none of them. Hot groups: equal sets meet by a digest, and every column first links its documents to one pivot (a
-number of pairs that is linear in the entries); pairs are then only formed between different components.
+the first n - ceil(3n/4) + 1 of each in any common order of columns, so only these *leading* columns take part in a
+product; Spark's shuffle by column makes the blocks. Shared columns add up to overlap counts, and pairs are dropped
+once what can still be shared stays below the overlap that their two sizes ask for. Three steps, each exact:
+
+1. In the order of hashes, find the columns that lead in two documents or more. Others cannot link anything.
+2. Equal sets meet by a digest, and each column links its documents to one pivot, as many pairs as entries.
+   Those that hold on whole sets join most of every group of copies.
+3. For documents that still share a column with another component: order columns by their frequency, rarest first. Then
+   a passage that many documents share leads in none of them, and a copy with many changes is led by its own
+   changes. A pair meets at its first common column only if enough columns follow it in both; it is settled on whole sets.
 """
 
 from __future__ import annotations
@@ -19,13 +21,14 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairn.llm._common import Scratch, table
 from cairn.llm.components import components
 
-#: Words in an n-gram. Columns in more than FREQUENT leading sets go last, at most FREQUENT_MOST of them (1.6 MB).
-WIDTH, FREQUENT, FREQUENT_MOST = 5, 32, 200_000
+#: Words in an n-gram.
+WIDTH = 5
 #: Ids that are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
@@ -76,41 +79,44 @@ def _features(doc_id: int, text: bytes | None, seen: set) -> list:
     return [doc_id, len(s), key, s[: lead(len(s))] if first else s[:0]]
 
 
-_IDS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("columns", pa.list_(pa.int64()))])
-
-
-def _sets(docs: DataFrame, ids: DataFrame, make: Callable) -> DataFrame:
-    """make() over the documents whose id is in ``ids`` (one column, doc_id, distinct)."""
-    few = ids.count() <= BROADCAST_ROWS
-    some = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    return some.mapInArrow(_per_batch(make, _IDS), "doc_id long, n long, columns array<long>")
+_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("uid", pa.int64()), ("columns", pa.list_(pa.int64()))])
 
 
 def _whole(doc_id: int, text: bytes | None, seen: set) -> list:
     s = shingle_set(text)
-    return [doc_id, len(s), s]
+    return [doc_id, len(s), xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63, s]
 
 
-def _linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Whole sets of the documents whose id is in ``ids`` (one column, doc_id, distinct)."""
+    few = ids.count() <= BROADCAST_ROWS
+    some = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    return some.mapInArrow(_per_batch(_whole, _SETS), "doc_id long, n long, uid long, columns array<long>")
+
+
+def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) whose whole sets have Jaccard >= 3/4."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = _sets(docs, ids, _whole)
     one = lambda x: sets.select(F.col("doc_id").alias(x), F.col("columns").alias(f"s{x}"))
     both = pairs.select("a", "b").join(one("a"), "a").join(one("b"), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.filter(100 * shared >= 75 * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
 
-def _enough(shared, na, nb):
-    """The size-derived bound: shared leading columns, and all that may follow them, reach the overlap asked for."""
-    rest = F.greatest(F.floor((3 * na + 3) / 4), F.floor((3 * nb + 3) / 4)) - 1
-    return shared + rest >= F.ceil(3 * (na + nb) / 7)
+def _asked(na, nb):
+    """The overlap that Jaccard >= 3/4 asks of two sizes."""
+    return F.ceil(3 * (na + nb) / 7)
 
 
 def _near(na, nb):
+    """Sizes that can reach it at all."""
     return 4 * F.least(na, nb) >= 3 * F.greatest(na, nb)
 
 
+def _leads(n):
+    """The number of leading columns, as ``lead``."""
+    return n - F.floor((3 * n + 3) / 4) + 1
+
+
 def ngram_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id: one row per input row.
 
@@ -123,58 +129,53 @@ def ngram_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("columns", pa.list_(pa.int64()))])
     first = scratch.save(own.mapInArrow(_per_batch(_features, schema), "doc_id long, n long, key binary, columns array<long>"), "first")
-
-    # The order of columns: by hash, the frequent ones last. Documents led by a frequent one get new leading columns.
     known = first.filter("doc_id IS NOT NULL")
-    counted = known.select(F.explode("columns").alias("c")).groupBy("c").count().filter(F.col("count") > FREQUENT)
-    frequent = np.sort(np.array([r[0] for r in counted.orderBy(F.desc("count"), "c").limit(FREQUENT_MOST).collect()], np.int64)).view(np.uint64)
-    frequent.sort()
 
-    def led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(1)
-            hit = np.concatenate([[0], np.cumsum(np.isin(lists.flatten().to_numpy().view(np.uint64), frequent))])
-            ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-            yield batch.select([0]).filter(pa.array(hit[ends[1:]] > hit[ends[:-1]]))
-
-    def again(doc_id: int, text: bytes | None, seen: set) -> list:
-        s = shingle_set(text)
-        last = np.isin(s, frequent, assume_unique=True)
-        return [doc_id, len(s), np.concatenate([s[~last], s[last]])[: lead(len(s))]]
-
-    with_columns = known.filter(F.size("columns") > 0)
-    if len(frequent):
-        moved = scratch.save(with_columns.select("doc_id", "columns").mapInArrow(led, "doc_id long").distinct(), "moved")
-        few = moved.count() <= BROADCAST_ROWS
-        stay = with_columns.join(F.broadcast(moved) if few else moved, "doc_id", "left_anti").select("doc_id", "n", "columns")
-        leading = stay.unionByName(_sets(own.filter("doc_id IS NOT NULL"), moved, again))
-    else:
-        leading = with_columns.select("doc_id", "n", "columns")
-    entries = leading.select("doc_id", "n", F.explode("columns").alias("c"))
-    entries = scratch.save(entries, "entries") if len(frequent) else entries
-    shared = scratch.save(entries.join(entries.groupBy("c").count().filter("count > 1").select("c"), "c"), "shared")
-    if len(frequent):
-        scratch.drop("entries")
-
-    # Equal sets, then each column's pivot: links that join most of every group, linear in the entries.
-    same = known.filter("key IS NOT NULL").select("key", "doc_id").join(known.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("b"), F.count("*").alias("m")).filter("m > 1"), "key")
+    # 1. Columns that lead in two documents or more, by the order of hashes.
+    entries = known.select("doc_id", "n", F.explode("columns").alias("c"))
+    often = entries.groupBy("c").count().filter("count > 1").select("c")
+    shared = scratch.save(entries.join(often, "c"), "shared")
+    scratch.settle()
+
+    # 2. Equal sets, and one pivot a column: the document with the largest part of its leading columns shared.
+    keyed = known.filter("key IS NOT NULL").select("key", "doc_id")
+    same = keyed.join(keyed.groupBy("key").agg(F.min("doc_id").alias("b"), F.count("*").alias("m")).filter("m > 1"), "key")
     links = same.select(F.col("doc_id").alias("a"), "b").filter("a <> b")
-    pivot = shared.groupBy("c").agg(F.min(F.struct("doc_id", "n")).alias("p"))
-    star = shared.join(pivot, "c").filter((F.col("doc_id") != F.col("p.doc_id")) & _near(F.col("n"), F.col("p.n")))
-    star = star.groupBy(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("p.doc_id").alias("b"), F.col("p.n").alias("nb")).agg(F.count("*").alias("shared"))
-    star = star.filter(_enough(2 * F.col("shared"), F.col("na"), F.col("nb"))).groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
-    links = scratch.save(links.unionByName(_linked(own, scratch.save(star, "star"))), "links")
+    part_shared = F.round(F.count("*") / _leads(F.col("n")), 3)
+    weighed = shared.join(shared.groupBy("doc_id", "n").agg(part_shared.alias("w")), ["doc_id", "n"])
+    pivots = weighed.groupBy("c").agg(F.max(F.struct("w", (-F.col("doc_id")).alias("m"), "n")).alias("p"))
+    star = shared.join(pivots.select("c", (-F.col("p.m")).alias("b"), F.col("p.n").alias("nb")), "c")
+    star = star.filter((F.col("doc_id") != F.col("b")) & _near(F.col("n"), F.col("nb")))
+    star = star.groupBy(F.col("doc_id").alias("a"), F.col("n").alias("na"), "b", "nb").agg(F.count("*").alias("shared"))
+    rest = F.greatest("na", "nb") - _leads(F.greatest("na", "nb"))
+    star = star.filter(2 * F.col("shared") + rest >= _asked(F.col("na"), F.col("nb"))).groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
+    star = scratch.save(star, "star")
+    sets = scratch.save(_sets(own, star.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()), "star_sets")
+    links = scratch.save(links.unionByName(_linked(star, sets)), "links")
+    scratch.drop("star_sets")
+    scratch.settle()
     part = components(scratch, links, "part")
 
-    # All pairs that share leading columns and are not yet in one component.
-    placed = shared.join(part, F.col("doc_id") == F.col("node"), "left").select("c", "doc_id", "n", F.coalesce("component", "doc_id").alias("g"))
-    placed = scratch.save(placed, "placed")
+    # 3. Documents that share a column with another component: whole sets, columns by frequency among them.
+    placed = shared.join(part, F.col("doc_id") == F.col("node"), "left").select("c", "doc_id", F.coalesce("component", "doc_id").alias("g"))
     mixed = placed.groupBy("c").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo <> hi").select("c")
-    side = placed.join(mixed, "c")
-    a, b = side.select("c", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("g").alias("ga")), side.select("c", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("g").alias("gb"))
-    pairs = a.join(b, (a["c"] == b["c"]) & (F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & _near(F.col("na"), F.col("nb")))
-    pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared")).filter(_enough(F.col("shared"), F.col("na"), F.col("nb")))
-    more = scratch.save(_linked(own, scratch.save(pairs.select("a", "b"), "pairs")), "more")
+    left = scratch.save(placed.join(mixed, "c").select("doc_id", "g").distinct(), "left")
+    scratch.drop("shared")
+    sets = scratch.save(_sets(own, left.select("doc_id")), "sets")
+    scratch.settle()
+    entries = sets.select("doc_id", "n", "uid", F.explode("columns").alias("c"))
+    known_columns = entries.groupBy("c").agg(F.count("*").alias("df")).filter("df > 1")
+    of = W.partitionBy("doc_id", "n", "uid")
+    place = F.col("n") - F.count("*").over(of) + F.row_number().over(of.orderBy("df", "c")) - 1
+    leading = entries.join(known_columns, "c").select("doc_id", "n", "c", place.alias("i")).filter(F.col("i") < _leads(F.col("n")))
+    leading = scratch.save(leading.join(left, "doc_id"), "leading")
+    scratch.settle()
+    mixed = leading.groupBy("c").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo <> hi").select("c")
+    side = leading.join(mixed, "c")
+    a, b = (side.select(F.col("c").alias(f"c{x}"), F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("i").alias(f"i{x}"), F.col("g").alias(f"g{x}")) for x in "ab")
+    enough = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= _asked(F.col("na"), F.col("nb"))
+    pairs = a.join(b, (F.col("ca") == F.col("cb")) & (F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & _near(F.col("na"), F.col("nb")) & enough)
+    more = scratch.save(_linked(scratch.save(pairs.select("a", "b").distinct(), "pairs"), sets), "more")
     groups = components(scratch, links.unionByName(more), "all") if more.take(1) else part
     out = first.join(groups, F.col("doc_id") == F.col("node"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
