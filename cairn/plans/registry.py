@@ -1,7 +1,33 @@
-"""Queries by name, and their SQL."""
+"""Queries by name and their SQL: plan modules add theirs by ``query``."""
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
+from collections.abc import Callable
+from importlib import import_module
+
+from pyspark.sql import DataFrame, SparkSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+FLAGSHIP = "h1_recall_by_document"
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a function under its name, with the SQL that gives the same rows, if SQL can."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def load() -> None:
+    for name in ("ingest", "retrieval", "facts", "gates", "turns", "metrics"):
+        import_module(f"cairn.plans.{name}")
+
+
+load()
