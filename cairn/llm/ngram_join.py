@@ -1,16 +1,18 @@
 """N-gram Jaccard join: a blocked sparse product of the document by n-gram incidence.
 
-Rows of the incidence are documents, columns are hashed word 5-grams. Two documents with Jaccard >= 3/4 share a column among
-the first n - ceil(3n/4) + 1 of each in any common order of columns, so only these *leading* columns take part in a
-product; Spark's shuffle by column makes the blocks. Shared columns add up to overlap counts, and pairs are dropped
-once what can still be shared stays below the overlap that their two sizes ask for. Three steps, each exact:
+Rows of the incidence are documents, columns are hashed word 5-grams. Two documents with Jaccard >= 3/4 share 1 + k columns
+among the first n - ceil(3n/4) + 1 + k of each in any common order of columns, so only these *leading* columns take part in
+a product; Spark's shuffle by column makes the blocks. Shared columns add up to overlap counts, and what stays below
+the overlap that sizes ask for is dropped. Three steps, each exact:
 
-1. In the order of hashes, find the columns that lead in two documents or more. Others cannot link anything.
+1. In the order of hashes, with k = n/10, find the columns that lead in two documents or more. A document with fewer of
+   them than 1 + k of the smallest partner that its size allows links with nothing.
 2. Equal sets meet by a digest, and each column links its documents to one pivot, as many pairs as entries.
    Those that hold on whole sets join most of every group of copies.
 3. For documents that still share a column with another component: order columns by their frequency, rarest first. Then
    a passage that many documents share leads in none of them, and a copy with many changes is led by its own
    changes. A pair meets at its first common column only if enough columns follow it in both; it is settled on whole sets.
+   A few rounds in which each document meets few others come first; at last all pairs of different components meet.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from cairn.llm.components import components
 
 #: Words in an n-gram.
 WIDTH = 5
+#: Rounds in which a document meets at most so many others, before all that are left meet.
+ROUNDS, MEETINGS = 3, 3
 #: Ids that are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
@@ -53,8 +57,8 @@ def _lists(sets: list[np.ndarray]) -> pa.Array:
 
 
 def lead(n: int) -> int:
-    """How many columns lead in a document of n."""
-    return n - (3 * n + 3) // 4 + 1 if n else 0
+    """How many columns lead in a document of n, by hash."""
+    return n - (3 * n + 3) // 4 + 1 + n // 10 if n else 0
 
 
 def _per_batch(make: Callable[[int, bytes | None, set], list | None], schema: pa.Schema) -> Callable:
@@ -113,10 +117,55 @@ def _near(na, nb):
 
 
 def _leads(n):
-    """The number of leading columns, as ``lead``."""
+    """The number of leading columns with k = 0."""
     return n - F.floor((3 * n + 3) / 4) + 1
 
 
+def _able(entries: DataFrame) -> DataFrame:
+    """The entries (doc_id, n, c) of documents that have enough of them to link with any partner: 1 + k of 3/4 their size."""
+    counts = entries.groupBy("doc_id", "n").agg(F.count("*").alias("have")).filter(F.col("have") >= 1 + F.floor(3 * F.col("n") / 40))
+    return entries.join(counts.select("doc_id", "n"), ["doc_id", "n"], "left_semi")
+
+
+def _mixed(leading: DataFrame, groups: DataFrame) -> DataFrame:
+    """Entries (doc_id, n, c, i, g) of columns that more than one component has."""
+    own = leading.join(groups, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n", "c", "i", F.coalesce("component", "doc_id").alias("g"))
+    mixed = own.groupBy("c").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo <> hi").select("c")
+    return own.join(mixed, "c")
+
+
+def _may(x: str, y: str):
+    """Two entries of one column may be the first that a pair has in common: another component, and enough columns after both."""
+    n, m = F.col(f"n{x}"), F.col(f"n{y}")
+    return (F.col(f"g{x}") != F.col(f"g{y}")) & _near(n, m) & (F.least(n - F.col(f"i{x}"), m - F.col(f"i{y}")) >= _asked(n, m))
+
+
+def _side(entries: DataFrame, x: str) -> DataFrame:
+    return entries.select(F.col("c").alias(f"c{x}"), F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("i").alias(f"i{x}"), F.col("g").alias(f"g{x}"))
+
+
+def _meetings(entries: DataFrame) -> DataFrame:
+    """All pairs (a, b) of different components that may link."""
+    a, b = _side(entries, "a"), _side(entries, "b")
+    return a.join(b, (F.col("ca") == F.col("cb")) & (F.col("a") < F.col("b")) & _may("a", "b")).select("a", "b").distinct()
+
+
+def _first_meetings(entries: DataFrame) -> DataFrame:
+    """At most MEETINGS pairs a document, from its rarest columns: with the foremost document of the column's foremost component, or of the next.
+
+    Their links join what is near in most groups, so that few pairs are left for ``_meetings``.
+    """
+    best = entries.groupBy("c", "g").agg(F.min(F.struct("i", "doc_id", "n")).alias("p"))
+    one = best.groupBy(F.col("c").alias("c1")).agg(F.min(F.struct("p", "g")).alias("p1"))
+    rest = best.join(one, F.col("c") == F.col("c1")).filter(F.col("g") != F.col("p1.g"))
+    two = rest.groupBy("c", "p1").agg(F.min(F.struct("p", "g")).alias("p2")).withColumnRenamed("c", "cb")
+    met = _side(entries, "a").join(two, F.col("ca") == F.col("cb")).withColumn("q", F.when(F.col("ga") != F.col("p1.g"), F.col("p1")).otherwise(F.col("p2")))
+    met = met.select("*", F.col("q.p.doc_id").alias("b"), F.col("q.p.n").alias("nb"), F.col("q.p.i").alias("ib"), F.col("q.g").alias("gb")).filter(_may("a", "b"))
+    order = W.partitionBy("a").orderBy("ia", "b")
+    near = met.groupBy("a", "b").agg(F.min("ia").alias("ia")).withColumn("k", F.row_number().over(order)).filter(F.col("k") <= MEETINGS)
+    return near.select("a", "b")
+
+
 def ngram_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id: one row per input row.
 
@@ -134,20 +183,21 @@ def ngram_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     # 1. Columns that lead in two documents or more, by the order of hashes.
     entries = known.select("doc_id", "n", F.explode("columns").alias("c"))
     often = entries.groupBy("c").count().filter("count > 1").select("c")
-    shared = scratch.save(entries.join(often, "c"), "shared")
+    shared = scratch.save(_able(entries.join(often, "c")), "shared")
     scratch.settle()
 
     # 2. Equal sets, and one pivot a column: the document with the largest part of its leading columns shared.
     keyed = known.filter("key IS NOT NULL").select("key", "doc_id")
     same = keyed.join(keyed.groupBy("key").agg(F.min("doc_id").alias("b"), F.count("*").alias("m")).filter("m > 1"), "key")
     links = same.select(F.col("doc_id").alias("a"), "b").filter("a <> b")
-    part_shared = F.round(F.count("*") / _leads(F.col("n")), 3)
+    part_shared = F.round(F.count("*") / F.col("n"), 3)
     weighed = shared.join(shared.groupBy("doc_id", "n").agg(part_shared.alias("w")), ["doc_id", "n"])
     pivots = weighed.groupBy("c").agg(F.max(F.struct("w", (-F.col("doc_id")).alias("m"), "n")).alias("p"))
     star = shared.join(pivots.select("c", (-F.col("p.m")).alias("b"), F.col("p.n").alias("nb")), "c")
     star = star.filter((F.col("doc_id") != F.col("b")) & _near(F.col("n"), F.col("nb")))
     star = star.groupBy(F.col("doc_id").alias("a"), F.col("n").alias("na"), "b", "nb").agg(F.count("*").alias("shared"))
-    rest = F.greatest("na", "nb") - _leads(F.greatest("na", "nb"))
+    most = F.greatest("na", "nb")
+    rest = most - _leads(most) - F.floor(most / 10)
     star = star.filter(2 * F.col("shared") + rest >= _asked(F.col("na"), F.col("nb"))).groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
     star = scratch.save(star, "star")
     sets = scratch.save(_sets(own, star.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()), "star_sets")
@@ -157,26 +207,31 @@ def ngram_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     part = components(scratch, links, "part")
 
     # 3. Documents that share a column with another component: whole sets, columns by frequency among them.
-    placed = shared.join(part, F.col("doc_id") == F.col("node"), "left").select("c", "doc_id", F.coalesce("component", "doc_id").alias("g"))
-    mixed = placed.groupBy("c").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo <> hi").select("c")
-    left = scratch.save(placed.join(mixed, "c").select("doc_id", "g").distinct(), "left")
-    scratch.drop("shared")
+    placed = shared.join(part, F.col("doc_id") == F.col("node"), "left").select("c", "doc_id", "n", F.coalesce("component", "doc_id").alias("g"))
+    for i in range(2):  # each round leaves fewer columns and documents for the next
+        mixed = placed.groupBy("c").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo <> hi").select("c")
+        placed = scratch.save(_able(placed.join(mixed, "c")), f"placed{i}")
+    left = scratch.save(placed.select("doc_id", "g").distinct(), "left")
+    for name in ("shared", "placed0", "placed1"):
+        scratch.drop(name)
     sets = scratch.save(_sets(own, left.select("doc_id")), "sets")
     scratch.settle()
     entries = sets.select("doc_id", "n", "uid", F.explode("columns").alias("c"))
     known_columns = entries.groupBy("c").agg(F.count("*").alias("df")).filter("df > 1")
     of = W.partitionBy("doc_id", "n", "uid")
     place = F.col("n") - F.count("*").over(of) + F.row_number().over(of.orderBy("df", "c")) - 1
-    leading = entries.join(known_columns, "c").select("doc_id", "n", "c", place.alias("i")).filter(F.col("i") < _leads(F.col("n")))
-    leading = scratch.save(leading.join(left, "doc_id"), "leading")
+    leading = scratch.save(entries.join(known_columns, "c").select("doc_id", "n", "c", place.alias("i")).filter(F.col("i") < _leads(F.col("n"))), "leading")
     scratch.settle()
-    mixed = leading.groupBy("c").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo <> hi").select("c")
-    side = leading.join(mixed, "c")
-    a, b = (side.select(F.col("c").alias(f"c{x}"), F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("i").alias(f"i{x}"), F.col("g").alias(f"g{x}")) for x in "ab")
-    enough = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= _asked(F.col("na"), F.col("nb"))
-    pairs = a.join(b, (F.col("ca") == F.col("cb")) & (F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & _near(F.col("na"), F.col("nb")) & enough)
-    more = scratch.save(_linked(scratch.save(pairs.select("a", "b").distinct(), "pairs"), sets), "more")
-    groups = components(scratch, links.unionByName(more), "all") if more.take(1) else part
+    groups = part
+    for i in range(ROUNDS):
+        found = scratch.save(_linked(scratch.save(_first_meetings(_mixed(leading, groups)), f"meet{i}"), sets), f"met{i}")
+        if not found.take(1):
+            break
+        links = links.unionByName(found)
+        groups = components(scratch, links, f"groups{i}")
+    more = scratch.save(_linked(scratch.save(_meetings(_mixed(leading, groups)), "pairs"), sets), "more")
+    if more.take(1):
+        groups = components(scratch, links.unionByName(more), "all")
     out = first.join(groups, F.col("doc_id") == F.col("node"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
