@@ -149,6 +149,13 @@ def features(docs: DataFrame, pages: DataFrame, *, doc_id: str = "doc_id", text:
     return made.join(page, F.col("doc_id") == F.col("p_id"), "left").select("doc_id", "text_view", F.concat("meta_view", F.coalesce("page", none)).alias("meta_view"))
 
 
+def _first(rows: DataFrame, most: int):
+    """The first ``most`` rows by a hash of the id, as pandas. A threshold on the hash lets tasks send little more than those."""
+    n, parts = rows.count(), 1 << 20
+    near = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) < int(min(1.0, 1.1 * most / max(n, 1) + 1000 / max(n, 1)) * parts) + 1)
+    return near.orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(parts)), "doc_id").limit(most).toPandas()
+
+
 def classify_quality(docs: DataFrame, pages: DataFrame, labels: DataFrame, *, labelled: int = LABELLED, pool: int = POOL, **columns: str) -> DataFrame:
     """doc_id, score, text_score, meta_score: one row per input row, scores being probabilities of good quality.
 
@@ -160,8 +167,8 @@ def classify_quality(docs: DataFrame, pages: DataFrame, labels: DataFrame, *, la
     scratch = Scratch(docs.sparkSession, "quality")
     made = scratch.save(features(docs, pages, **columns), "features")
     marks = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    known = made.join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled).toPandas()
-    others = made.join(marks, "doc_id", "left_anti").filter("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(pool).toPandas()
+    known = _first(made.join(marks, "doc_id"), labelled)
+    others = _first(made.join(marks, "doc_id", "left_anti").filter("doc_id IS NOT NULL"), pool)
     stack = lambda frame, c: np.stack(frame[c].to_list()).astype(float) if len(frame) else np.zeros((0, 1))
     model = co_train([stack(known, c) for c in ("text_view", "meta_view")], known["quality"].to_numpy(float), [stack(others, c) for c in ("text_view", "meta_view")])
 
