@@ -1,10 +1,59 @@
-"""Costs, attempts and evaluation: aggregates over runs."""
+"""Costs, attempts and evaluation: aggregates over runs.
+
+``records`` (case_id, run, grade, provider, model, outcome, latency_ms, prompt_tokens, cached_tokens, completion_tokens,
+reasoning_tokens, degraded), ``checks`` (case_id, run, name, passed).
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cairn.functions import text as X
+
+# Fixed values that results depend on.
+RATES = {"input": 0.75, "cached": 0.075, "output": 4.50}
+CHARS_PER_TOKEN, CEILING, FAILURES, RESET = 3, 0.05, 5, 30.0
+HARD_GATES = ("citation_validity", "pii_leak", "error_leakage")
+FORBIDDEN = ("Traceback", "APIStatusError", "openai.", "You are an internal assistant")
+MODEL_MARKERS = ("gpt-5", "gpt-4")
+CPF_ANYWHERE = r"\d{3}\.\d{3}\.\d{3}-\d{2}"
+CURRENCY = r"R\$ ?[0-9]"
+
+
+def cost_usd(prompt: Column, cached: Column, completion: Column, reasoning: Column, rates: Mapping[str, float] = RATES) -> Column:
+    """G1: uncached input, cached input and output, each at its rate a million tokens."""
+    return (F.greatest(F.lit(0), prompt - cached) * rates["input"] + cached * rates["cached"] + (completion + reasoning) * rates["output"]) / 1e6
+
+
+def estimated_usd(messages: DataFrame, key: str, rates: Mapping[str, float] = RATES) -> DataFrame:
+    """The price of each prompt (rows of ``content``) before it is sent."""
+    tokens = F.greatest(F.lit(1), F.floor(F.sum(F.length("content")) / CHARS_PER_TOKEN))
+    return messages.groupBy(key).agg((tokens * rates["input"] / 1e6).alias("estimate"))
+
+
+def affordable(attempts: DataFrame, ceiling: float = CEILING) -> DataFrame:
+    """Attempts (question_id, attempt, cost, estimate) that fit: what was spent before and the estimate stay within the ceiling."""
+    before = W.partitionBy("question_id").orderBy("attempt").rowsBetween(W.unboundedPreceding, -1)
+    spent = F.coalesce(F.sum("cost").over(before), F.lit(0.0))
+    return attempts.withColumns({"spent": spent, "affordable": spent + F.col("estimate") <= ceiling})
+
+
+def failure_runs(attempts: DataFrame, key: str = "source", threshold: int = FAILURES) -> DataFrame:
+    """Runs of failures in a row (key, ts, id, ok) that reach the threshold: first and last time and length."""
+    order = W.partitionBy(key).orderBy("ts", "id")
+    island = F.row_number().over(order) - F.row_number().over(W.partitionBy(key, "ok").orderBy("ts", "id"))
+    runs = attempts.withColumn("island", island).filter(~F.col("ok")).groupBy(key, "island")
+    return runs.agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("n")).filter(F.col("n") >= threshold).drop("island")
+
+
+def attempts_by_question(attempts: DataFrame) -> DataFrame:
+    """question_id, n_attempts, n_retryable, last_reason."""
+    return attempts.groupBy("question_id").agg(F.count("*").alias("n_attempts"), F.count_if("retryable").alias("n_retryable"), F.max_by("reason", "attempt").alias("last_reason"))
+
 
 def recall(ranked: DataFrame, expected: DataFrame, key: str) -> DataFrame:
     """H1, H2: per question how many of the expected keys are among the ranked ones; questions that expect nothing are left out."""
@@ -12,3 +61,148 @@ def recall(ranked: DataFrame, expected: DataFrame, key: str) -> DataFrame:
     want = expected.select("question_id", key).distinct()
     m = want.join(got, ["question_id", key], "left").groupBy("question_id").agg(F.count("*").alias("n_expected"), F.count("found").alias("n_found"))
     return m.withColumn("hit", F.col("n_expected") == F.col("n_found"))
+
+
+def recall_gate(hits: DataFrame, least: float) -> DataFrame:
+    """H3: recall over all questions, and whether it reaches the bound."""
+    return hits.agg(F.count("*").alias("n"), F.round(F.avg(F.col("hit").cast("int")), 6).alias("recall")).withColumn("passed", F.col("recall") >= least)
+
+
+def case_checks(cases: DataFrame) -> DataFrame:
+    """H5: case_id, name, passed for every assertion of a case (case_id, answer, envelope, outcome, cited, must_* arrays).
+
+    ``must_contain`` and ``must_not_contain`` look at the answer alone, ``must_cite`` at parts of cited codes and sections,
+    ``must_not_match`` and ``forbidden_strings`` at the whole envelope.
+    """
+    rules = {
+        "must_contain": lambda x: F.contains("answer", x), "must_not_contain": lambda x: ~F.contains("answer", x),
+        "must_cite": lambda x: F.exists("cited", lambda c: F.contains(c, x)), "must_not_match": lambda x: ~F.rlike("envelope", x),
+        "forbidden_strings": lambda x: ~F.contains("envelope", x),
+    }
+    row = lambda name, arg, ok: F.struct(F.concat_ws(" ", F.lit(name), arg).alias("name"), F.coalesce(ok, F.lit(False)).alias("passed"))
+    told = lambda c: lambda x: row(c, x, rules[c](x))
+    of = [F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), told(c)) for c in rules]
+    refusal = F.when(F.col("must_be_refusal"), F.array(row("must_be_refusal", F.lit(None).cast("string"), F.col("outcome") == "refused")))
+    all_ = F.concat(*of, F.coalesce(refusal, F.filter(F.array(row("", F.lit(""), F.lit(True))), lambda _: F.lit(False))))
+    return cases.select("case_id", F.explode(all_).alias("c")).select("case_id", "c.*")
+
+
+def citation_validity(cited: Column, retrieved: Column) -> Column:
+    """H6: all cited ids were retrieved."""
+    return F.size(F.array_except(cited, retrieved)) == 0
+
+
+def pii_leak(envelope: Column, names: Sequence[str], phone: str = X.PHONE_BR) -> Column:
+    """H7: no personal data and no listed name anywhere in the envelope."""
+    named = F.coalesce(*(F.when(F.contains(envelope, F.lit(n)), F.lit(True)) for n in names), F.lit(False))
+    return ~(envelope.rlike(CPF_ANYWHERE) | (F.size(X.pii_kinds(envelope, phone)) > 0) | named)
+
+
+def error_leakage(body: Column, is_problem: Column, body_without_model: Column) -> Column:
+    """H8: no internals in a body; an answer may name the model in ``meta.model`` alone, which is left out before the search."""
+    seen = F.when(is_problem, body).otherwise(body_without_model)
+    return ~F.coalesce(*(F.when(F.contains(seen, F.lit(m)), F.lit(True)) for m in (*FORBIDDEN, *MODEL_MARKERS)), F.lit(False))
+
+
+def boundary(outcome: Column, expected: Column, answer: Column, single_figure_asked: Column, products: Sequence[str]) -> Column:
+    """H9: the expected outcome, and no currency figure without a product unless the turn asks for one."""
+    named = answer.rlike("|".join(products))
+    return (outcome == expected) & (single_figure_asked | ~answer.rlike(CURRENCY) | named)
+
+
+def record_verdicts(checks: DataFrame) -> DataFrame:
+    """Per record: all checks passed, and the hard gates among them."""
+    hard = F.col("name").isin(*HARD_GATES)
+    return checks.groupBy("case_id", "run").agg(F.bool_and("passed").alias("deterministic_pass"), F.coalesce(F.bool_and(F.when(hard, F.col("passed"))), F.lit(True)).alias("hard_gates_pass"))
+
+
+def suspected_replays(records: DataFrame, live: str) -> DataFrame:
+    """Records of the live provider without prompt tokens, not degraded."""
+    return records.filter((F.col("provider") == live) & ~F.coalesce("degraded", F.lit(False)) & (F.coalesce("prompt_tokens", F.lit(0)) == 0))
+
+
+def gate_tally(checks: DataFrame, names: Sequence[str] = HARD_GATES) -> DataFrame:
+    """Passed and total of each hard gate; a gate without checks does not pass."""
+    t = checks.filter(F.col("name").isin(*names)).groupBy("name").agg(F.count_if("passed").alias("n_passed"), F.count("*").alias("n"))
+    return t.withColumn("ok", (F.col("n") > 0) & (F.col("n_passed") == F.col("n")))
+
+
+def providers(records: DataFrame, live: str) -> DataFrame:
+    """Providers seen, and whether the run is live: the live one alone, without replays."""
+    replay = (F.col("provider") == live) & ~F.coalesce("degraded", F.lit(False)) & (F.coalesce("prompt_tokens", F.lit(0)) == 0)
+    seen = records.agg(F.array_sort(F.collect_set("provider")).alias("p"), F.count_if(replay).alias("n_replays"))
+    return seen.select(F.array_join("p", ",").alias("providers"), "n_replays", ((F.array_join("p", ",") == live) & (F.col("n_replays") == 0)).alias("live"))
+
+
+def verdicts(records: DataFrame, passes: DataFrame, judged: DataFrame) -> DataFrame:
+    """case_id, run, grade, outcome, verdict: pass, fail or not-judged; judged cases need a verdict (case_id, run, verdict)."""
+    rows = records.join(passes, ["case_id", "run"], "left").join(judged, ["case_id", "run"], "left")
+    own = F.when(F.col("deterministic_pass"), "pass").otherwise("fail")
+    verdict = F.when(F.col("grade") == "judged", F.when(F.coalesce("deterministic_pass", F.lit(False)), F.coalesce("verdict", F.lit("not-judged"))).otherwise("fail")).otherwise(own)
+    return rows.select("case_id", "run", "grade", "outcome", verdict.alias("verdict"))
+
+
+def stability(graded: DataFrame) -> DataFrame:
+    """Per case: one verdict over its runs, and its outcomes joined by ``/``."""
+    return graded.groupBy("case_id").agg((F.count_distinct("verdict") == 1).alias("stable"), F.array_join(F.array_sort(F.collect_set("outcome")), "/").alias("outcomes"))
+
+
+def pass_rates(graded: DataFrame, least: Mapping[str, float]) -> DataFrame:
+    """Pass rate by grade against its threshold."""
+    bound = F.coalesce(*(F.when(F.col("grade") == g, F.lit(v)) for g, v in least.items()), F.lit(1.0))
+    rates = graded.groupBy("grade").agg(F.count("*").alias("n"), F.round(F.avg((F.col("verdict") == "pass").cast("int")), 6).alias("rate"))
+    return rates.withColumn("ok", F.col("rate") >= bound)
+
+
+def first_failures(checks: DataFrame) -> DataFrame:
+    """The first failed run of each (case, check)."""
+    return checks.filter(~F.col("passed")).groupBy("case_id", "name").agg(F.min("run").alias("run"))
+
+
+def latency(records: DataFrame) -> DataFrame:
+    """p50 (the median), p95 (the element at 0.95 (n - 1), rounded half to even), max.
+
+    The element is found by counts of each distinct latency, so no single task orders all records.
+    """
+    counts = records.filter("latency_ms IS NOT NULL").groupBy("latency_ms").agg(F.count("*").alias("k"))
+    n = F.sum("k").over(W.partitionBy())
+    upto = F.sum("k").over(W.orderBy("latency_ms"))
+    placed = counts.withColumns({"n": n, "upto": upto})
+    at = lambda pos: F.min(F.when(F.col("upto") > pos, F.col("latency_ms")))
+    p95 = F.least(F.col("n") - 1, F.bround(0.95 * (F.col("n") - 1), 0))
+    return placed.agg(((at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2).alias("p50"), at(p95).alias("p95"), F.max("latency_ms").alias("max"))
+
+
+def cost_summary(records: DataFrame) -> DataFrame:
+    """Mean and largest cost, sums of tokens."""
+    cost = cost_usd(*(F.coalesce(c, F.lit(0)) for c in ("prompt_tokens", "cached_tokens", "completion_tokens", "reasoning_tokens")))
+    return records.withColumn("cost", cost).agg(
+        F.round(F.avg("cost"), 9).alias("mean_cost"), F.round(F.max("cost"), 9).alias("max_cost"), F.sum("prompt_tokens").alias("prompt"),
+        F.sum("cached_tokens").alias("cached"), (F.sum("prompt_tokens") - F.sum("cached_tokens")).alias("uncached"), F.sum("completion_tokens").alias("completion"),
+    )
+
+
+def refusals(records: DataFrame, expected: DataFrame) -> DataFrame:
+    """Of the first run: cases refused as expected, and others refused."""
+    first = records.join(records.agg(F.min("run").alias("run")), "run").filter("outcome = 'refused'").select("case_id").distinct()
+    both = first.join(expected.select("case_id").distinct().withColumn("due", F.lit(True)), "case_id", "left")
+    return both.agg(F.count("due").alias("correct"), (F.count("*") - F.count("due")).alias("wrong"))
+
+
+def resolved(citations: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Per message: requested and resolved citations, and the texts in cited order; unknown ids are left out."""
+    rows = citations.join(chunks.select(F.col("id").alias("evidence_id"), "text"), "evidence_id", "left")
+    texts = F.transform(F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("ordinal", "text")))), lambda x: x["text"])
+    return rows.groupBy("message_id").agg(F.count("*").alias("requested"), F.count("text").alias("resolved"), texts.alias("texts"))
+
+
+def grader_prompts(answers: DataFrame, texts: DataFrame) -> DataFrame:
+    """message_id, prompt: the question, what was expected, the answer and the cited texts."""
+    part = lambda tag, c: F.concat(F.lit(f"<{tag}>\n"), F.coalesce(c, F.lit("")), F.lit(f"\n</{tag}>"))
+    rows = answers.join(texts, "message_id", "left")
+    return rows.select("message_id", F.concat_ws("\n", part("question", F.col("question")), part("expected", F.col("expected")), part("answer", F.col("answer")), part("cited", F.array_join(F.coalesce("texts", F.array().cast("array<string>")), "\n---\n"))).alias("prompt"))
+
+
+def batch_check(responses: DataFrame, n_sent: int) -> DataFrame:
+    """As many well-formed responses as were sent, and no leak in any."""
+    return responses.agg(F.count("*").alias("n"), F.coalesce(F.bool_and(F.col("well_formed") & F.col("clean")), F.lit(False)).alias("all_ok")).withColumn("ok", (F.col("n") == n_sent) & F.col("all_ok"))
