@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -45,6 +46,7 @@ class Scratch:
 
         The cleaner acts when the driver collects its garbage, which a driver with little to do seldom does.
         """
+        gc.collect()  # Python's handles of those plans first
         self.spark._jvm.System.gc()
 
     def drop(self, name: str) -> None:

@@ -18,6 +18,7 @@ the overlap that sizes ask for is dropped. Three steps, each exact:
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ from cairn.llm.components import components
 
 #: Words in an n-gram.
 WIDTH = 5
+#: Blocks of columns that are multiplied one after another, so that each shuffles that share of the entries.
+BLOCKS = 4
 #: Rounds in which a document meets at most so many others, before all that are left meet.
 ROUNDS, MEETINGS = 3, 3
 #: Ids that are broadcast at most; more are joined by a shuffle.
@@ -181,9 +184,15 @@ def ngram_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     known = first.filter("doc_id IS NOT NULL")
 
     # 1. Columns that lead in two documents or more, by the order of hashes.
-    entries = known.select("doc_id", "n", F.explode("columns").alias("c"))
-    often = entries.groupBy("c").count().filter("count > 1").select("c")
-    shared = scratch.save(_able(entries.join(often, "c")), "shared")
+    blocks = []
+    for b in range(BLOCKS):
+        entries = known.select("doc_id", "n", F.explode("columns").alias("c")).filter(F.pmod("c", F.lit(BLOCKS)) == b)
+        often = entries.groupBy("c").count().filter("count > 1").select("c")
+        blocks.append(scratch.save(entries.join(often, "c").select("c", "doc_id", "n"), f"block{b}"))
+        scratch.settle()
+    shared = scratch.save(_able(reduce(DataFrame.unionByName, blocks)), "shared")
+    for b in range(BLOCKS):
+        scratch.drop(f"block{b}")
     scratch.settle()
 
     # 2. Equal sets, and one pivot a column: the document with the largest part of its leading columns shared.
