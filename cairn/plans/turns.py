@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.functions import text as X
 from cairn.operators import turns as T
 from cairn.plans import standins as S
 from cairn.plans.registry import query
@@ -77,3 +78,19 @@ def f7_by_prompt_version(spark: SparkSession, sf_dir: str) -> DataFrame:
 def f8_safe_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = S.table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("error_code"))
     return T.safe_errors(e, ERRORS, DEFAULT).select("event_id", "error_code", "http_status", "title")
+
+
+@query()
+def s2_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.streaming.jobs import breaker_batch
+
+    e = S.table(spark, sf_dir, "events")
+    return breaker_batch(e.select(F.col("user_id").alias("source"), F.col("event_id").alias("id"), "ts", (F.col("event_type") != "error").alias("ok")), failures=2, reset=3600.0)
+
+
+@query(rf"SELECT doc_id, regexp_matches(text, '{X.EMAIL}') AS has_email FROM documents")
+def s3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.streaming.jobs import redacted
+
+    d = redacted(S.table(spark, sf_dir, "documents").select("doc_id", "text"), S.PHONE)
+    return d.select("doc_id", F.array_contains("pii_kinds", "email").alias("has_email"))
