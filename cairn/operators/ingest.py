@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cairn.functions import text as X
 
@@ -53,7 +54,7 @@ def sections(lines: DataFrame, is_heading: Column, unit: Sequence[str] = ("doc",
     return made.select(*unit, "section_no", "heading", F.array_join(F.transform("rows", lambda r: r["text"]), " ").alias("body"), at(1).alias("page_from"), at(-1).alias("page_to"))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _windows(texts: pd.Series, caps: pd.Series, overlaps: pd.Series) -> pd.Series:
     def cut(text: str | None, cap: int, overlap: int) -> list[str]:
         pieces, start = [], 0

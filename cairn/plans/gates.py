@@ -88,7 +88,7 @@ def e3_personal_data_request(spark: SparkSession, sf_dir: str) -> DataFrame:
     return questions(spark, sf_dir).select("question_id", G.asks_personal_data(F.col("question")).alias("asks"))
 
 
-@query(S.sql("chunks", _FACTS + " SELECT question_id, carries_pii, array_to_string(products, ',') AS products, n_evidence FROM fa"))
+@query(S.sql("chunks", _FACTS + " SELECT question_id, carries_pii, array_to_string(coalesce(products, []), ',') AS products, n_evidence FROM fa"))
 def e4_e6_evidence_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.evidence_facts(evidence(spark, sf_dir)).withColumn("products", F.array_join("products", ","))
 

@@ -54,7 +54,7 @@ def thresholds(spark: SparkSession, values: Mapping[str, float]) -> DataFrame:
     return spark.createDataFrame([tuple(map(float, values.values()))], ", ".join(f"{k} double" for k in values))
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def decode_vector(encoded: pd.Series) -> pd.Series:
     """Little-endian float32 in base64."""
     import base64
