@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values that results depend on.
 DOC_HEADER = r"Código do documento:\s*([A-Z0-9\-]+)\s+Versão:\s*(\S+)\s+Vigência a partir de:\s*(\d{4}-\d{2}-\d{2})"
@@ -93,6 +95,13 @@ def fold(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(F.lower(text), MARKED, PLAIN), "[^a-z0-9]+", " "))
 
 
+@F.pandas_udf(T.StringType())
+def fold_any(texts: pd.Series) -> pd.Series:
+    """E1 for any script: full compatibility decomposition, which column functions do not have, in Arrow batches."""
+    plain = texts.str.lower().str.normalize("NFKD").str.replace(r"[\u0300-\u036f]", "", regex=True)
+    return plain.str.replace(r"[^a-z0-9]+", " ", regex=True).str.strip()
+
+
 def content_terms(text: Column, stopwords: Sequence[str] = STOPWORDS) -> Column:
     """The set of folded words of four letters or more, without stop words and numbers."""
     words = F.filter(F.split(fold(text), " "), lambda w: (F.length(w) >= 4) & ~w.isin(*stopwords) & ~w.rlike("^[0-9]+$"))

@@ -259,3 +259,25 @@ def b17_blank_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '\((\d+)\)', 1))), ',') AS markers FROM documents")
 def b14_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_sort(L.markers(F.array("text"))), ",").alias("markers"))
+
+
+@query(S.sql("lines", _BOILER + f""" SELECT k.doc, k.page, k.line_no, k.text FROM keyed k ANTI JOIN boiler b ON b.doc = k.doc AND b.key = k.key
+ WHERE length(k.text) > {S.HEADING_MOST} AND NOT regexp_matches(k.text, '(?i)licen[sc]e')"""))
+def b9_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = S.lines(spark, sf_dir)
+    kept = I.without_boilerplate(rows, I.boilerplate(rows, min_share=0.1)).drop("key")
+    return L.prose(kept, rows.filter(F.length("text") <= S.HEADING_MOST), rows.filter(F.col("text").rlike("(?i)licen[sc]e")))
+
+
+@query("""SELECT o_orderkey AS doc, l_linenumber::VARCHAR AS version, CASE WHEN l_returnflag = 'R' THEN 'Superada' ELSE 'Vigente' END AS status FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber % 3 > 0""")
+def b15_history_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    version = F.when(F.col("l_linenumber") % 3 > 0, F.col("l_linenumber").cast("string")).otherwise(F.lit(" "))
+    row = F.array(F.col("l_linestatus"), version, F.when(F.col("l_returnflag") == "R", "Superada").otherwise("Vigente"))
+    t = S.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc")).agg(F.collect_list(row).alias("rows"))
+    return L.history_rows(t.withColumn("headers", F.array(F.lit("Linha"), F.lit("Versão"), F.lit("Situação"))))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Tabela ' || doc_id WHEN doc_id % 3 = 1 THEN 'Tabela 2 - ' || source ELSE 'Tabela ' || doc_id END AS caption FROM documents")
+def b12_caption_or_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    external = F.when(F.col("doc_id") % 3 == 0, F.col("source")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("Tabela 2 - "), "source"))
+    return S.table(spark, sf_dir, "documents").select("doc_id", L.caption_or_default(F.lit(None).cast("string"), external, F.col("doc_id")).alias("caption"))

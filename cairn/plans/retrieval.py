@@ -233,3 +233,22 @@ def h2_recall_by_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cairn.operators.metrics import recall
 
     return recall(bm25_ranked(spark, sf_dir, 5), expected(spark, sf_dir), "id")
+
+
+@query(S.sql(_QC, _BM + " SELECT question_id, id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id) AS rank FROM bms QUALIFY rank <= 4"))
+def h4_probe_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25_ranked(spark, sf_dir, 4).select("question_id", "id", "rank")
+
+
+@query()
+def c21_planted_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each question is planted as a chunk; the best chunk of every question, and whether it is the planted one."""
+    from cairn.sources.index import plant
+
+    c, q = S.chunks(spark, sf_dir).select("id", "section", "text"), S.questions(spark, sf_dir)
+    planted = plant(c, q.select((F.col("question_id") + 1_000_000_000).alias("id"), F.lit("planted").alias("section"), F.col("question").alias("text")))
+    qt = R.query_terms(q)
+    po = R.postings(planted, qt)
+    length = planted.agg(F.avg(F.size(X.terms(F.concat_ws(" ", "section", "text")))).alias("avg_dl"))
+    best = R.bm25(R.term_weights(qt, po, planted.agg(F.count("*").alias("n"))), po, length, 1)
+    return best.select("question_id", "id", (F.col("id") == F.col("question_id") + 1_000_000_000).alias("is_planted"))

@@ -26,6 +26,7 @@ def test_money_slug_fold_and_terms(spark):
     assert one(spark, X.slug(F.col("x")), x="1.2 Franquia — Vidros!") == "1-2-franquia-vidros"
     assert one(spark, X.slug(F.col("x")), x="—") == "chunk"
     assert one(spark, X.fold(F.col("x")), x="  Ação, NÃO: é 10%") == "acao nao e 10"
+    assert one(spark, X.fold_any(F.col("x")), x="Ação ﬁm Ș") == "acao fim s"
     assert sorted(one(spark, X.content_terms(F.col("x")), x="Para a ação 12345 limite limite")) == ["acao", "limite"]
     assert one(spark, X.terms(F.col("x")), x=None) == []
 
@@ -38,4 +39,4 @@ def test_metadata_and_prefixes(spark):
 
 
 def test_snippet_masks_before_it_cuts(spark):
-    assert one(spark, X.snippet(F.col("x")), x="x" * 230 + " a.b@c.com " + "y" * 50).endswith("x [EMAI...")
+    assert one(spark, X.snippet(F.col("x")), x="x" * 230 + " a.b@c.com " + "y" * 50).endswith("x [EMAIL...")
