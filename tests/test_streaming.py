@@ -1,4 +1,4 @@
-import pandas as pd
+from datetime import datetime, timedelta
 
 from cairn.operators import turns
 from cairn.streaming import jobs
@@ -16,7 +16,7 @@ def run(spark, df, make, name):
 
 def test_intake_equals_its_batch_form(spark):
     kinds = ["begin", "begin", "fail", "begin", "complete", "begin"]
-    rows = [(c, 0, 10 * c + i, pd.Timestamp("2024-01-01") + pd.Timedelta(seconds=i), k) for c in range(3) for i, k in enumerate(kinds)]
+    rows = [(c, 0, 10 * c + i, datetime(2024, 1, 1) + timedelta(seconds=i), k) for c in range(3) for i, k in enumerate(kinds)]
     df = spark.createDataFrame(rows, EVENT)
     got = run(spark, df, jobs.intake, "intake_out")
     expected = turns.intake(df)
@@ -26,7 +26,7 @@ def test_intake_equals_its_batch_form(spark):
 
 def test_breaker_opens_probes_and_closes(spark):
     ok, at = [False, False, True, True, False], [0, 1, 2, 40, 41]
-    rows = [(1, i, pd.Timestamp("2024-01-01") + pd.Timedelta(seconds=t), o) for i, (o, t) in enumerate(zip(ok, at))]
+    rows = [(1, i, datetime(2024, 1, 1) + timedelta(seconds=t), o) for i, (o, t) in enumerate(zip(ok, at))]
     df = spark.createDataFrame(rows, "source long, id long, ts timestamp, ok boolean")
     batch = jobs.breaker_batch(df, 2).orderBy("id").collect()
     assert [r.state for r in batch] == ["closed", "open", "rejected", "closed", "closed"]
