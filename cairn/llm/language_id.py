@@ -17,10 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairn.llm._common import table
+from cairn.llm._common import slices, table
 
 #: Buckets of trigrams (hashed), bytes of text that are expanded at once, smoothing, steps of a mixture at most.
-BUCKETS, PIECE, SMOOTH, STEPS = 1 << 15, 4_000_000, 0.5, 20
+BUCKETS, PIECE, SMOOTH, STEPS = 1 << 15, 500_000, 0.5, 20
 #: A further language must gain PENALTY * log(trigrams) in log likelihood, and have a share of at least SHARE.
 PENALTY, SHARE = 2.0, 0.02
 _LETTER = re.compile(r"[^\W\d_]")
@@ -74,12 +74,10 @@ def train(docs: DataFrame, *, text: str = "text", lang: str = "lang") -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in slices(batches):
             open_: dict[str, list[str]] = {}
             for name, t in zip(batch.column(0).to_pylist(), batch.column(1)):
                 open_.setdefault(name, []).append(t.as_py())
-                if sum(map(len, open_[name][-1:])) > PIECE or len(open_[name]) >= 1000:
-                    add(sums, name, open_.pop(name))
             for name, texts in open_.items():
                 add(sums, name, texts)
         for name, total in sums.items():
@@ -88,9 +86,15 @@ def train(docs: DataFrame, *, text: str = "text", lang: str = "lang") -> Model:
 
     def add(sums: dict[str, np.ndarray], name: str, texts: list[str]) -> None:
         total = sums.setdefault(name, np.zeros(BUCKETS, np.int64))
-        joined = "   ".join(texts)  # no trigram reaches across
-        for i in range(0, len(joined), PIECE):
-            total += np.bincount(grams(joined[i : i + PIECE]), minlength=BUCKETS)
+        open_, size = [], 0
+        for piece in (t[i : i + PIECE] for t in texts for i in range(0, len(t), PIECE)):  # cuts depend on the text alone
+            open_.append(piece)
+            size += len(piece)
+            if size >= PIECE:
+                total += np.bincount(grams("   ".join(open_)), minlength=BUCKETS)  # no trigram reaches across
+                open_, size = [], 0
+        if open_:
+            total += np.bincount(grams("   ".join(open_)), minlength=BUCKETS)
 
     used = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
     counts = used.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
@@ -114,7 +118,7 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
-        for batch in batches:
+        for batch in slices(batches):
             found = []
             for t in batch.column(1):
                 t = t.as_py()

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm._common import table
+from cairn.llm._common import slices, table
 from cairn.llm.decontaminate import tokens
 
 #: Base phrases and their labels.
@@ -167,7 +167,7 @@ def scan_licenses(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(phrases, templates)
-        for batch in batches:
+        for batch in slices(batches):
             n, places, spans = [], [], []
             for text in batch.column(1):
                 words = tokens(text.as_py())

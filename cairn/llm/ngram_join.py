@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cairn.llm._common import Scratch, table
+from cairn.llm._common import Scratch, slices, table
 from cairn.llm.components import components
 
 #: Words in an n-gram.
@@ -69,7 +69,7 @@ def _per_batch(make: Callable[[int, bytes | None, set], list | None], schema: pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
-        for batch in batches:
+        for batch in slices(batches):
             rows = [r for i, t in zip(batch.column(0).to_pylist(), batch.column(1)) if (r := make(i, t.as_py(), seen)) is not None]
             columns = list(zip(*rows)) or [()] * len(schema)
             yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(columns[:-1], schema)), _lists(list(columns[-1]))], schema=schema)

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm._common import SPACE_WORD, Scratch, table
+from cairn.llm._common import SPACE_WORD, Scratch, slices, table
 
 #: Rows that training takes at most, by a hash of the id: labelled ones, and unlabelled ones that get pseudo-labels.
 LABELLED, POOL = 20_000, 20_000
@@ -132,7 +132,7 @@ def features(docs: DataFrame, pages: DataFrame, *, doc_id: str = "doc_id", text:
     """doc_id, text_view, meta_view: one row per input row; page features are 0 where no page has the document's id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             t = [text_view(x.as_py()) for x in batch.column(1)]
             m = [meta_view(*r) for r in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), pa.list_(pa.float32())) for c in (t, m))], names=["doc_id", "text_view", "meta_view"])

@@ -16,10 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cairn.llm._common import table
+from cairn.llm._common import slices, table
 
 #: Bytes of text that one call encodes; pieces whose length a task remembers; most tokens of a document.
-BATCH_BYTES, REMEMBERED, LIMIT = 1_000_000, 1_000_000, 2048
+BATCH_BYTES, REMEMBERED, LIMIT = 1_000_000, 400_000, 2048
 
 
 @lru_cache(maxsize=2)
@@ -53,7 +53,7 @@ def count_tokens(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, known = load(path), {}
-        for batch in batches:
+        for batch in slices(batches, 2000):
             texts = [(t.as_py() or b"") for t in batch.column(1)]
             split, new = [], {}
             for t in texts:
