@@ -197,7 +197,8 @@ def ngram_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
 
     # 2. Equal sets, and one pivot a column: the document with the largest part of its leading columns shared.
     keyed = known.filter("key IS NOT NULL").select("key", "doc_id")
-    same = keyed.join(keyed.groupBy("key").agg(F.min("doc_id").alias("b"), F.count("*").alias("m")).filter("m > 1"), "key")
+    twice = scratch.save(keyed.groupBy("key").agg(F.min("doc_id").alias("b"), F.count("*").alias("m")).filter("m > 1").select("key", "b"), "twice")
+    same = keyed.join(F.broadcast(twice) if twice.count() <= BROADCAST_ROWS else twice, "key")
     links = same.select(F.col("doc_id").alias("a"), "b").filter("a <> b")
     part_shared = F.round(F.count("*") / F.col("n"), 3)
     weighed = shared.join(shared.groupBy("doc_id", "n").agg(part_shared.alias("w")), ["doc_id", "n"])
