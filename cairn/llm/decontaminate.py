@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from cairn.llm._common import table
 
 #: Words in a window; tokens after which a shard's index is closed; bytes of test text that one pass takes.
-WIDTH, SHARD_TOKENS, BLOCK_BYTES = 13, 2_000_000, 16_000_000
+WIDTH, SHARD_TOKENS, BLOCK_BYTES = 13, 1_000_000, 16_000_000
 #: Words are runs of ASCII digits, letters (lower-cased) and anything beyond ASCII; all else separates.
 _FOLD = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 

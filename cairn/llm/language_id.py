@@ -120,7 +120,7 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
         kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
         for batch in slices(batches):
             found = []
-            for t in batch.column(1):
+            for t in batch.column(0).field(text):
                 t = t.as_py()
                 found.append(model.mixture(grams(t)) if t and model.languages and _LETTER.search(t) else [])
             yield pa.RecordBatch.from_arrays([
@@ -128,7 +128,7 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
                 pa.array([[{"lang": a, "share": b} for a, b in f] for f in found], kind),
             ], names=["row", "lang_pred", "score", "languages"])
 
-    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text).alias("text")).mapInArrow(run, out)
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).mapInArrow(run, out)
 
 
 def held_out():
