@@ -159,7 +159,7 @@ _BLOCK = _BASE + """, bl AS (SELECT question_id, coalesce('<claims_database>' ||
 
 @query(S.sql("chunks", _BLOCK + " SELECT question_id, sha256(block) AS block_sha256, length(block) AS n_chars FROM bl"))
 def e18_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.evidence_block(evidence(spark, sf_dir)).select("question_id", F.sha2("block", 256).alias("block_sha256"), F.length("block").alias("n_chars"))
+    return G.evidence_block(evidence(spark, sf_dir)).select("question_id", F.sha2("block", 256).alias("block_sha256"), F.length("block").cast("long").alias("n_chars"))
 
 
 @query(S.sql("chunks", _BLOCK + r" SELECT question_id, substr(sha256(block), 1, 12) AS prompt_hash, array_to_string(regexp_extract_all(block, 'evidence_id=(\S+)', 1), ',') AS evidence_ids FROM bl"))
