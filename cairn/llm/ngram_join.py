@@ -80,7 +80,7 @@ def _per_batch(make: Callable[[int, bytes | None, set], list | None], schema: pa
 def _features(doc_id: int, text: bytes | None, seen: set) -> list:
     s = shingle_set(text)
     key = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
-    first = key is not None and key not in seen  # later copies in this task link by their key
+    first = doc_id is not None and key is not None and key not in seen  # later copies in this task link by their key; a null id stands for none
     if first:
         seen.add(key)
     return [doc_id, len(s), key, s[: lead(len(s))] if first else s[:0]]

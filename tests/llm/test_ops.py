@@ -81,6 +81,14 @@ def test_ngram_join(spark, docs, none):
     assert got == brute_components([(r[0], r[1]) for r in ROWS])
 
 
+def test_ngram_join_with_a_null_id_before_an_equal_text(spark):
+    words = [f"w{i}" for i in range(120)]
+    rows = [(None, " ".join(words)), (7, " ".join(words)), (8, " ".join([*words[:-1], "other"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in ngram_join.ngram_components(df).collect())
+    assert got == brute_components(rows) and ("8", 116, "7") in got
+
+
 def test_ngram_join_on_groups_of_near_copies(spark):
     rng = np.random.default_rng(3)
     vocabulary, rows = [f"w{i}" for i in range(400)], []
