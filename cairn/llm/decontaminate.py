@@ -28,18 +28,22 @@ def tokens(text: bytes | None) -> list[bytes]:
     return text.translate(_FOLD).split() if text else []
 
 
+def _nulls_last(items: set[str | None]) -> list[str | None]:
+    return sorted(items, key=lambda i: (i is None, i or ""))
+
+
 class Windows:
     """The windows of a block of test items: arrays of term numbers (1 and up), and the items that have each."""
 
-    def __init__(self, items: list[tuple[str, bytes | None]], width: int) -> None:
+    def __init__(self, items: list[tuple[str | None, bytes | None]], width: int) -> None:
         self.vocabulary: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
+        found: dict[tuple[int, ...], set[str | None]] = {}
         for item, text in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in tokens(text)]
             for i in range(max(1, len(ids) - width + 1) if ids else 0):
                 found.setdefault(tuple(ids[i : i + width]), set()).add(item)
         self.windows = list(found)
-        self.items = [sorted(v) for v in found.values()]
+        self.items = [_nulls_last(v) for v in found.values()]
 
 
 class Shard:
@@ -107,7 +111,7 @@ def _answer(docs: list[np.ndarray], asked: Windows, slop: int) -> tuple[list, li
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_words", pa.int64()), ("runs", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.string())), ("near_items", pa.list_(pa.string()))])
 
 
-def _search(docs: DataFrame, items: list[tuple[str, bytes | None]], width: int, slop: int) -> DataFrame:
+def _search(docs: DataFrame, items: list[tuple[str | None, bytes | None]], width: int, slop: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = Windows(items, width)
         kind = np.uint16 if len(asked.vocabulary) < 2**16 else np.uint32  # the former sorts by radix
@@ -115,7 +119,7 @@ def _search(docs: DataFrame, items: list[tuple[str, bytes | None]], width: int,
 
         def close(rows: list) -> pa.RecordBatch:
             runs, exact, near = _answer([r[2] for r in rows], asked, slop)
-            columns = [[r[0] for r in rows], [r[1] for r in rows], [len(r[2]) for r in rows], runs, [sorted(x) for x in exact], [sorted(x) for x in near]]
+            columns = [[r[0] for r in rows], [r[1] for r in rows], [len(r[2]) for r in rows], runs, [_nulls_last(x) for x in exact], [_nulls_last(x) for x in near]]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA)], schema=_SCHEMA)
 
         rows, size = [], 0
@@ -135,17 +139,17 @@ def _search(docs: DataFrame, items: list[tuple[str, bytes | None]], width: int,
 def find_passages(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, slop: int = 0) -> DataFrame:
     """doc_id, key (a hash of id and text), n_words, runs (hit words as [first, after]), items (ids as strings), near_items: one row per input row.
 
-    An item with fewer words than ``width`` is one window; one without words, or null, none. A null or wordless
-    document has no hits. ``near_items`` is filled for slop > 0: all words of a window at most ``slop`` words out of place.
-    Test text goes to the tasks in blocks of about BLOCK_BYTES, by a hash of item_id; every block meets all documents,
+    An item with fewer words than ``width`` is one window; one without words, or with a null text, none. Items with a null
+    id hit like others and are together one null in ``items``, after the ids. A null or wordless document has no hits. ``near_items`` is filled for slop > 0: all words of a window at most ``slop`` words out of place.
+    Test text goes to the tasks in blocks of about BLOCK_BYTES, by a hash of item_id and text; every block meets all documents,
     and the answers of one document are united, so a test set of any size gives whole results.
     Repeated rows give repeated results; a null doc_id stays null; other columns are not read.
     """
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(doc_id), F.col(text)).alias("key"), F.col(text).cast("binary").alias("text"))
-    tests = items.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("binary").alias("text")).filter("item IS NOT NULL")
+    tests = items.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("binary").alias("text"))
     size = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-size // BLOCK_BYTES) or 1
-    block = lambda i: [(r[0], None if r[1] is None else bytes(r[1])) for r in tests.filter(F.pmod(F.xxhash64("item"), F.lit(n)) == i).collect()]
+    block = lambda i: [(r[0], None if r[1] is None else bytes(r[1])) for r in tests.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i).collect()]
     found = _search(own, block(0), width, slop)
     for i in range(1, n):
         found = found.unionByName(_search(own, block(i), width, slop))

@@ -5,6 +5,8 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -115,6 +117,18 @@ def test_decontaminate(spark, docs, none):
     assert by[1]["items"] == ["i"] and by[1].runs == [[0, 3 * len(BASE.split())]] and by[8]["items"] == []
 
 
+def test_decontaminate_by_items_without_an_id(spark, monkeypatch, tmp_path):
+    d, items = [(1, "a b c d e f"), (2, "b c d x x"), (3, "x x x")], [(None, "b c d"), (None, "e f"), (7, "a b c"), (8, None), (None, None)]
+    for name, key, rows in (("documents", "doc_id", d), ("benchmark", "item_id", items)):
+        pq.write_table(pa.table({key: pa.array([r[0] for r in rows], pa.int64()), "text": pa.array([r[1] for r in rows], pa.string())}), f"{tmp_path}/{name}.parquet")
+    docs, tests = (spark.read.parquet(f"{tmp_path}/{name}.parquet") for name in ("documents", "benchmark"))
+    for size in (decontaminate.BLOCK_BYTES, 5):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+        got = {r.doc_id: (r.runs, r["items"]) for r in decontaminate.find_passages(docs, tests).collect()}
+        assert got == {1: ([[0, 6]], ["7", None]), 2: ([[0, 3]], [None]), 3: ([], [])}
+        same(decontaminate.op3_decontaminate(spark, str(tmp_path)), decontaminate.OP3_SQL, str(tmp_path))
+
+
 def test_decontaminate_in_blocks_and_by_proximity(spark, monkeypatch):
     d = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b x c d")], "doc_id long, text string")
     items = spark.createDataFrame([(i, t) for i, t in enumerate(["a b c", "c d e", "z z", "b c d"])], "item_id long, text string")
