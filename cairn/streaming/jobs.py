@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -48,7 +51,7 @@ def intake(events: DataFrame, delay: str = "1 hour", expire_ms: int = 24 * 3600
     return keyed.applyInPandasWithState(fold, "conversation_id long, client_message_id long, seq long, result string", "status string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def breaker_steps(ok: pd.Series, ts: pd.Series, state: tuple[str, int, float], failures: int, reset: float) -> tuple[list[str], tuple[str, int, float]]:
+def breaker_steps(ok: Iterable[bool], ts: Iterable[float], state: tuple[str, int, float], failures: int, reset: float) -> tuple[list[str], tuple[str, int, float]]:
     """The breaker's state after each attempt: closed, open or half_open, from (state, failures in a row, time it opened)."""
     now, n, opened = state
     out = []
@@ -86,15 +89,27 @@ def breaker(attempts: DataFrame, failures: int = FAILURES, reset: float = RESET,
 
 
 def breaker_batch(attempts: DataFrame, failures: int = FAILURES, reset: float = RESET) -> DataFrame:
-    """The same over a finished log. Attempts of a source are one state machine, which no aggregate can express."""
+    """The same over a finished log. Attempts of a source are one state machine, which no aggregate can express.
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["ts", "id"])
-        seconds = frame["ts"].astype("datetime64[us]").astype("int64") / 1e6
-        out, _ = breaker_steps(frame["ok"], seconds, ("closed", 0, 0.0), failures, reset)
-        return pd.DataFrame({"source": frame["source"], "id": frame["id"], "state": out})
+    Attempts are dealt by source and sorted within partitions; a task streams over them with the state of one source.
+    """
 
-    return attempts.groupBy("source").applyInPandas(fold, "source long, id long, state string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = object(), ("closed", 0, 0.0)
+        for batch in batches:
+            seconds = [t / 1e6 for t in batch.column(2).cast(pa.int64()).fill_null(-(2**63)).to_pylist()]
+            out: list[str] = []
+            for source, rows in groupby(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), seconds), key=itemgetter(0)):
+                if source != now:
+                    now, state = source, ("closed", 0, 0.0)
+                _, ok, ts = zip(*rows)
+                steps, state = breaker_steps(ok, ts, state, failures, reset)
+                out += steps
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["source", "id", "state"])
+
+    own = attempts.select(F.col("source").cast("long").alias("source"), F.col("id").cast("long").alias("id"), "ts", "ok")
+    dealt = own.repartition("source").sortWithinPartitions("source", F.asc_nulls_last("ts"), F.asc_nulls_last("id"))
+    return dealt.mapInArrow(run, "source long, id long, state string")
 
 
 def redacted(texts: DataFrame, phone: str = X.PHONE_BR) -> DataFrame:

@@ -34,6 +34,30 @@ def test_breaker_opens_probes_and_closes(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch))
 
 
+def test_breaker_streams_over_the_attempts_of_a_source(spark, monkeypatch):
+    rows = [(s, 100 * k + i, datetime(2024, 1, 1) + timedelta(seconds=7 * (37 * i % 40)), i % 5 == k) for k, s in enumerate((1, 2, None)) for i in range(40)]
+    df = spark.createDataFrame(rows, "source long, id long, ts timestamp, ok boolean")
+    expected, steps = [], jobs.breaker_steps
+    for source in (1, 2, None):
+        own = sorted((r for r in rows if r[0] == source), key=lambda r: (r[2], r[1]))
+        out, _ = steps([r[3] for r in own], [r[2].timestamp() for r in own], ("closed", 0, 0.0), 2, 20.0)
+        expected += [(source, r[1], s) for r, s in zip(own, out)]
+
+    def bounded(ok, *rest):
+        assert len(ok) <= 3
+        return steps(ok, *rest)
+
+    monkeypatch.setattr(jobs, "breaker_steps", bounded)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, 3)
+    try:
+        got = [tuple(r) for r in jobs.breaker_batch(df, 2, 20.0).collect()]
+    finally:
+        spark.conf.set(key, before)
+    assert sorted(got, key=lambda r: r[1]) == sorted(expected, key=lambda r: r[1]) and {r[2] for r in got} == {"closed", "open", "rejected"}
+
+
 def test_redaction_is_the_same_on_a_stream(spark):
     df = spark.createDataFrame([(1, "a.b@c.com"), (2, "x")], "id int, text string")
     got = run(spark, df, jobs.redacted, "redacted_out")
