@@ -61,8 +61,8 @@ class Shard:
     def postings(self, term: int) -> np.ndarray:
         return self.places[self.ends[term] - self.counts[term] : self.ends[term]]
 
-    def find(self, window: tuple[int, ...], slop: int = 0) -> np.ndarray:
-        """Starts of the window: all its terms in place, or at most ``slop`` words from it and in the same document."""
+    def find(self, window: tuple[int, ...]) -> np.ndarray:
+        """Starts of the window: all its terms in place."""
         if not all(self.counts[t] for t in window):
             return np.zeros(0, np.int64)
         order = sorted(range(len(window)), key=lambda k: self.counts[window[k]])
@@ -72,14 +72,25 @@ class Shard:
             if not len(starts):
                 break
             listed, due = self.postings(window[k]), starts + k
-            right = np.searchsorted(listed, due - slop)
-            starts = starts[listed[np.minimum(right, len(listed) - 1)] - due <= slop] if slop else starts[listed[np.minimum(right, len(listed) - 1)] == due]
-            if slop and len(starts):
-                due = starts + k
-                near = listed[np.minimum(np.searchsorted(listed, due - slop), len(listed) - 1)]
-                starts = starts[(np.abs(near - due) <= slop) & (self.document(near) == self.document(starts))]
+            starts = starts[listed[np.minimum(np.searchsorted(listed, due), len(listed) - 1)] == due]
         return starts
 
+    def near(self, window: tuple[int, ...], slop: int) -> np.ndarray:
+        """Documents with a start, inside or not, from which each term is at most ``slop`` words out of place: the same in any shard."""
+        if not all(self.counts[t] for t in window):
+            return np.zeros(0, np.int64)
+        order = sorted(range(len(window)), key=lambda k: self.counts[window[k]])
+        rarest, shifts = self.postings(window[order[0]]), np.arange(-slop, slop + 1)
+        starts, of = np.add.outer(rarest - order[0], shifts).ravel(), np.repeat(self.document(rarest), len(shifts))
+        for k in order[1:]:
+            if not len(starts):
+                break
+            listed, low, high = self.postings(window[k]), np.maximum(starts + k - slop, self.starts[of]), starts + k + slop
+            found = listed[np.minimum(np.searchsorted(listed, low), len(listed) - 1)]
+            good = (low <= found) & (found <= high) & (found < self.starts[of + 1])
+            starts, of = starts[good], of[good]
+        return of
+
     def document(self, places: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, places, side="right") - 1
 
@@ -97,7 +108,7 @@ def _answer(docs: list[np.ndarray], asked: Windows, slop: int) -> tuple[list, li
         for d in set(shard.document(starts).tolist()):
             exact[d].update(items)
         if slop:
-            for d in set(shard.document(shard.find(window, slop)).tolist()):
+            for d in set(shard.near(window, slop).tolist()):
                 near[d].update(items)
     edges = np.diff(np.concatenate([[0], (np.cumsum(change[:-1]) > 0).astype(np.int8), [0]]))
     first, after = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)

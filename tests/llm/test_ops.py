@@ -138,6 +138,21 @@ def test_decontaminate_in_blocks_and_by_proximity(spark, monkeypatch):
     assert [r.near_items for r in decontaminate.find_passages(d, items, slop=1).filter("doc_id = 2").collect()] == [["0", "3"]]
 
 
+def test_proximity_is_the_same_in_any_shard(spark):
+    rng = np.random.default_rng(5)
+    d = [(i, " ".join(rng.choice(list("abcdefg"), int(rng.integers(0, 9)), p=[0.4, 0.2, 0.1, 0.1, 0.1, 0.05, 0.05]))) for i in range(80)]
+    tests = [(i, " ".join(rng.choice(list("abcdefg"), 4))) for i in range(25)]
+
+    def near(words, window, slop):
+        return any(all(any(w == x and abs(p - s - k) <= slop for p, x in enumerate(words)) for k, w in enumerate(window)) for s in range(-slop - 4, len(words) + slop + 1))
+
+    items = spark.createDataFrame(tests, "item_id long, text string")
+    for slop, parts in ((1, 1), (1, 7), (2, 3)):
+        found = decontaminate.find_passages(spark.createDataFrame(d, "doc_id long, text string").repartition(parts), items, slop=slop).collect()
+        expected = {i: sorted(str(j) for j, u in tests if near(t.split(), u.split(), slop)) for i, t in d}
+        assert {r.doc_id: r.near_items for r in found} == expected and any(expected.values())
+
+
 def test_chat_round_trip(spark):
     rows = [(1, 0, "user", "a \\ <s>[INST] <r> [/INST]"), (1, 1, "assistant", "</s>\\\n"), (1, 1, "assistant", "</s>\\\n"), (2, 0, "tool [IS] x", None), (2, None, None, ""), (None, 0, "user", "é" * 100_000), (3, 0, "system", " [/INST] "), (3, 1, "user", "q"), (3, 2, "assistant", "r")]
     turns = spark.createDataFrame([(*r, 5, 5) for r in rows], "conv_id long, turn long, role string, text string, segments int, position int")
