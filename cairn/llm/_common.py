@@ -50,7 +50,8 @@ class Scratch:
         The cleaner acts when the driver collects its garbage, which a driver with little to do seldom does.
         """
         gc.collect()  # Python's handles of those plans first
-        self.spark._jvm.System.gc()
+        if jvm := getattr(self.spark, "_jvm", None):
+            jvm.System.gc()
 
     def drop(self, name: str) -> None:
         """Frees a table which no DataFrame still in use reads."""

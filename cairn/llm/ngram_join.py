@@ -1,30 +1,29 @@
 """N-gram Jaccard join: a blocked sparse product of the document by n-gram incidence.
 
-Rows of the incidence are documents, columns are hashed word 5-grams. Two documents with Jaccard >= 3/4 share 1 + k columns
-among the first n - ceil(3n/4) + 1 + k of each in any common order of columns, so only these *leading* columns take part in
-a product; Spark's shuffle by column makes the blocks. Shared columns add up to overlap counts, and what stays below
-the overlap that sizes ask for is dropped. Three steps, each exact:
-
-1. In the order of hashes, with k = n/10, find the columns that lead in two documents or more. A document with fewer of
-   them than 1 + k of the smallest partner that its size allows links with nothing.
-2. Equal sets meet by a digest, and each column links its documents to one pivot, as many pairs as entries.
-   Those that hold on whole sets join most of every group of copies.
-3. For documents that still share a column with another component: order columns by their frequency, rarest first. Then
-   a passage that many documents share leads in none of them, and a copy with many changes is led by its own
-   changes. A pair meets at its first common column only if enough columns follow it in both; it is settled on whole sets.
-   A few rounds in which each document meets few others come first; at last all pairs of different components meet.
+Rows of the incidence are sets (equal sets are one row), columns are hashed word 5-grams. Two sets with Jaccard >= 3/4 share
+1 + k columns among the first n - ceil(3n/4) + 1 + k of each in any common order of columns; these are the columns that
+*lead*. Entries travel packed, as arrays of numbers in blocks of columns. Four steps, each exact:
+
+1. In the order of hashes, with k = n/10, a block finds the leading columns that two sets or more have. A set with fewer
+   of them than 1 + k of the smallest partner that its size allows links with nothing.
+2. For the sets left, blocks of all their columns count how many sets have each. A set stays if 3/4 of its
+   columns are shared. Its columns are put in order of frequency, rarest first, so that a passage that many documents
+   share leads in few of them, and a copy with many changes is led by its own changes.
+3. Each column multiplies its foremost set with all others; overlaps add up, and the largest of each set are settled on
+   all shared columns. After a few rounds most of every group of copies is one component, at as many pairs as sets.
+4. The product of all leading columns between different components: overlaps add up by pair, a pair whose overlap plus all
+   that can follow is below what both sizes ask for is dropped, and the rest are settled on all shared columns.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from functools import reduce
+import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairn.llm._common import Scratch, slices, table
@@ -32,13 +31,15 @@ from cairn.llm.components import components
 
 #: Words in an n-gram.
 WIDTH = 5
-#: Blocks of columns that are multiplied one after another, so that each shuffles that share of the entries.
-BLOCKS = 4
-#: Rounds in which a document meets at most so many others, before all that are left meet.
-ROUNDS, MEETINGS = 3, 3
+#: Entries that a task deals out at once; sets of one column there from which its frequency counts as this bound.
+CHUNK, OFTEN = 1_000_000, 32
+#: Rounds of products with the foremost set, and partners of a set that are settled in each.
+ROUNDS, PARTNERS = 3, 2
 #: Ids that are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
+#: Stands for "often" among the sets of a column; no set has this number.
+_MARK = 0
 
 
 def shingle_set(text: bytes | None) -> np.ndarray:
@@ -54,119 +55,216 @@ def shingle_set(text: bytes | None) -> np.ndarray:
     return np.unique(out)
 
 
-def _lists(sets: list[np.ndarray]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)))
-
-
 def lead(n: int) -> int:
-    """How many columns lead in a document of n, by hash."""
+    """How many columns lead in a set of n, by hash."""
     return n - (3 * n + 3) // 4 + 1 + n // 10 if n else 0
 
 
-def _per_batch(make: Callable[[int, bytes | None, set], list | None], schema: pa.Schema) -> Callable:
-    """An Arrow function of (doc_id, text): make() gives the values of a row, the last one a set, or None to leave it out."""
+#: What is dealt out: a document and its set (doc_id, n, uid), or packed entries (c, uids), whose frequency is known to be OFTEN or not.
+_DEAL = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("uid", pa.int64()), ("c", pa.binary()), ("uids", pa.binary()), ("df", pa.binary())])
+_DEAL_SQL = "bucket int, doc_id long, n long, uid long, c binary, uids binary, df binary"
+_COUNTS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("uid", pa.int64()), ("shared", pa.int64())])
+_SHARED = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("columns", pa.list_(pa.int64()))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set = set()
-        for batch in slices(batches):
-            rows = [r for i, t in zip(batch.column(0).to_pylist(), batch.column(1)) if (r := make(i, t.as_py(), seen)) is not None]
-            columns = list(zip(*rows)) or [()] * len(schema)
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(columns[:-1], schema)), _lists(list(columns[-1]))], schema=schema)
 
-    return run
+def _batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
+    """A batch whose other columns are null."""
+    rows = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(rows, f.type) for f in schema], schema=schema)
 
 
-def _features(doc_id: int, text: bytes | None, seen: set) -> list:
-    s = shingle_set(text)
-    key = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
-    first = doc_id is not None and key is not None and key not in seen  # later copies in this task link by their key; a null id stands for none
-    if first:
-        seen.add(key)
-    return [doc_id, len(s), key, s[: lead(len(s))] if first else s[:0]]
+def _at(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (keys.view(np.uint64) % np.uint64(buckets)).astype(np.uint16)
 
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("uid", pa.int64()), ("columns", pa.list_(pa.int64()))])
+def _packed(key: np.ndarray, buckets: int, **arrays: np.ndarray) -> pa.RecordBatch:
+    """Packed rows of the arrays, dealt by a key."""
+    at = _at(key, buckets)
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)] if len(at) else [0]
+    rows = {name: [x[a:b].tobytes() for a, b in zip(cuts, cuts[1:])] for name, x in ((name, x[order]) for name, x in arrays.items())}
+    return _batch(_DEAL, bucket=at[cuts[:-1]].astype(np.int32), **rows)
 
 
-def _whole(doc_id: int, text: bytes | None, seen: set) -> list:
-    s = shingle_set(text)
-    return [doc_id, len(s), xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63, s]
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """The starts of runs of equal keys, and the end."""
+    new = np.ones(len(keys[0]), bool)
+    if len(new):
+        new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return np.r_[np.flatnonzero(new), len(new)]
 
 
-def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Whole sets of the documents whose id is in ``ids`` (one column, doc_id, distinct)."""
-    few = ids.count() <= BROADCAST_ROWS
-    some = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    return some.mapInArrow(_per_batch(_whole, _SETS), "doc_id long, n long, uid long, columns array<long>")
+def _deal(leading: bool, buckets: int):
+    """An Arrow function of (doc_id, text): every document with its set, and the entries of each set once a chunk."""
 
+    def entries(sets: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        uids = np.repeat(np.fromiter(sets, np.int64, len(sets)), [len(s) for s in sets.values()])
+        c = np.concatenate(list(sets.values())).view(np.int64)
+        order = np.argsort(c, kind="stable")
+        c, uids = c[order], uids[order]
+        at = _runs(c)
+        times = np.diff(at)
+        often = np.repeat(times >= OFTEN, times)
+        marks = c[at[:-1][times >= OFTEN]]
+        open_c = np.r_[c[~often], marks]
+        yield _packed(open_c, buckets, c=open_c, uids=np.r_[uids[~often], np.full(len(marks), _MARK)])
+        if len(marks):
+            yield _packed(uids[often], buckets, c=c[often], uids=uids[often], df=np.full(often.sum(), OFTEN, np.int8))
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose whole sets have Jaccard >= 3/4."""
-    one = lambda x: sets.select(F.col("doc_id").alias(x), F.col("columns").alias(f"s{x}"))
-    both = pairs.select("a", "b").join(one("a"), "a").join(one("b"), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return both.filter(100 * shared >= 75 * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, size = {}, 0
+        for batch in slices(batches):
+            ids, ns, uids = batch.column(0).to_pylist(), [], []
+            for i, t in zip(ids, batch.column(1)):
+                s = shingle_set(t.as_py())
+                uid = xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 or 1 if len(s) else None
+                ns.append(len(s))
+                uids.append(uid)
+                if i is not None and uid is not None and uid not in sets:  # a null id stands for no set
+                    sets[uid] = s[: lead(len(s))].copy() if leading else s
+                    size += len(sets[uid])
+            yield _batch(_DEAL, bucket=_at(np.array([u or 0 for u in uids], np.int64), buckets).astype(np.int32), doc_id=ids, n=ns, uid=uids)
+            if size >= CHUNK:
+                yield from entries(sets)
+                sets, size = {}, 0
+        if sets:
+            yield from entries(sets)
 
+    return run
 
-def _asked(na, nb):
-    """The overlap that Jaccard >= 3/4 asks of two sizes."""
-    return F.ceil(3 * (na + nb) / 7)
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> tuple[dict[str, list], dict[bool, list[np.ndarray]]]:
+    """All that was dealt to a task: documents by column, and entries (c, uids, df) of columns whose frequency is open (False) or known."""
+    docs: dict[str, list] = {"doc_id": [], "n": [], "uid": []}
+    found: dict[bool, list[list[np.ndarray]]] = {False: [[], [], []], True: [[], [], []]}
+    for batch in batches:
+        c, uids, df = (batch.column(k) for k in (4, 5, 6))
+        plain = batch.filter(c.is_null())
+        for k, name in enumerate(docs, 1):
+            docs[name] += plain.column(k).to_pylist()
+        for x, y, z in zip(c, uids, df):
+            if x.is_valid:
+                to = found[z.is_valid]
+                to[0].append(np.frombuffer(x.as_buffer(), np.int64))
+                to[1].append(np.frombuffer(y.as_buffer(), np.int64))
+                to[2].append(np.frombuffer(z.as_buffer(), np.int8) if z.is_valid else np.zeros(len(to[0][-1]), np.int8))
+    empty = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int8)]
+    return docs, {k: [np.concatenate([e, *x]) for e, x in zip(empty, v)] for k, v in found.items()}
+
+
+def _counted(found: dict[bool, list[np.ndarray]]) -> list[np.ndarray]:
+    """The entries (c, uid, df) of columns that two sets or more have; df is OFTEN at most."""
+    c, uids, _ = found[False]
+    order = np.lexsort((uids, c))
+    c, uids = c[order], uids[order]
+    once = _runs(c, uids)[:-1]
+    c, uids = c[once], uids[once]
+    at = _runs(c)
+    times = np.diff(at)
+    marked = np.add.reduceat(uids == _MARK, at[:-1]) > 0 if len(c) else np.zeros(0, bool)
+    df = np.repeat(np.where(marked, OFTEN, np.minimum(times, OFTEN)).astype(np.int8), times)
+    kept = (df > 1) & (uids != _MARK)
+    return [np.r_[a[kept], b] for a, b in zip((c, uids, df), found[True])]
+
+
+def _count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The documents, and how many of this block's columns each set shares."""
+    docs, found = _gathered(batches)
+    yield _batch(_COUNTS, **docs, shared=[0] * len(docs["uid"]))
+    uids, shared = np.unique(_counted(found)[1], return_counts=True)
+    yield _batch(_COUNTS, uid=uids, shared=shared)
+
+
+def _return_shared(buckets: int):
+    """The documents, and the entries of shared columns with their frequencies, dealt by set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs, found = _gathered(batches)
+        if docs["uid"]:
+            yield _batch(_DEAL, bucket=_at(np.array([u or 0 for u in docs["uid"]], np.int64), buckets).astype(np.int32), **docs)
+        c, uids, df = _counted(found)
+        if len(c):
+            yield _packed(uids, buckets, c=c, uids=uids, df=df)
+
+    return run
 
 
-def _near(na, nb):
-    """Sizes that can reach it at all."""
-    return 4 * F.least(na, nb) >= 3 * F.greatest(na, nb)
+def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each set of which 3/4 are shared: its shared columns, rarest first."""
+    docs, found = _gathered(batches)
+    known: dict[int, tuple[int, int]] = {}
+    for doc_id, n, uid in zip(*docs.values()):
+        if uid is not None and doc_id is not None and (uid not in known or doc_id < known[uid][0]):
+            known[uid] = (doc_id, n)
+    c, uids, df = found[True]
+    order = np.lexsort((c, df, uids))
+    c, uids, df = c[order], uids[order], df[order]
+    once = _runs(uids, df, c)[:-1]
+    c, uids = c[once], uids[once]
+    at = _runs(uids)
+    rows = [(u, *known[u], c[a:b]) for u, a, b in zip(uids[at[:-1]].tolist(), at, at[1:]) if u in known and 4 * (b - a) >= 3 * known[u][1]]
+    for i in range(0, len(rows), 500):
+        some = list(zip(*rows[i : i + 500]))
+        yield _batch(_SHARED, uid=some[0], doc_id=some[1], n=some[2], columns=list(some[3]))
 
 
-def _leads(n):
-    """The number of leading columns with k = 0."""
-    return n - F.floor((3 * n + 3) / 4) + 1
+def _asked(na, nb):
+    """The overlap that Jaccard >= 3/4 asks of two sizes."""
+    return F.ceil(3 * (na + nb) / 7)
 
 
-def _able(entries: DataFrame) -> DataFrame:
-    """The entries (doc_id, n, c) of documents that have enough of them to link with any partner: 1 + k of 3/4 their size."""
-    counts = entries.groupBy("doc_id", "n").agg(F.count("*").alias("have")).filter(F.col("have") >= 1 + F.floor(3 * F.col("n") / 40))
-    return entries.join(counts.select("doc_id", "n"), ["doc_id", "n"], "left_semi")
+def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The documents (a, b) of those pairs (a, b) of sets that have Jaccard >= 3/4."""
+    one = lambda x: sets.select(F.col("uid").alias(x), F.col("doc_id").alias(f"d{x}"), F.col("n").alias(f"n{x}"), F.col("columns").alias(f"s{x}"))
+    both = pairs.select("a", "b").join(one("a"), "a").join(one("b"), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return both.filter(100 * shared >= 75 * (F.col("na") + F.col("nb") - shared)).select(F.col("da").alias("a"), F.col("db").alias("b"))
 
 
-def _mixed(leading: DataFrame, groups: DataFrame) -> DataFrame:
-    """Entries (doc_id, n, c, i, g) of columns that more than one component has."""
-    own = leading.join(groups, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n", "c", "i", F.coalesce("component", "doc_id").alias("g"))
-    mixed = own.groupBy("c").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo <> hi").select("c")
-    return own.join(mixed, "c")
+def _placed(leading: DataFrame, groups: DataFrame) -> DataFrame:
+    """The leading entries with the component g of their set."""
+    return leading.join(groups, F.col("doc_id") == F.col("node"), "left").select("c", "uid", "n", "s", "r", F.coalesce("component", "doc_id").alias("g"))
 
 
 def _may(x: str, y: str):
-    """Two entries of one column may be the first that a pair has in common: another component, and enough columns after both."""
-    n, m = F.col(f"n{x}"), F.col(f"n{y}")
-    return (F.col(f"g{x}") != F.col(f"g{y}")) & _near(n, m) & (F.least(n - F.col(f"i{x}"), m - F.col(f"i{y}")) >= _asked(n, m))
+    """Two entries of one column may be of a pair that links: another component, and enough shared columns before and after in both."""
+    s, t, p, q = (F.col(c) for c in (f"s{x}", f"s{y}", f"r{x}", f"r{y}"))
+    return (F.col(f"g{x}") != F.col(f"g{y}")) & (F.least(p, q) + F.least(s - p, t - q) >= _asked(F.col(f"n{x}"), F.col(f"n{y}")))
 
 
 def _side(entries: DataFrame, x: str) -> DataFrame:
-    return entries.select(F.col("c").alias(f"c{x}"), F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("i").alias(f"i{x}"), F.col("g").alias(f"g{x}"))
+    return entries.select(*(F.col(c).alias(f"{'' if c == 'uid' else c}{x}") for c in ("c", "uid", "n", "s", "r", "g")))
+
 
+def _stars(entries: DataFrame, shift: float) -> DataFrame:
+    """Pairs (a, b): the PARTNERS sets b that have most columns in common with a, among the foremost sets of a's columns.
 
-def _meetings(entries: DataFrame) -> DataFrame:
-    """All pairs (a, b) of different components that may link."""
-    a, b = _side(entries, "a"), _side(entries, "b")
-    return a.join(b, (F.col("ca") == F.col("cb")) & (F.col("a") < F.col("b")) & _may("a", "b")).select("a", "b").distinct()
+    Foremost is the set with the fewest columns before this one, among sets of about one size (classes of a third, moved by ``shift``);
+    a set of its component meets the foremost of another.
+    """
+    e = entries.withColumn("k", F.floor(F.ln("n") / math.log(4 / 3) + shift))
+    best = e.groupBy("c", "k", "g").agg(F.min(F.struct((F.col("n") - F.col("s") + F.col("r")).alias("i"), "uid", "n", "s", "r", "g")).alias("p"))
+    one = best.groupBy("c", "k").agg(F.min("p").alias("p1"))
+    two = best.join(one, ["c", "k"]).filter(F.col("g") != F.col("p1.g")).groupBy("c", "k", "p1").agg(F.min("p").alias("p2"))
+    met = e.join(two, ["c", "k"]).withColumn("q", F.when(F.col("g") != F.col("p1.g"), F.col("p1")).otherwise(F.col("p2")))
+    met = met.select(F.col("uid").alias("a"), *(F.col(x).alias(f"{x}a") for x in "nsrg"), F.col("q.uid").alias("b"), *(F.col(f"q.{x}").alias(f"{x}b") for x in "nsrg"))
+    overlaps = met.filter(_may("a", "b")).groupBy("a", "b").agg(F.count("*").alias("overlap"))
+    most = F.slice(F.sort_array(F.collect_list(F.struct("overlap", "b")), asc=False), 1, PARTNERS)  # as many as a has leading columns at most
+    return overlaps.groupBy("a").agg(F.explode(most).alias("p")).select("a", "p.b")
 
 
-def _first_meetings(entries: DataFrame) -> DataFrame:
-    """At most MEETINGS pairs a document, from its rarest columns: with the foremost document of the column's foremost component, or of the next.
+def _product(entries: DataFrame) -> DataFrame:
+    """All pairs (a, b) of different components whose overlap on leading columns, plus all that can follow, is enough.
 
-    Their links join what is near in most groups, so that few pairs are left for ``_meetings``.
+    Of two sets, what is common after the lead that ends first is after the lead of that set.
     """
-    best = entries.groupBy("c", "g").agg(F.min(F.struct("i", "doc_id", "n")).alias("p"))
-    one = best.groupBy(F.col("c").alias("c1")).agg(F.min(F.struct("p", "g")).alias("p1"))
-    rest = best.join(one, F.col("c") == F.col("c1")).filter(F.col("g") != F.col("p1.g"))
-    two = rest.groupBy("c", "p1").agg(F.min(F.struct("p", "g")).alias("p2")).withColumnRenamed("c", "cb")
-    met = _side(entries, "a").join(two, F.col("ca") == F.col("cb")).withColumn("q", F.when(F.col("ga") != F.col("p1.g"), F.col("p1")).otherwise(F.col("p2")))
-    met = met.select("*", F.col("q.p.doc_id").alias("b"), F.col("q.p.n").alias("nb"), F.col("q.p.i").alias("ib"), F.col("q.g").alias("gb")).filter(_may("a", "b"))
-    order = W.partitionBy("a").orderBy("ia", "b")
-    near = met.groupBy("a", "b").agg(F.min("ia").alias("ia")).withColumn("k", F.row_number().over(order)).filter(F.col("k") <= MEETINGS)
-    return near.select("a", "b")
+    mixed = entries.groupBy("c").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo <> hi").select("c")
+    some = entries.join(mixed, "c")
+    met = _side(some, "a").join(_side(some, "b"), (F.col("ca") == F.col("cb")) & (F.col("a") < F.col("b")) & _may("a", "b"))
+    after = F.ceil(3 * F.greatest("na", "nb") / 4) - 1
+    overlaps = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("overlap"))
+    return overlaps.filter(F.col("overlap") + after >= _asked(F.col("na"), F.col("nb"))).select("a", "b")
 
 
 def ngram_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -174,75 +272,50 @@ def ngram_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
 
     A null, empty or blank text has an empty set and is linked with nothing. Rows with the same doc_id are one node: it
     is linked through any of their texts. A null doc_id is linked with nothing and its component_id is null. Other
-    columns are not read. Hashes of n-grams have 64 bits, digests of sets 128. No partner is dropped: all pairs that
+    columns are not read. N-grams and whole sets are told apart by 64-bit hashes. No partner is dropped: all pairs that
     reach the threshold end in the same component.
     """
-    scratch = Scratch(docs.sparkSession, "ngram")
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "ngram")
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("columns", pa.list_(pa.int64()))])
-    first = scratch.save(own.mapInArrow(_per_batch(_features, schema), "doc_id long, n long, key binary, columns array<long>"), "first")
-    known = first.filter("doc_id IS NOT NULL")
-
-    # 1. Columns that lead in two documents or more, by the order of hashes.
-    blocks = []
-    for b in range(BLOCKS):
-        entries = known.select("doc_id", "n", F.explode("columns").alias("c")).filter(F.pmod("c", F.lit(BLOCKS)) == b)
-        often = entries.groupBy("c").count().filter("count > 1").select("c")
-        blocks.append(scratch.save(entries.join(often, "c").select("c", "doc_id", "n"), f"block{b}"))
-        scratch.settle()
-    shared = scratch.save(_able(reduce(DataFrame.unionByName, blocks)), "shared")
-    for b in range(BLOCKS):
-        scratch.drop(f"block{b}")
+    buckets = min(1 << 16, max(1 << 10, 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+    # 1. Sets with enough shared columns among those that lead by hash.
+    dealt = own.mapInArrow(_deal(True, buckets), _DEAL_SQL).repartition("bucket")
+    first = scratch.save(dealt.mapInArrow(_count_shared, "doc_id long, n long, uid long, shared long"), "first")
+    rows, known = first.filter("n IS NOT NULL").select("doc_id", "n", "uid"), first.filter("uid IS NOT NULL")
+    sums = known.groupBy("uid").agg(F.max("n").alias("n"), F.sum("shared").alias("shared"), F.min("doc_id").alias("b"), F.count("doc_id").alias("m"))
+    nodes = scratch.save(sums.filter("b IS NOT NULL AND (m > 1 OR shared >= 1 + floor(3 * n / 40))"), "nodes")
     scratch.settle()
 
-    # 2. Equal sets, and one pivot a column: the document with the largest part of its leading columns shared.
-    keyed = known.filter("key IS NOT NULL").select("key", "doc_id")
-    twice = scratch.save(keyed.groupBy("key").agg(F.min("doc_id").alias("b"), F.count("*").alias("m")).filter("m > 1").select("key", "b"), "twice")
-    same = keyed.join(F.broadcast(twice) if twice.count() <= BROADCAST_ROWS else twice, "key")
-    links = same.select(F.col("doc_id").alias("a"), "b").filter("a <> b")
-    part_shared = F.round(F.count("*") / F.col("n"), 3)
-    weighed = shared.join(shared.groupBy("doc_id", "n").agg(part_shared.alias("w")), ["doc_id", "n"])
-    pivots = weighed.groupBy("c").agg(F.max(F.struct("w", (-F.col("doc_id")).alias("m"), "n")).alias("p"))
-    star = shared.join(pivots.select("c", (-F.col("p.m")).alias("b"), F.col("p.n").alias("nb")), "c")
-    star = star.filter((F.col("doc_id") != F.col("b")) & _near(F.col("n"), F.col("nb")))
-    star = star.groupBy(F.col("doc_id").alias("a"), F.col("n").alias("na"), "b", "nb").agg(F.count("*").alias("shared"))
-    most = F.greatest("na", "nb")
-    rest = most - _leads(most) - F.floor(most / 10)
-    star = star.filter(2 * F.col("shared") + rest >= _asked(F.col("na"), F.col("nb"))).groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
-    star = scratch.save(star, "star")
-    sets = scratch.save(_sets(own, star.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()), "star_sets")
-    links = scratch.save(links.unionByName(_linked(star, sets)), "links")
-    scratch.drop("star_sets")
+    # 2. Their columns, rarest first.
+    able = nodes.filter("shared >= 1 + floor(3 * n / 40)").select(F.col("b").alias("doc_id")).distinct()
+    some = own.join(F.broadcast(able) if able.count() <= BROADCAST_ROWS else able, "doc_id", "left_semi")
+    counted = some.mapInArrow(_deal(False, buckets), _DEAL_SQL).repartition("bucket").mapInArrow(_return_shared(buckets), _DEAL_SQL)
+    sets = scratch.save(counted.repartition("bucket").mapInArrow(_ordered, "uid long, doc_id long, n long, columns array<long>"), "sets")
     scratch.settle()
-    part = components(scratch, links, "part")
-
-    # 3. Documents that share a column with another component: whole sets, columns by frequency among them.
-    placed = shared.join(part, F.col("doc_id") == F.col("node"), "left").select("c", "doc_id", "n", F.coalesce("component", "doc_id").alias("g"))
-    for i in range(2):  # each round leaves fewer columns and documents for the next
-        mixed = placed.groupBy("c").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo <> hi").select("c")
-        placed = scratch.save(_able(placed.join(mixed, "c")), f"placed{i}")
-    left = scratch.save(placed.select("doc_id", "g").distinct(), "left")
-    for name in ("shared", "placed0", "placed1"):
-        scratch.drop(name)
-    sets = scratch.save(_sets(own, left.select("doc_id")), "sets")
-    scratch.settle()
-    entries = sets.select("doc_id", "n", "uid", F.explode("columns").alias("c"))
-    known_columns = entries.groupBy("c").agg(F.count("*").alias("df")).filter("df > 1")
-    of = W.partitionBy("doc_id", "n", "uid")
-    place = F.col("n") - F.count("*").over(of) + F.row_number().over(of.orderBy("df", "c")) - 1
-    leading = scratch.save(entries.join(known_columns, "c").select("doc_id", "n", "c", place.alias("i")).filter(F.col("i") < _leads(F.col("n"))), "leading")
-    scratch.settle()
-    groups = part
+    s = F.size("columns")
+    leading = sets.select("uid", "doc_id", "n", s.alias("s"), F.posexplode(F.slice("columns", 1, s - F.ceil(3 * F.col("n") / 4).cast("int") + 1)).alias("r", "c"))
+
+    # 3. Equal sets, and rounds of stars.
+    twice = nodes.filter("m > 1").select("uid", "b")
+    same = rows.join(F.broadcast(twice) if twice.count() <= BROADCAST_ROWS else twice, "uid")
+    links = scratch.save(same.select(F.col("doc_id").alias("a"), "b").filter("a <> b"), "same")
+    groups = components(scratch, links, "part")
     for i in range(ROUNDS):
-        found = scratch.save(_linked(scratch.save(_first_meetings(_mixed(leading, groups)), f"meet{i}"), sets), f"met{i}")
+        found = scratch.save(_linked(_stars(_placed(leading, groups), i / 2), sets), f"star{i}")
+        scratch.settle()
         if not found.take(1):
             break
         links = links.unionByName(found)
         groups = components(scratch, links, f"groups{i}")
-    more = scratch.save(_linked(scratch.save(_meetings(_mixed(leading, groups)), "pairs"), sets), "more")
+
+    # 4. What is left between components.
+    more = scratch.save(_linked(_product(_placed(leading, groups)), sets), "more")
     if more.take(1):
         groups = components(scratch, links.unionByName(more), "all")
-    out = first.join(groups, F.col("doc_id") == F.col("node"), "left")
+    scratch.drop("sets")
+    out = rows.join(groups, F.col("doc_id") == F.col("node"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
