@@ -9,10 +9,11 @@ Rows of the incidence are sets (equal sets are one row), columns are hashed word
 2. For the sets left, blocks of all their columns count how many sets have each. A set stays if 3/4 of its
    columns are shared. Its columns are put in order of frequency, rarest first, so that a passage that many documents
    share leads in few of them, and a copy with many changes is led by its own changes.
-3. Each column multiplies its foremost set with all others; overlaps add up, and the largest of each set are settled on
-   all shared columns. After a few rounds most of every group of copies is one component, at as many pairs as sets.
-4. The product of all leading columns between different components: overlaps add up by pair, a pair whose overlap plus all
-   that can follow is below what both sizes ask for is dropped, and the rest are settled on all shared columns.
+3. Each column multiplies its foremost set with all others; overlaps add up by pair, pairs that cannot reach what both
+   sizes ask for are dropped, and the largest overlaps of each set are settled on all shared columns. After a few
+   rounds most of every group of copies is one component, at as many pairs as sets.
+4. The product of leading columns between different components. A pair is made at a column only if, were that the first in
+   common, enough columns followed in both for the overlap that both sizes ask for; it is settled on all shared columns.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ WIDTH = 5
 #: Entries that a task deals out at once; sets of one column there from which its frequency counts as this bound.
 CHUNK, OFTEN = 1_000_000, 32
 #: Rounds of products with the foremost set, and partners of a set that are settled in each.
-ROUNDS, PARTNERS = 3, 2
+ROUNDS, PARTNERS = 2, 2
 #: Ids that are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
@@ -217,20 +218,28 @@ def _asked(na, nb):
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The documents (a, b) of those pairs (a, b) of sets that have Jaccard >= 3/4."""
     one = lambda x: sets.select(F.col("uid").alias(x), F.col("doc_id").alias(f"d{x}"), F.col("n").alias(f"n{x}"), F.col("columns").alias(f"s{x}"))
-    both = pairs.select("a", "b").join(one("a"), "a").join(one("b"), "b")
+    both = pairs.join(one("a"), "a").join(one("b"), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.filter(100 * shared >= 75 * (F.col("na") + F.col("nb") - shared)).select(F.col("da").alias("a"), F.col("db").alias("b"))
 
 
+def _edges(groups: DataFrame) -> DataFrame:
+    return groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
 def _placed(leading: DataFrame, groups: DataFrame) -> DataFrame:
     """The leading entries with the component g of their set."""
     return leading.join(groups, F.col("doc_id") == F.col("node"), "left").select("c", "uid", "n", "s", "r", F.coalesce("component", "doc_id").alias("g"))
 
 
-def _may(x: str, y: str):
-    """Two entries of one column may be of a pair that links: another component, and enough shared columns before and after in both."""
+def _may(x: str, y: str, before: bool):
+    """Two entries of one column may be of a pair that links: another component, and enough shared columns from here on in both.
+
+    ``before``: counting the columns before this one, too; else this is the first that the pair has in common.
+    """
     s, t, p, q = (F.col(c) for c in (f"s{x}", f"s{y}", f"r{x}", f"r{y}"))
-    return (F.col(f"g{x}") != F.col(f"g{y}")) & (F.least(p, q) + F.least(s - p, t - q) >= _asked(F.col(f"n{x}"), F.col(f"n{y}")))
+    earlier = F.least(p, q) if before else F.lit(0)
+    return (F.col(f"g{x}") != F.col(f"g{y}")) & (earlier + F.least(s - p, t - q) >= _asked(F.col(f"n{x}"), F.col(f"n{y}")))
 
 
 def _side(entries: DataFrame, x: str) -> DataFrame:
@@ -249,22 +258,17 @@ def _stars(entries: DataFrame, shift: float) -> DataFrame:
     two = best.join(one, ["c", "k"]).filter(F.col("g") != F.col("p1.g")).groupBy("c", "k", "p1").agg(F.min("p").alias("p2"))
     met = e.join(two, ["c", "k"]).withColumn("q", F.when(F.col("g") != F.col("p1.g"), F.col("p1")).otherwise(F.col("p2")))
     met = met.select(F.col("uid").alias("a"), *(F.col(x).alias(f"{x}a") for x in "nsrg"), F.col("q.uid").alias("b"), *(F.col(f"q.{x}").alias(f"{x}b") for x in "nsrg"))
-    overlaps = met.filter(_may("a", "b")).groupBy("a", "b").agg(F.count("*").alias("overlap"))
+    overlaps = met.filter(_may("a", "b", True)).groupBy("a", "b").agg(F.count("*").alias("overlap"))
     most = F.slice(F.sort_array(F.collect_list(F.struct("overlap", "b")), asc=False), 1, PARTNERS)  # as many as a has leading columns at most
     return overlaps.groupBy("a").agg(F.explode(most).alias("p")).select("a", "p.b")
 
 
 def _product(entries: DataFrame) -> DataFrame:
-    """All pairs (a, b) of different components whose overlap on leading columns, plus all that can follow, is enough.
-
-    Of two sets, what is common after the lead that ends first is after the lead of that set.
-    """
+    """All pairs (a, b) of different components that may have a column as their first in common and still reach the overlap that their sizes ask for."""
     mixed = entries.groupBy("c").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo <> hi").select("c")
     some = entries.join(mixed, "c")
-    met = _side(some, "a").join(_side(some, "b"), (F.col("ca") == F.col("cb")) & (F.col("a") < F.col("b")) & _may("a", "b"))
-    after = F.ceil(3 * F.greatest("na", "nb") / 4) - 1
-    overlaps = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("overlap"))
-    return overlaps.filter(F.col("overlap") + after >= _asked(F.col("na"), F.col("nb"))).select("a", "b")
+    met = _side(some, "a").join(_side(some, "b"), (F.col("ca") == F.col("cb")) & (F.col("a") < F.col("b")) & _may("a", "b", False))
+    return met.select("a", "b").distinct()
 
 
 def ngram_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -300,20 +304,18 @@ def ngram_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     # 3. Equal sets, and rounds of stars.
     twice = nodes.filter("m > 1").select("uid", "b")
     same = rows.join(F.broadcast(twice) if twice.count() <= BROADCAST_ROWS else twice, "uid")
-    links = scratch.save(same.select(F.col("doc_id").alias("a"), "b").filter("a <> b"), "same")
-    groups = components(scratch, links, "part")
+    groups = components(scratch, same.select(F.col("doc_id").alias("a"), "b").filter("a <> b"), "same")
     for i in range(ROUNDS):
         found = scratch.save(_linked(_stars(_placed(leading, groups), i / 2), sets), f"star{i}")
         scratch.settle()
         if not found.take(1):
             break
-        links = links.unionByName(found)
-        groups = components(scratch, links, f"groups{i}")
+        groups = components(scratch, _edges(groups).unionByName(found), f"groups{i}")
 
     # 4. What is left between components.
     more = scratch.save(_linked(_product(_placed(leading, groups)), sets), "more")
     if more.take(1):
-        groups = components(scratch, links.unionByName(more), "all")
+        groups = components(scratch, _edges(groups).unionByName(more), "all")
     scratch.drop("sets")
     out = rows.join(groups, F.col("doc_id") == F.col("node"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
