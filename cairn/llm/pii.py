@@ -1,11 +1,13 @@
 """PII [native]: patterns propose spans, validators confirm them, context words adjust the score.
 
 Positions come from the text alone: the pieces between matches (``split``) and the matches (``regexp_extract_all``)
-alternate, so running sums of their lengths give code-point offsets. Everything is a projection over the scan.
+alternate, so running sums of their lengths give code-point offsets. Sums run in blocks and texts are cut by
+pattern, so that a text takes time in proportion to its length and its matches. Everything is a projection over the scan.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,6 +37,8 @@ class Kind:
 
 
 WINDOW, CONTEXT, CONFIRMED, ACCEPT = 40, 0.3, 0.3, 0.5
+#: Values of a running sum, and code points of a text, that are handled as one block.
+BLOCK = 512
 
 KINDS: tuple[Kind, ...] = (
     Kind("email", rf"{_LOCAL}@{_LABEL}(?:\.{_LABEL})++", "@", 0.6, r"(?i)mail|contact|write"),
@@ -45,7 +49,7 @@ KINDS: tuple[Kind, ...] = (
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-", 0.2, r"(?i)ssn|social|security", False),
     Kind("secret", r"(?:token|secret|password|api_key) ?[=:] ?\"[^\"\n]{8,}+\"", "\"", 0.6, r"(?i)key|auth", False),
 )
-_SPAN = "array<struct<start:int,end:int,value:string>>"
+_SPAN = "array<struct<start:int,end:int,value:string,before:string>>"
 
 
 def _digits(value: Column) -> Column:
@@ -74,16 +78,30 @@ def valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is found once, however often the body's functions look at it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """For each of an array's numbers (0 and up, one at least), the sum or maximum of those before it, in two levels of blocks."""
+    scan = lambda a: F.aggregate(a, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(op(F.element_at(acc, -1), x))))
+    cut = lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")), lambda b: scan(F.slice(v, b * BLOCK + 1, BLOCK)))
+    starts = lambda blocks: F.slice(scan(F.transform(blocks, lambda a: F.element_at(a, -1))), 1, F.size(blocks))
+    moved = lambda a, o: F.transform(F.slice(a, 1, F.size(a) - 1), lambda v: op(v, o))
+    return _let(values, lambda v: _let(cut(v), lambda blocks: F.flatten(F.zip_with(blocks, starts(blocks), moved))))
+
+
 def _placed(text: Column, found: Column, kind: Kind) -> Column:
-    """Start, end and value of each match, from the lengths of pieces and matches."""
+    """Start, end and value of each match, from the lengths of pieces and matches; and the ``WINDOW`` code points before it."""
     pieces = F.slice(F.split(text, kind.pattern, -1), 1, F.size(found))
-    pairs = F.zip_with(pieces, found, lambda p, v: F.struct(F.length(p).alias("gap"), v.alias("v")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
-    grow = lambda acc, x: F.struct(
-        (acc["at"] + x["gap"] + F.length(x["v"])).alias("at"),
-        F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + F.length(x["v"])).alias("end"), x["v"].alias("value")))).alias("out"),
-    )
-    return F.aggregate(pairs, start, grow, lambda acc: acc["out"])
+    all_pairs = F.zip_with(pieces, found, lambda p, v: F.struct(p.alias("p"), v.alias("v"), F.length(p).alias("gap"), (F.length(p) + F.length(v)).alias("len")))
+    end = lambda t: F.substring(t, -WINDOW, WINDOW)
+    earlier = lambda pairs, i: F.array_join(F.transform(F.slice(pairs, F.greatest(i - WINDOW, F.lit(0)) + 1, F.least(i, F.lit(WINDOW))), lambda x: F.concat(x["p"], x["v"])), "")
+    before = lambda pairs: F.transform(pairs, lambda x, i: end(F.when(x["gap"] >= WINDOW, x["p"]).otherwise(F.concat(earlier(pairs, i), x["p"]))))
+    lengths = lambda pairs: _running(F.transform(pairs, lambda x: x["len"]), lambda a, b: a + b)
+    span = lambda x: F.struct((x["at"] + x["x"]["gap"]).alias("start"), (x["at"] + x["x"]["len"]).alias("end"), x["x"]["v"].alias("value"), x["before"].alias("before"))
+    return _let(all_pairs, lambda pairs: F.transform(F.arrays_zip(pairs.alias("x"), lengths(pairs).alias("at"), before(pairs).alias("before")), span))
 
 
 def find_pii(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
@@ -101,8 +119,7 @@ def find_pii(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", kin
     placed = matched.select("doc_id", "text", *(F.when(F.size(f"m{i}") > 0, _placed(F.col("text"), F.col(f"m{i}"), k)).otherwise(F.array().cast(_SPAN)).alias(f"s{i}") for i, k in enumerate(kinds)))
 
     def scored(i: int, k: Kind) -> Column:
-        before = lambda x: F.substring(F.col("text"), F.greatest(x["start"] - WINDOW, F.lit(0)) + 1, F.least(x["start"], F.lit(WINDOW)))
-        score = lambda x: F.lit(k.score) + (CONFIRMED if k.name in ("card", "iban") else 0.0) + F.when(before(x).rlike(k.context), CONTEXT).otherwise(0.0)
+        score = lambda x: F.lit(k.score) + (CONFIRMED if k.name in ("card", "iban") else 0.0) + F.when(x["before"].rlike(k.context), CONTEXT).otherwise(0.0)
         row = lambda x: F.struct(F.lit(k.name).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), F.round(F.least(score(x), F.lit(1.0)), 3).alias("score"), F.lit(k.base).alias("base"))
         kept = F.transform(F.filter(f"s{i}", lambda x: valid(k.name, x["value"])), row)
         return kept if k.base else F.filter(kept, lambda x: x["score"] >= ACCEPT)
@@ -120,14 +137,23 @@ def mask_pii(docs: DataFrame, *, text: str = "text", kinds: tuple[Kind, ...] = K
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"))
     found = find_pii(whole.select("row", F.col(f"row.`{text}`").alias("text")), doc_id="row", kinds=kinds).withColumnRenamed("doc_id", "row")
     spans = F.array_sort(F.transform("findings", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    text_from = lambda a, n: F.substring(F.col("text"), a + 1, n)
-    step = lambda acc, x: F.when(
-        x["start"] >= acc["at"],
-        F.struct(x["end"].alias("at"), F.concat(acc["out"], text_from(acc["at"], x["start"] - acc["at"]), F.lit("<"), F.upper(x["kind"]), F.lit(">")).alias("out")),
-    ).otherwise(F.struct(F.greatest(acc["at"], x["end"]).alias("at"), acc["out"].alias("out")))
-    masked = F.aggregate(F.col("spans"), start, step, lambda acc: F.concat(acc["out"], text_from(acc["at"], F.length("text") - acc["at"])))
-    done = found.withColumn("spans", spans).withColumn("text", F.when(F.size("spans") > 0, masked).otherwise(F.col(f"row.`{text}`")))
+    found = found.withColumn("spans", spans)
+    cut = F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{BLOCK}}}"), 0)
+    block = lambda blocks, i: F.coalesce(F.get(blocks, i), F.lit(""))
+
+    def between(blocks: Column, a: Column, b: Column) -> Column:
+        i, j = F.floor(a / BLOCK).cast("int"), F.floor(b / BLOCK).cast("int")
+        inside = F.substring(block(blocks, i), a % BLOCK + 1, b - a)
+        across = F.concat(F.substring(block(blocks, i), a % BLOCK + 1, F.lit(BLOCK)), F.array_join(F.slice(blocks, i + 2, j - i - 1), ""), F.substring(block(blocks, j), F.lit(1), b % BLOCK))
+        return F.when(i == j, inside).otherwise(across)
+
+    def masked(blocks: Column) -> Column:
+        ends = F.transform("spans", lambda x: x["end"])
+        part = lambda x, at: F.when(x["start"] >= at, F.concat(between(blocks, at, x["start"]), F.lit("<"), F.upper(x["kind"]), F.lit(">"))).otherwise("")
+        parts = F.zip_with("spans", _running(ends, lambda a, b: F.greatest(a, b)), part)
+        return F.concat(F.array_join(parts, ""), between(blocks, F.array_max(ends), F.length("text")))
+
+    done = found.withColumn("text", F.when(F.size("spans") > 0, _let(cut, masked)).otherwise(F.col(f"row.`{text}`")))
     new = {text: F.col("text")} | ({"n_chars": F.when(F.size("spans") > 0, F.length("text")).otherwise(F.col("row.n_chars"))} if "n_chars" in names else {})
     kinds_of = dict(docs.dtypes)
     return done.select(*(new.get(c, F.col(f"row.`{c}`")).cast(kinds_of[c]).alias(c) for c in names))
