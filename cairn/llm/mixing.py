@@ -1,9 +1,10 @@
 """Mixing sources to target weights [native]: entropy balancing, then rounding into whole copies.
 
-Among all document rates r in (0, 2) whose words meet each source's target, the balanced ones stay closest in entropy
-to r = 1. They are r = 2 / (1 + exp(-lambda * size / mean size)): one multiplier a source, the root of a convex
-dual, found by Newton steps whose sums Spark takes over a histogram of (source, size). Rates become copies by a threshold
-on a hash of the document, set so that the words taken meet the target; smaller documents then fill what is left.
+Among all document rates 0 <= r <= 2 whose words meet each source's target, the balanced ones stay closest in relative
+entropy to r = 1. They are exponential tilts, held at the bound: r = min(2, exp(lambda * size / mean size)), with one multiplier
+a source, the root of a convex dual, found by Newton steps whose sums Spark takes over a histogram of (source, size).
+Rates become copies by a threshold on a random key of the row, set so that the words taken meet the target; smaller documents
+then fill what is left.
 """
 
 from __future__ import annotations
@@ -17,7 +18,9 @@ from cairn.llm._common import SPACE_WORD, Scratch, table
 #: Weights by rank of the source, repeating; share of all words that the mix has; most copies of a document.
 WEIGHTS, SHARE, COPIES = (3.0, 1.0, 2.0), 1.5, 2
 #: Newton stops when every source is within this share of its target; then buckets of the rounding threshold.
-CLOSE, STEPS, BUCKETS, FILLS = 1e-6, 25, 4096, 3
+CLOSE, STEPS, BUCKETS, FILLS = 1e-6, 60, 4096, 3
+#: Equal rows that one task counts out again.
+REPEATS = 4096
 #: Sources whose one row each is broadcast to the documents; more are joined by a shuffle, whose skew Spark splits.
 BROADCAST_SOURCES = 100_000
 
@@ -44,7 +47,7 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 
 def _rate(size: Column) -> Column:
-    return COPIES / (1 + F.exp(-F.col("lambda") * size / F.col("mean")))
+    return F.least(F.lit(float(COPIES)), F.exp(F.col("lambda") * size / F.col("mean")))
 
 
 def _by_source(rows: DataFrame, facts: DataFrame, few: bool, how: str = "inner") -> DataFrame:
@@ -56,15 +59,15 @@ def _by_source(rows: DataFrame, facts: DataFrame, few: bool, how: str = "inner")
 def balance(scratch: Scratch, histogram: DataFrame, due: DataFrame, few: bool) -> DataFrame:
     """The multiplier of each source: safeguarded Newton steps on the dual, all sources at once.
 
-    A source at its bound has no finite multiplier: its documents all get ``COPIES``. One without words gets 0. A step
-    that leaves the bracket of the root is replaced by its middle, so the steps cannot diverge.
+    A source at its bound has no finite multiplier: its documents all get ``COPIES``. One without words keeps its start. A step
+    at most doubles the multiplier, and one that leaves the bracket of the root is replaced by its middle, so the steps cannot diverge.
     """
     mean = histogram.groupBy("source").agg((F.sum(F.col("n") * F.col("size")) / F.sum("n")).alias("mean"))
     state = due.join(mean, due["source"].eqNullSafe(mean["source"])).select(
         due["source"], "source_size", "target", F.greatest("mean", F.lit(1e-9)).alias("mean"),
         (F.col("target") < F.col("source_size") * (COPIES - 1e-9)).alias("free"),
-        F.lit(-700.0).alias("low"), F.lit(700.0).alias("high"),
-        F.coalesce(F.ln(F.try_divide("target", F.nullif(F.col("source_size") * float(COPIES) - F.col("target"), F.lit(0.0)))), F.lit(0.0)).alias("lambda"),
+        F.lit(-1e6).alias("low"), F.lit(1e6).alias("high"),
+        F.coalesce(F.ln(F.try_divide("target", "source_size")), F.lit(0.0)).alias("lambda"),
         F.lit(1.0).alias("off"),
     )
     state = scratch.save(state.coalesce(1), "step0")
@@ -73,16 +76,18 @@ def balance(scratch: Scratch, histogram: DataFrame, due: DataFrame, few: bool) -
         words = F.col("n") * F.col("size")
         r = _rate(F.col("size"))
         sums = one.groupBy(*(F.col(c) for c in state.columns)).agg(
-            F.sum(words * r).alias("taken"), F.sum(words * F.col("size") / F.col("mean") * r * (1 - r / COPIES)).alias("slope")
+            F.sum(words * r).alias("taken"), F.sum(F.when(r < COPIES, words * F.col("size") / F.col("mean") * r).otherwise(0.0)).alias("slope")
         )
         gap = F.col("taken") - F.col("target")
         low, high = F.when(gap < 0, F.col("lambda")).otherwise(F.col("low")), F.when(gap > 0, F.col("lambda")).otherwise(F.col("high"))
-        step = F.col("lambda") - gap / F.greatest("slope", F.lit(1e-12))
+        most = 2 * F.abs("lambda") + 4
+        step = F.greatest(F.least(F.col("lambda") - gap / F.greatest("slope", F.lit(1e-12)), most), -most)
         moved = F.when((step > low) & (step < high), step).otherwise((low + high) / 2)
         off = F.abs(gap) / F.greatest("target", F.lit(1.0))
         done = ~F.col("free") | (F.col("source_size") == 0) | (off < CLOSE)
         new = {"low": low, "high": high, "lambda": F.when(done, F.col("lambda")).otherwise(moved), "off": F.when(done, 0.0).otherwise(off)}
         state = scratch.save(sums.select(*(new.get(c, F.col(c)).alias(c) for c in state.columns)).coalesce(1), f"step{i}")
+        scratch.drop(f"step{i - 1}")
         if state.agg(F.max("off")).first()[0] in (None, 0.0):
             break
     return state.select("source", "source_size", "target", "mean", "free", "lambda")
@@ -104,23 +109,38 @@ def _fill(docs: DataFrame, first: bool, few: bool) -> DataFrame:
     d = _by_source(d, cut, few, "left")
     whole = F.coalesce(F.col("bucket") < F.col("cut.bucket"), F.col("bucket").isNotNull())
     at_cut = d.filter(F.col("bucket") == F.col("cut.bucket"))
-    run = F.sum("size").over(W.partitionBy("source").orderBy("key", "row_id").rowsBetween(W.unboundedPreceding, 0))
+    run = F.sum("size").over(W.partitionBy("source").orderBy("key", "row_id", "size").rowsBetween(W.unboundedPreceding, 0))
     inside = at_cut.withColumn("more", (F.col("cut.before") + run <= F.col("left")).cast("int"))
     rest = d.filter(F.coalesce(F.col("bucket") != F.col("cut.bucket"), F.lit(True))).withColumn("more", whole.cast("int"))
     return rest.unionByName(inside).select(*docs.drop("copies").columns, (F.col("copies") + F.col("more")).alias("copies"))
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """The same rows, equal ones with ``row_id`` hashed with their number: counted before the shuffle, then counted out again.
+
+    Many equal rows are counted out in blocks by many tasks.
+    """
+    sizes = rows.groupBy(*rows.columns).agg(F.count("*").alias("m")).withColumn("blocks", F.ceil(F.col("m") / REPEATS))
+    block = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")
+    many = sizes.filter("blocks > 1").select("*", block).repartition("row_id", "block")
+    all_rows = sizes.filter("blocks = 1").withColumn("block", F.lit(0).cast("long")).unionByName(many)
+    number = F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(REPEATS), F.col("m") - F.col("block") * REPEATS))).alias("k")
+    numbered = all_rows.select(*rows.columns, "block", number)
+    return numbered.select("doc_id", "source", "size", F.when((F.col("block") == 0) & (F.col("k") == 1), F.col("row_id")).otherwise(F.xxhash64("row_id", "block", "k")).alias("row_id"))
+
+
 def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """doc_id, source, size, source_size, target, rate, copies, taken: one row per input row.
 
-    Sizes are counts of words; a null text has none and is taken with none. A null source is a source, last in order. Equal
-    rows keep apart by a row number given once when sizes are written. Copies are 0 to ``COPIES``; which documents get
-    the odd copy depends on a hash of doc_id, text length and source alone, so reruns agree. An empty table gives no rows.
+    Sizes are counts of words; a null text has none and is taken with none. A null source is a source, last in order. Rows
+    are told apart by a hash of doc_id, source and text, and equal rows by a number among them, so each row has a rounding key of its
+    own. Copies are 0 to ``COPIES``; which rows get the odd copy depends on those keys alone, so reruns agree. An empty
+    table gives no rows. Other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "mix")
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(SPACE_WORD)), F.lit(0)).cast("long")
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), F.xxhash64(F.col(doc_id), F.col(source), F.length(text)).alias("row_id"))
-    sizes = scratch.save(own, "sizes")
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), F.xxhash64(F.col(doc_id), F.col(source), F.col(text)).alias("row_id"))
+    sizes = scratch.save(_numbered(own), "sizes")
     histogram = scratch.save(sizes.groupBy("source", "size").agg(F.count("*").alias("n")), "histogram")
     due = targets(histogram.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")))
     few = histogram.select("source").distinct().count() <= BROADCAST_SOURCES
@@ -135,6 +155,8 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text
         filled = scratch.save(_fill(filled, i == 0, few), f"fill{i}")
         if i:
             scratch.drop(f"fill{i - 1}")
+    scratch.drop("sizes")
+    scratch.drop("histogram")
     return filled.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
