@@ -1,29 +1,30 @@
 """Language ID by multilingual mixtures: expectation-maximisation over n-gram likelihoods, then a penalised choice.
 
 Training sums byte-trigram counts of each language over all its documents: tasks add up dense counts, one shuffle adds up
-the tasks. A document's proportions maximise the likelihood of its trigrams under a mixture of the languages;
-languages enter the set one by one while the gain in log likelihood exceeds a penalty that grows with length.
+the tasks. A document's proportions maximise the likelihood of its trigrams under a mixture of the languages. Languages
+enter the set one by one, largest first; each set has proportions of its own, found by the same steps, and is taken
+if its log likelihood exceeds that of the smaller set by a penalty that grows with length.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairn.llm._common import slices, table
 
-#: Buckets of trigrams (hashed), bytes of text that are expanded at once, smoothing, steps of a mixture at most.
-BUCKETS, PIECE, SMOOTH, STEPS = 1 << 15, 500_000, 0.5, 20
+#: Buckets of trigrams (hashed), bytes of text that are expanded at once, smoothing, steps of a mixture at most and the change that ends them.
+BUCKETS, PIECE, SMOOTH, STEPS, CLOSE = 1 << 15, 500_000, 0.5, 20, 1e-3
 #: A further language must gain PENALTY * log(trigrams) in log likelihood, and have a share of at least SHARE.
 PENALTY, SHARE = 2.0, 0.02
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _SPACE = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 UND = "und"
 
@@ -35,6 +36,18 @@ def grams(text: str) -> np.ndarray:
     return ids[(b[:-2] != 32) | (b[1:-1] != 32) | (b[2:] != 32)]
 
 
+def shares(p: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, float]:
+    """Proportions of the rows of ``p`` (likelihoods of the seen trigrams) by expectation-maximisation, and their log likelihood."""
+    share, n = np.full(len(p), 1 / len(p)), counts.sum()
+    for _ in range(STEPS if len(p) > 1 else 0):
+        joint = share[:, None] * p
+        new = (joint * (counts / joint.sum(axis=0))).sum(axis=1) / n
+        moved, share = np.abs(new - share).max(), new
+        if moved < CLOSE:
+            break
+    return share, float(counts @ np.log(share @ p))
+
+
 @dataclass(frozen=True)
 class Model:
     """Languages, and for each the log probability of every bucket."""
@@ -46,27 +59,20 @@ class Model:
         """The chosen languages with their proportions, largest first."""
         seen, counts = np.unique(ids, return_counts=True)
         log_p = self.log_p[:, seen]
-        shift = log_p.max(axis=0)
-        p, n = np.exp(log_p - shift), len(ids)
-        share = np.full(len(p), 1 / len(p))
-        for _ in range(STEPS):
-            joint = share[:, None] * p
-            new = (joint * (counts / joint.sum(axis=0))).sum(axis=1) / n
-            moved, share = np.abs(new - share).max(), new
-            if moved < 1e-3:
-                break
+        p = np.exp(log_p - log_p.max(axis=0))
+        share, _ = shares(p, counts)
         order = np.argsort(-share, kind="stable")
-        order = [i for i in order.tolist() if share[i] >= SHARE] or order[:1].tolist()
-        like = lambda chosen, w: float(counts @ np.log(w @ p[chosen]))
-        chosen, best = order[:1], like(order[:1], np.ones(1))
+        chosen = order[:1]
+        found, best = shares(p[chosen], counts)
         for i in order[1:]:
-            more = [*chosen, i]
-            gained = like(more, share[more] / share[more].sum())
-            if gained - best <= PENALTY * np.log(n):
+            if share[i] < SHARE:
+                break
+            more = np.r_[chosen, i]
+            next_found, gained = shares(p[more], counts)
+            if gained - best <= PENALTY * np.log(len(ids)):
                 break
-            chosen, best = more, gained
-        total = share[chosen].sum()
-        return [(self.languages[i], float(share[i] / total)) for i in chosen]
+            chosen, found, best = more, next_found, gained
+        return sorted(((self.languages[i], float(w)) for i, w in zip(chosen, found)), key=lambda x: (-x[1], x[0]))
 
 
 def train(docs: DataFrame, *, text: str = "text", lang: str = "lang") -> Model:
@@ -132,12 +138,13 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
 
 
 def held_out():
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    """Whether learning leaves a document out; not so for a null id."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Language and score of every document, learned from those that are not held out."""
+    """Language, score and chosen languages (largest first) of every document, learned from those that are not held out."""
     docs = table(spark, sf_dir, "documents")
-    model = train(docs.filter(~F.coalesce(held_out(), F.lit(False))))
-    found = identify(docs.select("doc_id", "text"), model)
-    return found.select(F.col("row.doc_id").alias("doc_id"), "lang_pred", "score").withColumn("held_out", held_out())
+    found = identify(docs.select("doc_id", "text"), train(docs.filter(~held_out())))
+    names = F.array_join(F.transform("languages", lambda x: x["lang"]), ",")
+    return found.select(F.col("row.doc_id").alias("doc_id"), "lang_pred", "score", names.alias("languages")).withColumn("held_out", held_out())
