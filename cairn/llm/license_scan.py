@@ -1,9 +1,10 @@
 """Licence scans: matching statistics of each file against a generalised suffix automaton of licence tokens.
 
 The automaton holds every substring of every template. Streaming a text through it gives, at each word, the longest run of
-words ending there that occurs in some template. Runs that cannot grow are chained by their place in a
-template into spans; a template whose words are covered well enough gives its label. Base phrases are substrings
-too: one ends wherever its state is the current one or a suffix of it. One scan, no shuffle.
+words ending there that occurs in some template. Runs that cannot grow are chained by their places in a
+template into spans; a template whose words are covered well enough gives its label, unless another template covers
+more words of the same place. Base phrases are substrings too: one ends wherever its state is the current one or a suffix
+of it. One scan, no shuffle.
 """
 
 from __future__ import annotations
@@ -18,22 +19,10 @@ from pyspark.sql import functions as F
 
 from cairn.llm._common import slices, table
 from cairn.llm.decontaminate import tokens
+from cairn.llm.licenses import TEMPLATES
 
 #: Base phrases and their labels.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
-#: Sentences by which licences are recognised, and their labels (parameter of ``scan_licenses``).
-TEMPLATES = (
-    ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit"),
-    ("licensed under the apache license version 2 0 you may not use this file except in compliance with the license", "apache-2"),
-    ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd"),
-    ("this work is licensed under the gnu general public license version 3", "gpl-3"),
-    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gpl"),
-    ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl-2"),
-    ("this work is licensed under a creative commons attribution noncommercial 4 0 international license", "cc-by-nc"),
-    ("this work is licensed under a creative commons attribution 4 0 international license", "cc-by"),
-    ("released under the mit license", "mit"),
-    ("all rights reserved no part of this publication may be reproduced", "all-rights-reserved"),
-)
 #: Words of a run that counts; words between runs of a chain; covered share of a template that gives its label.
 RUN, GAP, COVERED = 4, 8, 0.7
 
@@ -43,15 +32,19 @@ class Automaton:
 
     def __init__(self, sequences: Sequence[Sequence[int]], phrases: Sequence[Sequence[int]]) -> None:
         self.next: list[dict[int, int]] = [{}]
-        self.link, self.length, self.at = [-1], [0], [{}]  # at: template -> last word of an occurrence
+        self.link, self.length, self.at = [-1], [0], [{}]  # at: template -> last words of occurrences
         for k, sequence in enumerate(sequences):
             state = 0
             for i, token in enumerate(sequence):
                 state = self._extend(state, token)
-                self.at[state].setdefault(k, i)
+                self.at[state].setdefault(k, []).append(i)
         for s in sorted(range(1, len(self.next)), key=lambda s: -self.length[s]):
-            for k, i in self.at[s].items():
-                self.at[self.link[s]].setdefault(k, i)
+            if self.length[self.link[s]] >= RUN:  # shorter runs are not asked for their places
+                for k, places in self.at[s].items():
+                    self.at[self.link[s]].setdefault(k, []).extend(places)
+        for own in self.at:
+            for places in own.values():
+                places.sort()
         #: Phrases that end where a run of this state ends, with their lengths.
         own: dict[int, list[tuple[int, int]]] = {}
         for p, phrase in enumerate(phrases):
@@ -66,7 +59,7 @@ class Automaton:
     def _add(self, length: int, like: int | None = None) -> int:
         self.next.append({} if like is None else dict(self.next[like]))
         self.link.append(-1 if like is None else self.link[like])
-        self.at.append({} if like is None else dict(self.at[like]))
+        self.at.append({})
         self.length.append(length)
         return len(self.next) - 1
 
@@ -129,7 +122,10 @@ class Scanner:
         return sorted(places), runs
 
     def chains(self, runs: list[tuple[int, int, int]]) -> list[tuple[int, int, int, float]]:
-        """(start, end, template, covered share): runs of one template, in its order and at most GAP words apart."""
+        """(start, end, template, covered share): runs of one template, in its order and at most GAP words apart.
+
+        Of the places that a run has in a template the first that continues the chain is taken, else the first.
+        """
         out, open_ = [], {}
 
         def close(k: int) -> None:
@@ -137,27 +133,51 @@ class Scanner:
             out.append((start, end, k, min(1.0, covered / len(self.templates[k]))))
 
         for start, end, state in runs:
-            for k, last in self.automaton.at[state].items():
+            for k, places in self.automaton.at[state].items():
                 if k < self.n_base:
                     continue
-                first = last - (end - start)
-                if k in open_ and (start - open_[k][1] - 1 > GAP or first <= open_[k][2] - GAP):
-                    close(k)
+                last = None
+                if k in open_:
+                    if start - open_[k][1] - 1 <= GAP:
+                        last = next((t for t in places if t > open_[k][2] and t - (end - start) > open_[k][2] - GAP), None)
+                    if last is None:
+                        close(k)
                 if k in open_:
                     s, e, t, covered = open_[k]
-                    new = min(end - e, last - t)
-                    open_[k] = (s, max(e, end), max(t, last), covered + max(0, new))
+                    open_[k] = (s, max(e, end), last, covered + max(0, min(end - e, last - t)))
                 else:
-                    open_[k] = (start, end, last, end - start + 1)
+                    open_[k] = (start, end, places[0], end - start + 1)
         for k in list(open_):
             close(k)
         return sorted(out)
 
+    def spans(self, runs: list[tuple[int, int, int]], covered: float) -> list[tuple[int, int, int, float]]:
+        """The chains that cover their template well enough; of those that share more than half of the shorter, the one that covers most words."""
+        words = lambda x: x[3] * len(self.templates[x[2]])
+        overlap = lambda x, y: 2 * (min(x[1], y[1]) - max(x[0], y[0]) + 1) > min(x[1] - x[0], y[1] - y[0]) + 1
+        places: list[list[tuple[int, int, int, float]]] = []  # chains that reach into each other
+        reach = -1
+        for x in self.chains(runs):
+            if x[3] < covered:
+                continue
+            if x[0] > reach:
+                places.append([])
+            places[-1].append(x)
+            reach = max(reach, x[1])
+        out = []
+        for place in places:
+            best: list[tuple[int, int, int, float]] = []
+            for x in sorted(place, key=lambda x: (-words(x), -x[3], x)):
+                if not any(overlap(x, y) for y in best):
+                    best.append(x)
+            out += sorted(best)
+        return out
+
 
 def scan_licenses(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", phrases: Sequence[tuple[str, str]] = PHRASES, templates: Sequence[tuple[str, str]] = TEMPLATES, covered: float = COVERED) -> DataFrame:
     """doc_id, n_words, places (start, label of each base phrase), spans (start, end, label, score): one row per input row.
 
-    Starts and ends count words from 0, the end inclusive; spans are those with at least ``covered`` of a template. A null
+    Starts and ends count words from 0, the end inclusive; spans cover at least ``covered`` of a template, and more words than others at their place. A null
     or empty text has no words. Repeated rows and null ids stay; other columns are not read.
     """
     schema = pa.schema([
@@ -174,7 +194,7 @@ def scan_licenses(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
                 found, runs = scanner.scan(words)
                 n.append(len(words))
                 places.append([{"start": s, "label": scanner.labels[p]} for s, p in found])
-                spans.append([{"start": s, "end": e, "label": scanner.labels[k], "score": c} for s, e, k, c in scanner.chains(runs) if c >= covered])
+                spans.append([{"start": s, "end": e, "label": scanner.labels[k], "score": c} for s, e, k, c in scanner.spans(runs, covered)])
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip((n, places, spans), list(schema)[1:]))], schema=schema)
 
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
