@@ -1,25 +1,29 @@
 """Token counts: batch encoding in Arrow functions that return lengths only.
 
-Long texts are split where no token can reach across: at ASCII white space, which this kind of tokenizer drops. The
-pieces repeat, so each task encodes a piece once, in batches balanced by bytes, and keeps its length in a table of
-bounded size; a text's count is the sum over its pieces.
+Texts are split where no token can reach across: at ASCII white space, if the tokenizer's file shows that it drops it. The
+pieces repeat, so each task encodes a piece once, in batches balanced by bytes, and keeps the lengths of short pieces in a
+table of bounded size; a text's count is the sum over its pieces. With any other tokenizer a text is one piece.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import product
 
-import pyarrow as pa
 import public_tokenizers
+import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cairn.llm._common import slices, table
 
-#: Bytes of text that one call encodes; pieces whose length a task remembers; most tokens of a document.
-BATCH_BYTES, REMEMBERED, LIMIT = 1_000_000, 400_000, 2048
+#: Bytes of text that one call encodes; pieces whose length a task remembers, and their bytes at most; most tokens of a document.
+BATCH_BYTES, REMEMBERED, SHORT, LIMIT = 1_000_000, 400_000, 64, 2048
+_SPACES = " \t\n\v\f\r"
 
 
 @lru_cache(maxsize=2)
@@ -31,6 +35,31 @@ def load(path: str) -> Tokenizer:
     return found
 
 
+def _parts(step: dict | None, name: str) -> list[dict]:
+    return [] if not step else [p for x in step[name] for p in _parts(x, name)] if step["type"] == "Sequence" else [step]
+
+
+def _splits(step: dict) -> bool:
+    """Whether a pre-tokenizer drops ASCII white space and never looks across it."""
+    if step["type"] in ("Whitespace", "WhitespaceSplit", "BertPreTokenizer"):
+        return True
+    if step["type"] != "Split" or step["behavior"] != "Removed" or not step["invert"] or "Regex" not in step["pattern"]:
+        return False
+    pattern = regex.compile(step["pattern"]["Regex"])
+    return not any(s in m[0] for s in _SPACES for x, y in product(("", "a", "1", ".", "'", s), repeat=2) for m in pattern.finditer(x + s + y))
+
+
+@lru_cache(maxsize=2)
+def drops_space(path: str) -> bool:
+    """Whether the file's tokenizer counts a text as the sum over its runs of anything but ASCII white space."""
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    plain = all(n["type"] in ("NFC", "NFD", "NFKC", "NFKD", "Lowercase") or n["type"] == "Replace" and n["pattern"] == {"Regex": r"\s+"} and n["content"] == " " for n in _parts(file.get("normalizer"), "normalizers"))
+    added = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or set(_SPACES) & set(t["content"])) for t in file.get("added_tokens") or [])
+    first = _parts(file.get("pre_tokenizer"), "pretokenizers")[:1]
+    return plain and added and bool(first) and _splits(first[0])
+
+
 def lengths(tokenizer: Tokenizer, pieces: list[str]) -> list[int]:
     """Token counts of pieces, encoded in batches of about BATCH_BYTES."""
     out: list[int] = []
@@ -46,27 +75,22 @@ def lengths(tokenizer: Tokenizer, pieces: list[str]) -> list[int]:
 def count_tokens(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens: one row per input row.
 
-    ``path`` names a tokenizers file, readable on every executor, whose normaliser and splitter drop white space. A null
-    text is empty. Special strings inside texts count as the library counts them by default. Repeated rows and null
-    ids stay; other columns are not read.
+    ``path`` names a tokenizers file, readable on every executor. A null text is empty. Special strings inside texts count
+    as the library counts them by default. Repeated rows and null ids stay; other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, known = load(path), {}
+        tokenizer, split, known = load(path), drops_space(path), {}
         for batch in slices(batches, 2000):
             texts = [(t.as_py() or b"") for t in batch.column(1)]
-            split, new = [], {}
-            for t in texts:
-                pieces = t.split()
-                split.append(pieces)
-                new.update((p, 0) for p in set(pieces).difference(known))
-            if len(known) + len(new) > REMEMBERED:
-                known = {}
-                new = dict.fromkeys((p for pieces in split for p in pieces), 0)
-            order = list(new)
-            known.update(zip(order, lengths(tokenizer, [p.decode() for p in order])))
-            n = [sum(map(known.__getitem__, pieces)) for pieces in split]
+            pieces = [t.split() if split else [t] for t in texts]
+            new = list({p: 0 for own in pieces for p in own if p not in known})
+            counts = dict(zip(new, lengths(tokenizer, [p.decode() for p in new])))
+            n = [sum(counts[p] if p in counts else known[p] for p in own) for own in pieces]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, texts)), pa.int64()), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+            if len(known) + len(counts) > REMEMBERED:
+                known = {}
+            known.update((p, k) for p, k in counts.items() if len(p) <= SHORT)
 
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
     return own.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
