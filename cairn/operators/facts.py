@@ -38,7 +38,7 @@ def claims_of_policies(asked: DataFrame, policies: DataFrame, claims: DataFrame,
     if not 1 <= limit <= LIST_MOST:
         raise ValueError(f"limit must be 1 to {LIST_MOST}")
     own = policies.join(asked.select("policy_number").distinct(), "policy_number", "left_semi").select("policy_id", "policy_number")
-    rows = claims.join(own.select("policy_id"), "policy_id", "left_semi").select("policy_id", "claim_id", "claim_number", "occurrence_date", "claim_amount")
+    rows = claims.join(own.select("policy_id"), "policy_id", "left_semi").select("policy_id", "claim_id", "claim_number", "claim_type", "status", "occurrence_date", "claim_amount")
     order = W.partitionBy("policy_id").orderBy(F.desc("occurrence_date"), "claim_id")
     newest = rows.withColumn("n", F.row_number().over(order).cast("long")).filter(F.col("n") <= limit)
     return own.join(newest, "policy_id", "left")
@@ -126,8 +126,36 @@ def payment_text(row: Mapping[str, Column]) -> Column:
     return F.when(row["paid_amount"].isNull(), F.concat(head, F.lit('\nnenhum pagamento registrado — sinistro em status "'), row["status"], F.lit('"'))).otherwise(paid)
 
 
-def not_found(key: Column) -> Column:
-    return F.concat(F.lit("sinistro não encontrado: "), key)
+def policy_text(row: Mapping[str, Column]) -> Column:
+    """A policy as text; dates and status where the table has them."""
+    line = lambda k: F.concat(F.lit(f"{k}: "), row[k].cast("string"))
+    return F.concat_ws("\n", *(line(k) for k in ("policy_number", "product", "start_date", "end_date", "status") if k in row), F.concat(F.lit("annual_premium: "), X.brl(row["annual_premium"])))
+
+
+def listed_text(claims: Column) -> Column:
+    """The claims of a policy (structs with n, claim_number, claim_type, status, occurrence_date, claim_amount, paid_amount), in order of n."""
+    line = lambda x, k: F.concat(F.lit(f"{k}: "), x[k].cast("string"))
+    paid = lambda x: F.coalesce(X.brl(x["paid_amount"]), F.lit("nenhum pagamento"))
+    block = lambda x: F.concat_ws("\n", *(line(x, k) for k in ("claim_number", "claim_type", "status", "occurrence_date")), F.concat(F.lit(f"valor_reivindicado ({CLAIMED}): "), X.brl(x["claim_amount"])), F.concat(F.lit("paid_amount: "), paid(x)))
+    return F.array_join(F.transform(F.array_sort(claims), block), "\n\n")
+
+
+def summary_text(row: Mapping[str, Column]) -> Column:
+    """A summary of payments (D4) as text, or that there is none."""
+    head = F.concat(F.lit("paid_count: "), row["paid_count"].cast("string"))
+    sums = (F.concat(F.lit(f"{k}: "), X.brl(row[k])) for k in ("paid_sum", "paid_avg", "paid_min", "paid_max"))
+    return F.when(row["paid_count"] > 0, F.concat_ws("\n", head, *sums)).otherwise(F.concat_ws("\n", head, F.lit("nenhum pagamento nas condições filtradas")))
+
+
+def count_text(row: Mapping[str, Column]) -> Column:
+    """A count of claims (D6) as text."""
+    return F.concat_ws("\n", *(F.concat(F.lit(f"{k}: "), row[k].cast("string")) for k in ("claim_count", "paid_claim_count")))
+
+
+def not_found(query: Column, key: Column) -> Column:
+    """What stands for the text of a key without a row."""
+    head = F.when(query == "get_policy", "apólice não encontrada: ").when(query == "list_claims_by_policy", "nenhum sinistro nesta apólice: ").otherwise("sinistro não encontrado: ")
+    return F.concat(head, key)
 
 
 def guard(evidence: DataFrame, snapshot: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -160,25 +188,33 @@ def route(questions: DataFrame) -> DataFrame:
 
 
 def execute(plans: DataFrame, claims: DataFrame, policies: DataFrame, payments: DataFrame | None) -> DataFrame:
-    """question_id, step, query, key, text of routed plans: one join a query name; a table that is missing costs its own rows alone."""
-    mine = lambda name: plans.filter(F.col("query") == name)
+    """question_id, step, query, key, text of routed plans; a table that is missing costs its own rows alone.
+
+    Claims and policies that are asked for are looked up once each, whatever is asked of them; plans meet all texts in one join.
+    """
     cols = lambda df: {c: F.col(c) for c in df.columns}
-    asked = lambda name, c: mine(name).select(F.col("key").alias(c))
-    pick = lambda name, found, key: mine(name).join(found.select(F.col(key).alias("key"), "text"), "key", "left").withColumn("text", F.coalesce("text", not_found(F.col("key"))))
-    one = claim_lookup(asked("get_claim", "claim_number"), claims, policies)
-    parts = [pick("get_claim", one.withColumn("text", claim_text(cols(one))), "claim_number")]
+    asked = lambda c, *names: plans.filter(F.col("query").isin(*names)).select(F.col("key").alias(c))
+    told = lambda df, key, **texts: df.select(F.col(key).alias("key"), F.explode(F.array(*(F.struct(F.lit(q).alias("query"), t.alias("text")) for q, t in texts.items()))).alias("t")).select("key", "t.*")
+    of_claims = asked("claim_number", "get_claim", "get_claim_payment")
+    if payments is None:
+        found = claim_lookup(of_claims, claims, policies)
+        facts = told(found, "claim_number", get_claim=claim_text(cols(found)))
+    else:
+        found = claim_payment(of_claims, claims, policies, payments)
+        facts = told(found, "claim_number", get_claim=claim_text(cols(found)), get_claim_payment=payment_text(cols(found)))
+    of_policies = asked("policy_number", "get_policy", "list_claims_by_policy")
+    own = policy_lookup(of_policies, policies)
+    facts = facts.unionByName(told(own, "policy_number", get_policy=policy_text(cols(own))))
+    rows = claims_of_policies(of_policies, policies, claims).filter("claim_id IS NOT NULL")
     if payments is not None:
-        paid = claim_payment(asked("get_claim_payment", "claim_number"), claims, policies, payments)
-        parts.append(pick("get_claim_payment", paid.withColumn("text", payment_text(cols(paid))), "claim_number"))
-    pol = policy_lookup(asked("get_policy", "policy_number"), policies)
-    parts.append(pick("get_policy", pol.withColumn("text", F.concat(F.lit("policy_number: "), "policy_number", F.lit("\nproduct: "), "product", F.lit("\nannual_premium: "), X.brl(F.col("annual_premium")))), "policy_number"))
-    listed = claims_of_policies(asked("list_claims_by_policy", "policy_number"), policies, claims)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "claim_number", "claim_amount"))), lambda x: F.concat(x["claim_number"], F.lit(" "), X.brl(x["claim_amount"]))), "\n")
-    parts.append(pick("list_claims_by_policy", listed.filter("claim_id IS NOT NULL").groupBy("policy_number").agg(text.alias("text")), "policy_number"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("question_id", "step", "query", "key", "text")
+        first = F.min_by("paid_amount", F.struct("payment_date", "payment_no")).alias("paid_amount")
+        rows = rows.join(payments.join(rows.select("claim_id").distinct(), "claim_id", "left_semi").groupBy("claim_id").agg(first), "claim_id", "left")
+    else:
+        rows = rows.withColumn("paid_amount", F.lit(None).cast("double"))
+    listed = rows.groupBy("policy_number").agg(F.collect_list(F.struct("n", "claim_number", "claim_type", "status", "occurrence_date", "claim_amount", "paid_amount")).alias("c"))  # LIST_MOST at most
+    facts = facts.unionByName(told(listed, "policy_number", list_claims_by_policy=listed_text(F.col("c"))))
+    known = plans.filter("query <> 'get_claim_payment'") if payments is None else plans
+    return known.join(facts, ["query", "key"], "left").select("question_id", "step", "query", "key", F.coalesce("text", not_found(F.col("query"), F.col("key"))).alias("text"))
 
 
 def reconcile(claims: DataFrame, policies: DataFrame, payments: DataFrame, limits: DataFrame) -> DataFrame:

@@ -14,7 +14,14 @@ from cairn.functions import text as X
 # Fixed values that results depend on.
 SUFFICIENT, STEM = 0.8, 6
 PRODUCTS = ("Auto", "Residencial", "Empresarial")
-PII_REFUSAL, CITATION_REFUSAL, UNSUPPORTED_REFUSAL, TRUNCATED_REFUSAL = "pii_refusal", "citation_refusal", "unsupported_refusal", "truncated_refusal"
+PII_REFUSAL = (
+    "Não é possível expor dados pessoais de segurados — nome, CPF, telefone ou e-mail — ainda que constem em documento interno "
+    "(POL-LGPD-2024). Posso responder com dados não identificáveis, como o número do sinistro."
+)
+CITATION_REFUSAL = "Não foi possível validar as citações da resposta. As fontes recuperadas não sustentam o que foi gerado."
+UNSUPPORTED_REFUSAL = "As fontes recuperadas tratam do tema, mas não respondem à pergunta. Não há base nas fontes para afirmar esse dado."
+TRUNCATED_REFUSAL = "A resposta excedeu o limite de tamanho configurado e foi interrompida. Refaça a pergunta de forma mais específica."
+CLARIFICATION = "As fontes recuperadas trazem limites diferentes por produto. De qual produto se trata: "
 DRAFT = "outcome string, answer string, citations array<struct<evidence_id:string>>, _corrupt string"
 OUTCOMES = ("answered", "refused", "needs_clarification")
 
@@ -71,7 +78,7 @@ def grounded(drafts: DataFrame, citations: DataFrame) -> DataFrame:
 def clarification(products: Column) -> Column:
     """The question back, naming the products that the evidence spans."""
     named = F.when(F.size(products) > 1, F.concat(F.array_join(F.slice(products, F.lit(1), F.size(products) - 1), ", "), F.lit(" ou "), F.element_at(products, -1))).otherwise(F.get(products, 0))
-    return F.concat(F.lit("As fontes recuperadas trazem limites diferentes por produto. De qual produto se trata: "), named, F.lit("?"))
+    return F.concat(F.lit(CLARIFICATION), named, F.lit("?"))
 
 
 def gate_inputs(questions: DataFrame, evidence: DataFrame, drafts: DataFrame) -> DataFrame:

@@ -182,6 +182,16 @@ def cost_summary(records: DataFrame) -> DataFrame:
     )
 
 
+def cost_verdicts(records: DataFrame, live: str, ceiling: float = CEILING) -> DataFrame:
+    """Per provider: mean and largest cost against the ceiling; without a live run, or with replays in it, nothing is measured."""
+    cost = cost_usd(*(F.coalesce(c, F.lit(0)) for c in ("prompt_tokens", "cached_tokens", "completion_tokens", "reasoning_tokens")))
+    replay = (F.col("provider") == live) & ~F.coalesce("degraded", F.lit(False)) & (F.coalesce("prompt_tokens", F.lit(0)) == 0)
+    sums = records.withColumn("cost", cost).groupBy("provider").agg(F.round(F.avg("cost"), 9).alias("mean_cost"), F.round(F.max("cost"), 9).alias("max_cost"), F.count_if(replay).alias("n_replays"))
+    measured = F.coalesce((F.col("provider") == live) & (F.col("n_replays") == 0), F.lit(False))
+    verdict = lambda c: F.when(~measured, "not measured").when(F.col(c) <= ceiling, "pass").otherwise("miss")
+    return sums.select("provider", "mean_cost", "max_cost", verdict("mean_cost").alias("mean_verdict"), verdict("max_cost").alias("max_verdict"))
+
+
 def refusals(records: DataFrame, expected: DataFrame) -> DataFrame:
     """Of the first run: cases refused as expected, and others refused."""
     first = records.join(records.agg(F.min("run").alias("run")), "run").filter("outcome = 'refused'").select("case_id").distinct()
@@ -196,13 +206,18 @@ def resolved(citations: DataFrame, chunks: DataFrame) -> DataFrame:
     return rows.groupBy("message_id").agg(F.count("*").alias("requested"), F.count("text").alias("resolved"), texts.alias("texts"))
 
 
-def grader_prompts(answers: DataFrame, texts: DataFrame) -> DataFrame:
-    """message_id, prompt: the question, what was expected, the answer and the cited texts."""
+def grader_prompts(answers: DataFrame) -> DataFrame:
+    """message_id, prompt: the question, what was expected, the answer and the cited texts (column ``texts``)."""
     part = lambda tag, c: F.concat(F.lit(f"<{tag}>\n"), F.coalesce(c, F.lit("")), F.lit(f"\n</{tag}>"))
-    rows = answers.join(texts, "message_id", "left")
-    return rows.select("message_id", F.concat_ws("\n", part("question", F.col("question")), part("expected", F.col("expected")), part("answer", F.col("answer")), part("cited", F.array_join(F.coalesce("texts", F.array().cast("array<string>")), "\n---\n"))).alias("prompt"))
-
-
-def batch_check(responses: DataFrame, n_sent: int) -> DataFrame:
-    """As many well-formed responses as were sent, and no leak in any."""
-    return responses.agg(F.count("*").alias("n"), F.coalesce(F.bool_and(F.col("well_formed") & F.col("clean")), F.lit(False)).alias("all_ok")).withColumn("ok", (F.col("n") == n_sent) & F.col("all_ok"))
+    cited = F.array_join(F.coalesce("texts", F.array().cast("array<string>")), "\n---\n")
+    return answers.select("message_id", F.concat_ws("\n", part("question", F.col("question")), part("expected", F.col("expected")), part("answer", F.col("answer")), part("cited", cited)).alias("prompt"))
+
+
+def batch_check(batches: DataFrame, sent: DataFrame, responses: DataFrame) -> DataFrame:
+    """Per batch_id: requests sent, responses, and whether there are as many, all well-formed and without a leak."""
+    count = sent.groupBy("batch_id").agg(F.count("*").alias("n_sent"))
+    good = F.bool_and(F.coalesce("well_formed", F.lit(False)) & F.coalesce("clean", F.lit(False)))
+    got = responses.groupBy("batch_id").agg(F.count("*").alias("n"), good.alias("all_ok"))
+    both = batches.join(count, "batch_id", "left").join(got, "batch_id", "left")
+    both = both.select("batch_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_sent", "n")), F.coalesce("all_ok", F.lit(False)).alias("all_ok"))
+    return both.withColumn("ok", (F.col("n") == F.col("n_sent")) & F.col("all_ok"))

@@ -21,18 +21,18 @@ def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     return S.claims(spark, sf_dir), S.policies(spark, sf_dir), S.payments(spark, sf_dir)
 
 
-@query(S.sql("policies claims", " SELECT c.claim_id, c.claim_number, c.status, c.claim_amount, p.product, p.policy_number FROM claims c JOIN policies p ON p.policy_id = c.policy_id WHERE c.claim_number LIKE '%7'"))
+@query(S.sql("policies claims", " SELECT c.claim_id, c.claim_number, c.status, c.claim_amount, p.product, p.policy_number FROM claims c JOIN policies p ON p.policy_id = c.policy_id"))
 def d1_claim_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, p, _ = _tables(spark, sf_dir)
-    return D.claim_lookup(c.filter("claim_number LIKE '%7'"), c, p).select("claim_id", "claim_number", "status", "claim_amount", "product", "policy_number")
+    return D.claim_lookup(c, c, p).select("claim_id", "claim_number", "status", "claim_amount", "product", "policy_number")
 
 
 @query(S.sql(_ALL, f""", f AS (SELECT claim_id, {_PAID} AS p FROM payments GROUP BY claim_id)
  SELECT c.claim_id, c.claim_number, c.status, po.product, f.p.paid_amount AS paid_amount, f.p.payment_date AS payment_date, f.p.payment_type AS payment_type
- FROM claims c JOIN policies po ON po.policy_id = c.policy_id LEFT JOIN f ON f.claim_id = c.claim_id WHERE c.claim_number LIKE '%7'"""))
+ FROM claims c JOIN policies po ON po.policy_id = c.policy_id LEFT JOIN f ON f.claim_id = c.claim_id"""))
 def d2_claim_payment(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, p, pay = _tables(spark, sf_dir)
-    return D.claim_payment(c.filter("claim_number LIKE '%7'"), c, p, pay).select("claim_id", "claim_number", "status", "product", "paid_amount", "payment_date", "payment_type")
+    return D.claim_payment(c, c, p, pay).select("claim_id", "claim_number", "status", "product", "paid_amount", "payment_date", "payment_type")
 
 
 @query(S.sql("policies claims", """ SELECT p.policy_number, c.claim_id, c.claim_number, c.occurrence_date, c.claim_amount, c.n FROM policies p LEFT JOIN
@@ -61,10 +61,10 @@ def d8_optional_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(own)
 
 
-@query(S.sql("policies", " SELECT policy_number, product, annual_premium FROM policies WHERE policy_number LIKE '%3'"))
+@query(S.sql("policies", " SELECT policy_number, product, annual_premium FROM policies"))
 def d5_policy_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = S.policies(spark, sf_dir)
-    return D.policy_lookup(p.filter("policy_number LIKE '%3'"), p).select("policy_number", "product", "annual_premium")
+    return D.policy_lookup(p, p).select("policy_number", "product", "annual_premium")
 
 
 _CASES = {"all": {}, "paid": {"paid": True}, "unpaid": {"paid": False, "product": "MACHINERY"}, "type": {"payment_type": "F", "status": "F"}}
@@ -151,6 +151,23 @@ def d14_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("claim_id", D.claim_text(cols).alias("claim_text"), D.payment_text(cols).alias("payment_text"))
 
 
+@query(S.sql(_ALL, f""", t AS (SELECT p.product, c.claim_id, y.paid_amount FROM policies p JOIN claims c ON c.policy_id = p.policy_id LEFT JOIN payments y ON y.claim_id = c.claim_id),
+ s AS (SELECT product, count(paid_amount) AS k, sum(paid_amount) AS s, avg(paid_amount) AS a, min(paid_amount) AS lo, max(paid_amount) AS hi, count(DISTINCT claim_id) AS c, count(DISTINCT claim_id) FILTER (paid_amount IS NOT NULL) AS pc FROM t GROUP BY product)
+ SELECT product, 'paid_count: ' || k || chr(10) || CASE WHEN k = 0 THEN 'nenhum pagamento nas condições filtradas' ELSE 'paid_sum: ' || {_BRL.format('round(s, 2)')} || chr(10) || 'paid_avg: ' || {_BRL.format('round(a, 4)')}
+  || chr(10) || 'paid_min: ' || {_BRL.format('lo')} || chr(10) || 'paid_max: ' || {_BRL.format('hi')} END AS summary_text, 'claim_count: ' || c || chr(10) || 'paid_claim_count: ' || pc AS count_text FROM s
+ UNION ALL SELECT 'none', 'paid_count: 0' || chr(10) || 'nenhum pagamento nas condições filtradas', 'claim_count: 0' || chr(10) || 'paid_claim_count: 0'"""))
+def d14_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summaries of each market segment, and of one that does not exist, as text."""
+    out = None
+    for product in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY", "none"):
+        sums = _rounded(D.claims_summary(*_tables(spark, sf_dir), product=product))
+        counts = D.count_claims(*_tables(spark, sf_dir), product=product)
+        cols = lambda df: {c: F.col(c) for c in df.columns}
+        one = sums.select(F.lit(product).alias("product"), D.summary_text(cols(sums)).alias("summary_text")).crossJoin(counts.select(D.count_text(cols(counts)).alias("count_text")))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query(S.sql("claims payments", rf""" SELECT doc_id, regexp_matches(text, '{X.EMAIL}') AS held FROM documents"""))
 def d15_result_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, _, y = _tables(spark, sf_dir)
@@ -158,12 +175,12 @@ def d15_result_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ok.select("doc_id", F.lit(False).alias("held")).unionByName(held.select("doc_id", F.lit(True).alias("held")))
 
 
-@query(S.sql(_ALL, f""", j AS (SELECT c.*, p.product, p.policy_number FROM claims c JOIN policies p ON p.policy_id = c.policy_id WHERE c.claim_id % 3 = 0)
+@query(S.sql(_ALL, f""", j AS (SELECT c.*, p.product, p.policy_number FROM claims c JOIN policies p ON p.policy_id = c.policy_id)
  SELECT 'claims:get_claim:' || substr(sha256('{{"claim_number": "' || claim_number || '", "query": "get_claim"}}'), 1, 8) AS evidence_id, 'claims.get_claim(claim_number="' || claim_number || '")' AS section,
  product, {_CLAIM_TEXT} AS text, greatest((SELECT max(occurrence_date) FROM claims), (SELECT max(payment_date) FROM payments)) AS effective_date, 'claims.db' AS document_code, 'snapshot' AS version, 'database' AS doc_role, 'claims' AS source_kind FROM j"""))
 def d16_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, p, y = _tables(spark, sf_dir)
-    found = D.claim_lookup(c.filter("claim_id % 3 = 0"), c, p).filter("claim_id % 3 = 0")
+    found = D.claim_lookup(c, c, p)
     found = found.withColumn("text", D.claim_text({k: F.col(k) for k in found.columns}))
     return D.evidence_rows(found, "get_claim", {"claim_number": F.col("claim_number")}, D.snapshot_date(c, y))
 
@@ -189,11 +206,16 @@ def d17_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.route(routed_questions(spark, sf_dir))
 
 
+_POLICY_TEXT = f"'policy_number: ' || policy_number || chr(10) || 'product: ' || product || chr(10) || 'annual_premium: ' || {_BRL.format('annual_premium')}"
+_LISTED_TEXT = ("'claim_number: ' || claim_number || chr(10) || 'claim_type: ' || claim_type || chr(10) || 'status: ' || status || chr(10) || 'occurrence_date: ' || occurrence_date::VARCHAR || chr(10) || "
+ f"'valor_reivindicado ({D.CLAIMED}): ' || {_BRL.format('claim_amount')} || chr(10) || 'paid_amount: ' || coalesce({_BRL.format('f.p.paid_amount')}, 'nenhum pagamento')")
+
+
 @query(S.sql(_ALL, _ROUTED + f""", f AS (SELECT claim_id, {_PAID} AS p FROM payments GROUP BY claim_id), j AS (SELECT c.*, p.product, p.policy_number FROM claims c JOIN policies p ON p.policy_id = c.policy_id),
  t AS (SELECT claim_number AS key, 'get_claim' AS query, {_CLAIM_TEXT} AS text FROM j UNION ALL SELECT claim_number, 'get_claim_payment', {_PAY_TEXT} FROM j LEFT JOIN f ON f.claim_id = j.claim_id
- UNION ALL SELECT policy_number, 'get_policy', 'policy_number: ' || policy_number || chr(10) || 'product: ' || product || chr(10) || 'annual_premium: ' || {_BRL.format('annual_premium')} FROM policies
- UNION ALL SELECT policy_number, 'list_claims_by_policy', string_agg(claim_number || ' ' || {_BRL.format('claim_amount')}, chr(10) ORDER BY n) FROM
-  (SELECT j.*, row_number() OVER (PARTITION BY policy_id ORDER BY occurrence_date DESC, claim_id) AS n FROM j QUALIFY n <= 20) GROUP BY policy_number)
+ UNION ALL SELECT policy_number, 'get_policy', {_POLICY_TEXT} FROM policies
+ UNION ALL SELECT policy_number, 'list_claims_by_policy', string_agg({_LISTED_TEXT}, chr(10) || chr(10) ORDER BY n) FROM
+  (SELECT j.*, row_number() OVER (PARTITION BY policy_id ORDER BY occurrence_date DESC, claim_id) AS n FROM j QUALIFY n <= 20) l LEFT JOIN f ON f.claim_id = l.claim_id GROUP BY policy_number)
  SELECT r.question_id, r.step::BIGINT AS step, r.query, r.key, t.text FROM routed r LEFT JOIN t ON t.key = r.key AND t.query = r.query"""))
 def d18_execute(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.execute(D.route(routed_questions(spark, sf_dir)), *_tables(spark, sf_dir))

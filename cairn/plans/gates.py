@@ -1,9 +1,12 @@
-"""Gate queries: every document is a question, the five documents after it by id in its language are its evidence."""
+"""Gate queries: every document's whole text is a question, and the documents with the next five ids are its evidence.
+
+Planted cases: a question of 13 has no evidence, one of 8 no draft; answers are evidence texts, or for one of 4 the question
+itself; citations are forged or missing for some.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairn.functions import text as X
@@ -11,18 +14,18 @@ from cairn.operators import gates as G
 from cairn.plans import standins as S
 from cairn.plans.registry import query
 
-#: Documents in a block: the first five of a block are the evidence of all its questions.
-BLOCK = 20
+#: Evidence of a question.
+NEXT = 5
 _TAILS = ("", " nomes completos", " no Auto", " e o e-mail?", " CPF")
 _FOLD = f"trim(regexp_replace(translate(lower({{}}), '{X.MARKED}', '{X.PLAIN}'), '[^a-z0-9]+', ' ', 'g'))"
 _STOP = ", ".join(f"'{w}'" for w in X.STOPWORDS)
 _TERMS = f"list_distinct(list_filter(string_split({_FOLD}, ' '), lambda w: length(w) >= 4 AND w NOT IN ({_STOP}) AND NOT regexp_matches(w, '^[0-9]+$')))"
-_BASE = f""", gq AS (SELECT doc_id AS question_id, substr(text, 1, 80) || {list(_TAILS)}[(doc_id % 5 + 1)::INT] AS question, doc_id // {BLOCK} AS block FROM documents),
- be AS (SELECT id // {BLOCK} AS block, row_number() OVER (PARTITION BY id // {BLOCK} ORDER BY id) AS pos, id::VARCHAR AS evidence_id, document_code, section, product,
-  doc_role, contains_pii, CASE WHEN id % 9 = 0 THEN 'claims' ELSE 'corpus' END AS source_kind, text FROM chunks QUALIFY pos <= 5),
- ev AS (SELECT q.question_id, be.* EXCLUDE (block) FROM gq q JOIN be ON be.block = q.block AND q.question_id % 13 <> 0),
+_BASE = f""", gq AS (SELECT doc_id AS question_id, text || {list(_TAILS)}[(doc_id % 5 + 1)::INT] AS question FROM documents),
+ ev AS (SELECT q.question_id, c.id - q.question_id AS pos, c.id::VARCHAR AS evidence_id, document_code, section, product,
+  doc_role, contains_pii, CASE WHEN c.id % 9 = 0 THEN 'claims' ELSE 'corpus' END AS source_kind, c.text
+  FROM (SELECT question_id, unnest(range(1, {NEXT + 1})) AS k FROM gq WHERE question_id % 13 <> 0) q JOIN chunks c ON c.id = q.question_id + q.k),
  dr AS (SELECT q.question_id, CASE WHEN q.question_id % 17 = 3 THEN 'refused' WHEN q.question_id % 17 = 5 THEN 'needs_clarification' ELSE 'answered' END AS outcome,
-  CASE WHEN q.question_id % 4 = 0 THEN q.question ELSE coalesce(substr(e.text, 1, 300), '') END AS answer,
+  CASE WHEN q.question_id % 4 = 0 THEN q.question ELSE coalesce(e.text, '') END AS answer,
   CASE WHEN q.question_id % 6 = 0 THEN ['forged', e.evidence_id] WHEN q.question_id % 6 = 1 THEN []::VARCHAR[] ELSE list_filter([e.evidence_id], lambda x: x IS NOT NULL) END AS citations
   FROM gq q LEFT JOIN ev e ON e.question_id = q.question_id AND e.pos = 1 WHERE q.question_id % 8 <> 7)"""
 _FACTS = _BASE + """, fa AS (SELECT question_id, coalesce(bool_or(contains_pii OR doc_role = 'minutes'), FALSE) AS carries_pii, list_sort(list_distinct(list(product) FILTER (product <> 'All'))) AS products, count(*) AS n_evidence FROM ev GROUP BY 1)"""
@@ -40,7 +43,7 @@ _RATIO = _CITED + f""", he AS (SELECT DISTINCT question_id, unnest(list_concat({
   GROUP BY 1) r ON r.question_id = d.question_id)"""
 _JUDGED = _RATIO + """, ju AS (SELECT d.*, g.products, g.pii_request, g.ambiguous, coalesce(cv.all_found AND cv.n_cited > 0, FALSE) AS cites, ra.ratio >= 0.8 AS supported
  FROM dr d JOIN ga g ON g.question_id = d.question_id LEFT JOIN cv ON cv.question_id = d.question_id LEFT JOIN ra ON ra.question_id = d.question_id)"""
-_CL = "'As fontes recuperadas trazem limites diferentes por produto. De qual produto se trata: ' || CASE WHEN len(products) > 1 THEN array_to_string(products[1:len(products) - 1], ', ') || ' ou ' || products[len(products)] ELSE products[1] END || '?'"
+_CL = f"'{G.CLARIFICATION}' || " + "CASE WHEN len(products) > 1 THEN array_to_string(products[1:len(products) - 1], ', ') || ' ou ' || products[len(products)] ELSE products[1] END || '?'"
 
 
 def _red(column: str) -> str:
@@ -49,19 +52,19 @@ def _red(column: str) -> str:
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = S.table(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id").alias("question_id"), F.concat(F.substring("text", 1, 80), S.pick(F.col("doc_id"), _TAILS)).alias("question"), F.floor(F.col("doc_id") / BLOCK).alias("block"))
+    return d.select(F.col("doc_id").alias("question_id"), F.concat("text", S.pick(F.col("doc_id"), _TAILS)).alias("question"))
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    block = F.floor(F.col("id") / BLOCK)
-    pos = F.row_number().over(W.partitionBy(block).orderBy("id"))
-    b = S.chunks(spark, sf_dir).withColumns({"block": block, "pos": pos}).filter("pos <= 5")
-    b = b.select("block", F.col("pos").cast("long").alias("pos"), F.col("id").cast("string").alias("evidence_id"), "document_code", "section", "product", "doc_role", "contains_pii", F.when(F.col("id") % 9 == 0, "claims").otherwise("corpus").alias("source_kind"), "text")
-    return questions(spark, sf_dir).filter("question_id % 13 <> 0").select("question_id", "block").join(b, "block").drop("block")
+    c = S.chunks(spark, sf_dir)
+    pos = F.explode(F.sequence(F.lit(1).cast("long"), F.lit(NEXT).cast("long"))).alias("pos")
+    q = S.table(spark, sf_dir, "documents").filter("doc_id % 13 <> 0").select(F.col("doc_id").alias("question_id"), pos)
+    facts = c.select("id", F.col("id").cast("string").alias("evidence_id"), "document_code", "section", "product", "doc_role", "contains_pii", F.when(F.col("id") % 9 == 0, "claims").otherwise("corpus").alias("source_kind"), "text")
+    return q.withColumn("id", F.col("question_id") + F.col("pos")).join(facts, "id").drop("id")
 
 
 def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = evidence(spark, sf_dir).filter("pos = 1").select("question_id", F.col("evidence_id").alias("e"), F.substring("text", 1, 300).alias("t"))
+    first = evidence(spark, sf_dir).filter("pos = 1").select("question_id", F.col("evidence_id").alias("e"), F.col("text").alias("t"))
     k = F.col("question_id")
     none = F.array().cast("array<string>")
     q = questions(spark, sf_dir).filter("question_id % 8 <> 7").join(first, "question_id", "left")
@@ -70,7 +73,7 @@ def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.gate_inputs(questions(spark, sf_dir).drop("block"), evidence(spark, sf_dir), drafts(spark, sf_dir))
+    return G.gate_inputs(questions(spark, sf_dir), evidence(spark, sf_dir), drafts(spark, sf_dir))
 
 
 @query(f"SELECT doc_id, {_FOLD.format('text')} AS folded FROM documents")
@@ -78,6 +81,11 @@ def e1_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.table(spark, sf_dir, "documents").select("doc_id", X.fold(F.col("text")).alias("folded"))
 
 
+@query("SELECT doc_id, trim(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', ' ', 'g')) AS folded FROM documents")
+def e1_fold_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.table(spark, sf_dir, "documents").select("doc_id", X.fold_any(F.col("text")).alias("folded"))
+
+
 @query(f"SELECT doc_id, array_to_string(list_sort({_TERMS.format('text')}), ' ') AS terms FROM documents")
 def e2_content_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_sort(X.content_terms(F.col("text"))), " ").alias("terms"))
@@ -116,7 +124,7 @@ def e12_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(S.sql("chunks", _JUDGED + f""" SELECT question_id, CASE WHEN pii_request THEN 'refused' WHEN outcome <> 'answered' THEN outcome WHEN ambiguous THEN 'needs_clarification' WHEN NOT cites OR NOT supported THEN 'refused' ELSE 'answered' END AS final_outcome,
- CASE WHEN pii_request THEN 'pii_refusal' WHEN outcome <> 'answered' THEN nullif({_red('answer')}, '') WHEN ambiguous THEN {_CL} WHEN NOT cites THEN 'citation_refusal' WHEN NOT supported THEN 'unsupported_refusal' ELSE {_red('answer')} END AS final_text FROM ju"""))
+ CASE WHEN pii_request THEN '{G.PII_REFUSAL}' WHEN outcome <> 'answered' THEN nullif({_red('answer')}, '') WHEN ambiguous THEN {_CL} WHEN NOT cites THEN '{G.CITATION_REFUSAL}' WHEN NOT supported THEN '{G.UNSUPPORTED_REFUSAL}' ELSE {_red('answer')} END AS final_text FROM ju"""))
 def e13_judge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.judge(inputs(spark, sf_dir), S.PHONE).select("question_id", "final_outcome", "final_text")
 
@@ -141,7 +149,7 @@ def e16_degraded(spark: SparkSession, sf_dir: str) -> DataFrame:
 def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bodies of drafts; some cut off, some not a draft."""
     d, k = drafts(spark, sf_dir), F.col("question_id")
-    body = F.to_json(F.struct("outcome", F.substring("answer", 1, 20).alias("answer"), F.transform("citations", lambda c: F.struct(c.alias("evidence_id"))).alias("citations")))
+    body = F.to_json(F.struct("outcome", "answer", F.transform("citations", lambda c: F.struct(c.alias("evidence_id"))).alias("citations")))
     body = F.when(k % 5 == 0, F.substring(body, 1, 15)).when(k % 7 == 0, F.lit('{"type": "object", "properties": {}}')).otherwise(body)
     return d.select("question_id", body.alias("body"), (k % 10 == 0).alias("truncated"), k.alias("k"))
 

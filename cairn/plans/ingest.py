@@ -230,9 +230,25 @@ def b10_outside_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(S.sql("lines", _BOXED + """ SELECT l.page, arg_min(text, (t.y0 - l.y1, text)) AS caption FROM boxed l JOIN boxes t ON t.page = l.page
- WHERE t.y0 - l.y1 BETWEEN -2 AND 40 AND length(text) BETWEEN 1 AND 200 AND regexp_matches(text, '^[A-Z]') GROUP BY l.page"""))
+ WHERE t.y0 - l.y1 BETWEEN -2 AND 40 AND regexp_matches(text, '^[A-Z]') GROUP BY l.page"""))
 def b11_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.captions(_boxed(spark, sf_dir).filter("length(text) BETWEEN 1 AND 200"), _boxes(spark, sf_dir), "^[A-Z]").select("page", "caption")
+    return L.captions(_boxed(spark, sf_dir), _boxes(spark, sf_dir), "^[A-Z]").select("page", "caption")
+
+
+_NOTED = _BOXED + r""", noted AS (SELECT page, line_no, x0, y0, x1, y1, CASE WHEN line_no % 4 = 0 THEN '(' || (line_no // 4 % 3 + 1)::INT || ') Nota ' || text WHEN line_no % 11 = 0 THEN 'Tabela 1 - ' || text ELSE text END AS text FROM boxed),
+ b13 AS (SELECT l.page, l.line_no, l.y0, l.text, regexp_matches(l.text, '^\((\d+)\)\s+[A-ZÀ-Ú].+') AS starts FROM noted l JOIN boxes t ON t.page = l.page AND l.y0 >= t.y1),
+ told AS (SELECT *, sum((starts OR regexp_matches(text, '^Tabela\s+\d+\s*[-–—]\s+\S'))::INT) OVER (PARTITION BY page ORDER BY y0, line_no) AS run FROM b13)
+ SELECT page, regexp_extract(arg_min(text, line_no), '^\((\d+)\)', 1) AS note, sha256(string_agg(text, ' ' ORDER BY y0, line_no)) AS text_sha256 FROM told GROUP BY page, run
+ HAVING arg_min(starts, line_no) AND regexp_extract(arg_min(text, line_no), '^\((\d+)\)', 1) IN ('1', '2')"""
+
+
+@query(S.sql("lines", _NOTED))
+def b13_footnotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fourth line is made a note, some lines captions; notes (1) and (2) are marked in the tables, (3) is not."""
+    n, text = F.col("line_no"), F.col("text")
+    mark = F.concat(F.lit("("), (F.floor(n / 4) % 3 + 1).cast("string"), F.lit(") Nota "), text)
+    noted = _boxed(spark, sf_dir).withColumn("text", F.when(n % 4 == 0, mark).when(n % 11 == 0, F.concat(F.lit("Tabela 1 - "), text)).otherwise(text))
+    return L.footnotes(noted, _boxes(spark, sf_dir)).select("page", "note", F.sha2("text", 256).alias("text_sha256"))
 
 
 _RAW = """(SELECT o_orderkey AS id, ['Linha', ' CPF ', 'Valor'] AS headers, list([l_linenumber::VARCHAR, l_partkey::VARCHAR || '|' || l_suppkey::VARCHAR, l_comment_] ORDER BY l_linenumber, l_partkey, l_suppkey) AS rows

@@ -194,6 +194,13 @@ def h19_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.latency(records(spark, sf_dir))
 
 
+@query(f"""WITH {_REC}, s AS (SELECT provider, round(avg({_COST}), 9) AS mean_cost, round(max({_COST}), 9) AS max_cost, count(*) FILTER (provider = 'live' AND NOT degraded AND prompt_tokens = 0) AS n_replays FROM rec GROUP BY provider)
+ SELECT provider, mean_cost, max_cost, CASE WHEN provider <> 'live' OR n_replays > 0 THEN 'not measured' WHEN mean_cost <= 0.0085 THEN 'pass' ELSE 'miss' END AS mean_verdict,
+ CASE WHEN provider <> 'live' OR n_replays > 0 THEN 'not measured' WHEN max_cost <= 0.0085 THEN 'pass' ELSE 'miss' END AS max_verdict FROM s""")
+def h20_cost_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.cost_verdicts(records(spark, sf_dir), "live", 0.0085)
+
+
 @query(f"""WITH {_REC} SELECT round(avg({_COST}), 9) AS mean_cost, round(max({_COST}), 9) AS max_cost, sum(prompt_tokens)::BIGINT AS prompt, sum(cached_tokens)::BIGINT AS cached,
  (sum(prompt_tokens) - sum(cached_tokens))::BIGINT AS uncached, sum(completion_tokens)::BIGINT AS completion FROM rec""")
 def h20_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,30 +218,35 @@ def h22_boundary_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h9_boundary(spark, sf_dir).agg(F.count("*").alias("n"), F.count_if("passed").alias("n_passed"))
 
 
-_CITES = "cites AS (SELECT o_orderkey AS message_id, l_linenumber AS ordinal, l_partkey AS evidence_id FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 50 < 25)"
-_TEXTS = _CITES + ", texts AS (SELECT message_id, count(*) AS requested, count(d.text) AS resolved, string_agg(substr(d.text, 1, 30), '|' ORDER BY ordinal, substr(d.text, 1, 30)) AS t FROM cites LEFT JOIN documents d ON d.doc_id = evidence_id GROUP BY 1)"
+_TEXTS = """cites AS (SELECT l_orderkey AS message_id, l_linenumber AS ordinal, l_partkey AS evidence_id FROM lineitem),
+ texts AS (SELECT message_id, count(*) AS requested, count(d.text) AS resolved, {0} AS t FROM cites LEFT JOIN documents d ON d.doc_id = evidence_id GROUP BY 1)"""
+_CITED_TEXT = "string_agg(d.text, chr(10) || '---' || chr(10) ORDER BY ordinal, d.text)"
 
 
 def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = S.table(spark, sf_dir, "lineitem").filter("l_orderkey % 50 < 25").select(F.col("l_orderkey").alias("message_id"), F.col("l_linenumber").alias("ordinal"), F.col("l_partkey").alias("evidence_id"))
-    return M.resolved(c, S.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 30).alias("text")))
+    c = S.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("message_id"), F.col("l_linenumber").alias("ordinal"), F.col("l_partkey").alias("evidence_id"))
+    return M.resolved(c, S.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
-@query(f"WITH {_TEXTS} SELECT message_id, requested, resolved, coalesce(t, '') AS texts FROM texts")
+@query("WITH " + _TEXTS.format("string_agg(sha256(d.text), ',' ORDER BY ordinal, d.text)") + " SELECT message_id, requested, resolved, coalesce(t, '') AS text_hashes FROM texts")
 def h23_resolved_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _resolved(spark, sf_dir).withColumn("texts", F.array_join("texts", "|"))
+    hashes = F.array_join(F.transform("texts", lambda x: F.sha2(x, 256)), ",")
+    return _resolved(spark, sf_dir).select("message_id", "requested", "resolved", hashes.alias("text_hashes"))
 
 
-@query(f"""WITH {_TEXTS} SELECT message_id, sha256('<question>' || chr(10) || 'q' || message_id || chr(10) || '</question>' || chr(10) || '<expected>' || chr(10) || chr(10) || '</expected>' || chr(10) || '<answer>' || chr(10) || requested || chr(10) || '</answer>' || chr(10)
- || '<cited>' || chr(10) || replace(coalesce(t, ''), '|', chr(10) || '---' || chr(10)) || chr(10) || '</cited>') AS prompt_sha256 FROM texts WHERE coalesce(t, '') NOT LIKE '%||%' AND length(coalesce(t, '')) - length(replace(coalesce(t, ''), '|', '')) = greatest(resolved - 1, 0)""")
+@query("WITH " + _TEXTS.format(_CITED_TEXT) + """ SELECT message_id, sha256('<question>' || chr(10) || 'q' || message_id || chr(10) || '</question>' || chr(10) || '<expected>' || chr(10) || chr(10) || '</expected>' || chr(10) || '<answer>' || chr(10) || requested || chr(10) || '</answer>' || chr(10)
+ || '<cited>' || chr(10) || coalesce(t, '') || chr(10) || '</cited>') AS prompt_sha256 FROM texts""")
 def h24_grader_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _resolved(spark, sf_dir).filter(~F.exists("texts", lambda x: F.contains(x, F.lit("|"))))
-    answers = t.select("message_id", F.concat(F.lit("q"), "message_id").alias("question"), F.lit(None).cast("string").alias("expected"), F.col("requested").cast("string").alias("answer"))
-    return M.grader_prompts(answers, t.select("message_id", "texts")).select("message_id", F.sha2("prompt", 256).alias("prompt_sha256"))
+    t = _resolved(spark, sf_dir)
+    answers = t.select("message_id", F.concat(F.lit("q"), "message_id").alias("question"), F.lit(None).cast("string").alias("expected"), F.col("requested").cast("string").alias("answer"), "texts")
+    return M.grader_prompts(answers).select("message_id", F.sha2("prompt", 256).alias("prompt_sha256"))
 
 
-@query("SELECT count(*) AS n, bool_and(event_type IS NOT NULL AND props NOT LIKE '%Traceback%') AS all_ok, bool_and(event_type IS NOT NULL AND props NOT LIKE '%Traceback%') AS ok FROM events")
+@query("""SELECT conv_id, n_sent, n, all_ok, n = n_sent AND all_ok AS ok FROM (SELECT conv_id, count(*) FILTER (role = 'user') AS n_sent, count(*) FILTER (role = 'assistant') AS n,
+ coalesce(bool_and(text IS NOT NULL AND NOT contains(text, 'Traceback')) FILTER (role = 'assistant'), FALSE) AS all_ok FROM conversations GROUP BY conv_id)""")
 def h25_batch_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = S.table(spark, sf_dir, "events")
-    r = e.select(F.col("event_type").isNotNull().alias("well_formed"), (~F.contains("props", F.lit("Traceback"))).alias("clean"))
-    return M.batch_check(r, e.count())
+    c = S.table(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "batch_id")
+    sent = c.filter("role = 'user'").select("batch_id")
+    got = c.filter("role = 'assistant'").select("batch_id", F.col("text").isNotNull().alias("well_formed"), (~F.contains("text", F.lit("Traceback"))).alias("clean"))
+    known = c.select("batch_id").distinct()
+    return M.batch_check(known, sent, got).withColumnRenamed("batch_id", "conv_id")

@@ -26,7 +26,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> None:
-    for name in ("ingest", "retrieval", "facts", "gates", "turns", "metrics"):
+    for name in ("ingest", "retrieval", "facts", "gates", "turns", "metrics", "files"):
         import_module(f"cairn.plans.{name}")
 
 

@@ -9,6 +9,8 @@ from cairn.functions import text as X
 from cairn.operators import retrieval as R
 from cairn.plans import standins as S
 from cairn.plans.registry import query
+from cairn.sources.index import plant
+from cairn.sources.scratch import new_dir
 
 _T = X.TERM
 _TOK = rf""", qt AS (SELECT question_id, term, count(*) AS qtf FROM (SELECT question_id, unnest(regexp_extract_all(lower(question), '{_T}')) AS term FROM questions) GROUP BY 1, 2),
@@ -35,11 +37,11 @@ _QC = "questions chunks"
 
 
 def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """chunks, question terms, their weights over all chunks, and the postings of terms that are asked for."""
-    c, q = S.chunks(spark, sf_dir), S.questions(spark, sf_dir)
-    qt = R.query_terms(q)
-    po = R.postings(c, qt)
-    return c, qt, R.term_weights(qt, po, c.agg(F.count("*").alias("n"))), po
+    """Question terms, their weights over all chunks, the postings of asked terms, and the lengths of all chunks."""
+    qt = R.query_terms(S.questions(spark, sf_dir))
+    stored = R.term_index(S.chunks(spark, sf_dir), qt, new_dir(spark, "terms"))
+    po, length = stored.filter("term IS NOT NULL"), R.lengths(stored)
+    return qt, R.term_weights(qt, po, length.select("n")), po, length.select("avg_dl")
 
 
 def _open(c: DataFrame) -> DataFrame:
@@ -47,9 +49,9 @@ def _open(c: DataFrame) -> DataFrame:
 
 
 def _lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, _, weights, _ = _inputs(spark, sf_dir)
+    _, weights, po, _ = _inputs(spark, sf_dir)
     # statistics cover all chunks; only chunks that may answer are scored
-    po = R.postings(_open(c), weights)
+    po = po.join(_open(S.chunks(spark, sf_dir)).select("id"), "id", "left_semi")
     hit = weights.join(po, "term").groupBy("question_id", "id").agg(F.sum("tf").alias("hits"), F.sum("w").alias("w"))
     return R.top(hit.select("question_id", "id", F.round(R.cover_density(F.col("hits")) * (1 + F.col("w")), 9).alias("score")), R.CANDIDATES)
 
@@ -75,8 +77,7 @@ def _boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_ranked(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    c, _, weights, po = _inputs(spark, sf_dir)
-    length = c.agg(F.avg(F.size(X.terms(F.concat_ws(" ", "section", "text")))).alias("avg_dl"))
+    _, weights, po, length = _inputs(spark, sf_dir)
     return R.bm25(weights, po, length, k)
 
 
@@ -87,30 +88,30 @@ def c1_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(S.sql(_QC, _TOK + " SELECT question_id, id, count(*) AS n_terms FROM qt JOIN po ON po.term = qt.term GROUP BY 1, 2"))
 def c2_or_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, qt, _, po = _inputs(spark, sf_dir)
+    qt, _, po, _ = _inputs(spark, sf_dir)
     return R.matches(qt, po).groupBy("question_id", "id").agg(F.count("*").alias("n_terms"))
 
 
 @query(S.sql(_QC, _TOK + """, need AS (SELECT question_id, count(*) AS n_terms FROM qt GROUP BY 1), h AS (SELECT question_id, id, count(*) AS k FROM qt JOIN po ON po.term = qt.term GROUP BY 1, 2)
  SELECT need.question_id, n_terms, count(*) FILTER (k = n_terms) AS and_matches, count(k) AS or_matches FROM need LEFT JOIN h ON h.question_id = need.question_id GROUP BY 1, 2"""))
 def c3_and_or_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, qt, _, po = _inputs(spark, sf_dir)
+    qt, _, po, _ = _inputs(spark, sf_dir)
     return R.and_or_counts(qt, po)
 
 
 @query(S.sql(_QC, _TOK + " SELECT df.term, df.df FROM df SEMI JOIN qt ON qt.term = df.term"))
 def c4_document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.document_frequency(_inputs(spark, sf_dir)[3])
+    return R.document_frequency(_inputs(spark, sf_dir)[2])
 
 
 @query(S.sql(_QC, _TOK + " SELECT question_id, term, qtf, round(w, 6) AS w FROM wt"))
 def c5_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _inputs(spark, sf_dir)[2].withColumn("w", F.round("w", 6))
+    return _inputs(spark, sf_dir)[1].withColumn("w", F.round("w", 6))
 
 
 @query(S.sql(_QC, _TOK + " SELECT question_id, id, round(0.1 * sum(tf) / (0.1 * sum(tf) + 1), 6) AS r FROM qt JOIN po ON po.term = qt.term GROUP BY 1, 2"))
 def c6_cover_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, qt, _, po = _inputs(spark, sf_dir)
+    qt, _, po, _ = _inputs(spark, sf_dir)
     return R.matches(qt, po).groupBy("question_id", "id").agg(F.round(R.cover_density(F.sum("tf")), 6).alias("r"))
 
 
@@ -215,14 +216,17 @@ def expected(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, q = S.chunks(spark, sf_dir).select("id", "document_code", "section", "text"), S.questions(spark, sf_dir)
     inner = q.select("question_id", X.terms(F.col("question")).alias("t")).filter(F.size("t") > 2)
     inner = inner.select("question_id", F.explode(F.array_distinct(F.slice("t", F.lit(2), F.size("t") - 2))).alias("term"))
-    po = R.postings(c, inner).select("id", "term")
+    po = R.term_index(c, inner, new_dir(spark, "inner")).filter("term IS NOT NULL").select("id", "term")
     rare = inner.join(R.document_frequency(po), "term").groupBy("question_id").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
     near = rare.join(po, "term").select("question_id", "id")
     low = q.select("question_id", F.lower("question").alias("q"))
     held = near.join(low, "question_id").join(c.select("id", "document_code", F.lower("text").alias("t")), "id").filter(F.contains("t", F.col("q")))
     short = low.join(inner, "question_id", "left_anti")
+    held = held.select("question_id", "id", "document_code")
+    if not short.take(1):
+        return held
     rest = c.select("id", "document_code", F.lower("text").alias("t")).join(short, F.contains("t", F.col("q")))
-    return held.select("question_id", "id", "document_code").unionByName(rest.select("question_id", "id", "document_code"))
+    return held.unionByName(rest.select("question_id", "id", "document_code"))
 
 
 _EXPECTED = ", expected AS (SELECT question_id, id, document_code FROM chunks JOIN questions ON strpos(lower(text), lower(question)) > 0)"
@@ -253,15 +257,16 @@ def h4_probe_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25_ranked(spark, sf_dir, 4).select("question_id", "id", "rank")
 
 
-@query()
+_PLANTED = f"WITH {S._SQL['questions']}, chunks AS (SELECT doc_id AS id, 'part ' || doc_id % 7 AS section, text FROM documents UNION ALL SELECT question_id + 1000000000, 'planted', question FROM questions)"
+
+
+@query(_PLANTED + _BM + " SELECT question_id, id, id = question_id + 1000000000 AS is_planted FROM bms QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id) = 1")
 def c21_planted_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each question is planted as a chunk; the best chunk of every question, and whether it is the planted one."""
-    from cairn.sources.index import plant
-
     c, q = S.chunks(spark, sf_dir).select("id", "section", "text"), S.questions(spark, sf_dir)
     planted = plant(c, q.select((F.col("question_id") + 1_000_000_000).alias("id"), F.lit("planted").alias("section"), F.col("question").alias("text")))
     qt = R.query_terms(q)
-    po = R.postings(planted, qt)
-    length = planted.agg(F.avg(F.size(X.terms(F.concat_ws(" ", "section", "text")))).alias("avg_dl"))
-    best = R.bm25(R.term_weights(qt, po, planted.agg(F.count("*").alias("n"))), po, length, 1)
+    stored = R.term_index(planted, qt, new_dir(spark, "planted"))
+    po, length = stored.filter("term IS NOT NULL"), R.lengths(stored)
+    best = R.bm25(R.term_weights(qt, po, length.select("n")), po, length.select("avg_dl"), 1)
     return best.select("question_id", "id", (F.col("id") == F.col("question_id") + 1_000_000_000).alias("is_planted"))

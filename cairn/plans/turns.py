@@ -80,7 +80,12 @@ def f8_safe_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.safe_errors(e, ERRORS, DEFAULT).select("event_id", "error_code", "http_status", "title")
 
 
-@query()
+@query("""WITH RECURSIVE a AS (SELECT user_id AS source, event_id AS id, epoch(ts) AS t, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
+ s AS (SELECT source, 0::BIGINT AS r, NULL::BIGINT AS id, 'closed' AS now, 0::BIGINT AS n, 0.0::DOUBLE AS opened, '' AS state FROM (SELECT DISTINCT source FROM a)
+ UNION ALL SELECT source, r, id, after, CASE WHEN shut THEN n WHEN ok THEN 0 ELSE n + 1 END, CASE WHEN NOT shut AND NOT ok AND after = 'open' THEN t ELSE opened END, CASE WHEN shut THEN 'rejected' ELSE after END FROM
+  (SELECT *, CASE WHEN shut THEN 'open' WHEN ok THEN 'closed' WHEN now = 'open' OR n + 1 >= 2 THEN 'open' ELSE 'closed' END AS after FROM
+   (SELECT a.source, a.r, a.id, a.t, a.ok, s.now, s.n, s.opened, s.now = 'open' AND a.t - s.opened < 3600 AS shut FROM s JOIN a ON a.source = s.source AND a.r = s.r + 1)))
+ SELECT source, id, state FROM s WHERE r > 0""")
 def s2_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cairn.streaming.jobs import breaker_batch
 

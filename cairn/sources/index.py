@@ -39,14 +39,21 @@ def read_relational(spark: SparkSession, path: str, columns: list[str]) -> DataF
     return spark.read.parquet(path).select(*columns)
 
 
-def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    """A5: one row a record of every run file."""
-    return spark.read.schema(RUN).json(path, multiLine=True).select("tag", F.explode("records").alias("r")).select("tag", "r.*")
+def read_runs(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A5: one row a record of every run: a file a run, or with ``lines`` a line a run."""
+    return spark.read.schema(RUN).json(path, multiLine=not lines).select("tag", F.explode("records").alias("r")).select("tag", "r.*")
 
 
-def read_cases(spark: SparkSession, path: str) -> DataFrame:
-    """Golden and authored cases; keys that a case lacks are null."""
-    return spark.read.schema(CASE).json(path, multiLine=True)
+def read_cases(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Golden and authored cases, a list a file, or with ``lines`` a line each; keys that a case lacks are null."""
+    return spark.read.schema(CASE).json(path, multiLine=not lines)
+
+
+def read_thresholds(spark: SparkSession, path: str) -> DataFrame:
+    """Name, value of ``name: number`` lines; comments, sections and blank lines are left out, of equal names the largest value counts."""
+    pattern = r"^\s*([A-Za-z0-9_.@-]+)\s*:\s*(-?[0-9]+(?:\.[0-9]+)?)\s*(?:#.*)?$"
+    rows = spark.read.text(path).filter(F.col("value").rlike(pattern))
+    return rows.groupBy(F.regexp_extract("value", pattern, 1).alias("name")).agg(F.max(F.regexp_extract("value", pattern, 2).cast("double")).alias("value"))
 
 
 def thresholds(spark: SparkSession, values: Mapping[str, float]) -> DataFrame:
@@ -62,6 +69,14 @@ def decode_vector(encoded: pd.Series) -> pd.Series:
     return encoded.map(lambda x: None if x is None else np.frombuffer(base64.b64decode(x), "<f4"))
 
 
+@F.pandas_udf(T.StringType())
+def encode_vector(vectors: pd.Series) -> pd.Series:
+    """The reverse of ``decode_vector``."""
+    import base64
+
+    return vectors.map(lambda x: None if x is None else base64.b64encode(np.asarray(x, "<f4").tobytes()).decode())
+
+
 def read_cache(spark: SparkSession, path: str, model: str, dim: int) -> DataFrame:
     """Key, vector of the cached rows of this model and dimension."""
     rows = spark.read.schema(CACHE).json(path).filter(F.col("model") == model)
