@@ -1,25 +1,27 @@
-"""Benchmark decontamination: a positional inverted index of training tokens, asked for the benchmark's windows.
+"""Benchmark decontamination: a stored positional inverted index of training tokens, asked for the benchmark's windows.
 
-The index is split by document: each task stores the postings (term -> ascending positions) of its own shard of documents
-for the terms of the test set, and answers all windows on it. For a window, the postings of its rarest term in the shard,
-shifted by the term's offset, are the candidate starts; the shifted postings of the other terms, rarest first, are
-intersected with them. Nothing is shuffled, and a shard is closed at a number of tokens, whatever the texts.
+The index is split by document and written once: each row is a shard of documents with the postings (term -> ascending
+positions) of all their terms, closed at a number of tokens. Test items then ask every shard: the postings of a window's rarest
+term in the shard, shifted by the term's offset, are the candidate starts; the shifted postings of the other terms, rarest first,
+are intersected with them, exactly or within a distance. A shard looks at windows whose rarest test term it holds.
+Texts are read once, whatever the number of test blocks, and no posting is shuffled.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm._common import table
+from cairn.llm._common import Scratch, table
 
-#: Words in a window; tokens after which a shard's index is closed; bytes of test text that one pass takes.
-WIDTH, SHARD_TOKENS, BLOCK_BYTES = 13, 1_000_000, 16_000_000
+#: Words in a window; tokens after which a shard is closed; bytes of test text that one pass takes; words out of place in a proximity match.
+WIDTH, SHARD_TOKENS, BLOCK_BYTES, SLOP = 13, 1_000_000, 16_000_000, 1
 #: Words are runs of ASCII digits, letters (lower-cased) and anything beyond ASCII; all else separates.
 _FOLD = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
@@ -33,59 +35,99 @@ def _nulls_last(items: set[str | None]) -> list[str | None]:
 
 
 class Windows:
-    """The windows of a block of test items: arrays of term numbers (1 and up), and the items that have each."""
+    """The windows of a block of test items: tuples of term numbers, the items that have each, and windows by their rarest term in the block."""
 
     def __init__(self, items: list[tuple[str | None, bytes | None]], width: int) -> None:
         self.vocabulary: dict[bytes, int] = {}
         found: dict[tuple[int, ...], set[str | None]] = {}
         for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in tokens(text)]
+            ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in tokens(text)]
             for i in range(max(1, len(ids) - width + 1) if ids else 0):
                 found.setdefault(tuple(ids[i : i + width]), set()).add(item)
         self.windows = list(found)
         self.items = [_nulls_last(v) for v in found.values()]
+        often = Counter(t for w in self.windows for t in set(w))
+        self.by_term: dict[int, list[int]] = {}
+        for k, w in enumerate(self.windows):
+            self.by_term.setdefault(min(w, key=lambda t: (often[t], t)), []).append(k)
 
 
-class Shard:
-    """Postings of some documents, one after another with a gap of 0 between them."""
+#: The index: documents of a shard by number of words; its terms, their counts, and their positions one after another.
+_INDEX = pa.schema([
+    ("shard", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())),
+    ("terms", pa.binary()), ("counts", pa.binary()), ("places", pa.binary()),
+])
+_INDEX_SQL = "shard long, doc_ids array<long>, keys array<long>, sizes array<long>, terms binary, counts binary, places binary"
+
+
+def _starts(sizes: list[int]) -> np.ndarray:
+    """Where documents start in a shard, and its end: one empty place follows each."""
+    return np.cumsum([0, *(n + 1 for n in sizes)])
 
-    def __init__(self, docs: list[np.ndarray], n_terms: int) -> None:
-        self.starts = np.cumsum([0, *(len(d) + 1 for d in docs)])
-        self.terms = np.concatenate([x for d in docs for x in (d, np.zeros(1, d.dtype))])
-        at = np.flatnonzero(self.terms)
-        order = np.argsort(self.terms[at], kind="stable")
-        self.places, counts = at[order], np.bincount(self.terms[at], minlength=n_terms + 1)
-        self.ends = np.cumsum(counts)
-        self.counts = counts.tolist()
 
-    def postings(self, term: int) -> np.ndarray:
-        return self.places[self.ends[term] - self.counts[term] : self.ends[term]]
+def index_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The positional index of all documents, one row a shard; to be written, since a number of the task tells shards apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = TaskContext.get().partitionId() << 32
+        rows, vocabulary, size = [], {}, 0
+
+        def close() -> pa.RecordBatch:
+            ids, sizes = np.concatenate([r[2] for r in rows]), [len(r[2]) for r in rows]
+            at = np.arange(len(ids)) + np.repeat(np.arange(len(sizes)), sizes)
+            places = at[np.argsort(ids, kind="stable")].astype(np.int32)
+            counts = np.bincount(ids, minlength=len(vocabulary)).astype(np.int32)
+            columns = [shard, [r[0] for r in rows], [r[1] for r in rows], sizes, b" ".join(vocabulary), counts.tobytes(), places.tobytes()]
+            return pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(columns, _INDEX)], schema=_INDEX)
+
+        for batch in batches:
+            for i, key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                words = tokens(t.as_py())
+                rows.append((i, key, np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words], np.int32)))
+                if (size := size + len(words) + 1) >= SHARD_TOKENS:
+                    yield close()
+                    shard, rows, vocabulary, size = shard + 1, [], {}, 0
+        if rows:
+            yield close()
+
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(doc_id), F.col(text)).alias("key"), F.col(text).cast("binary").alias("text"))
+    return own.mapInArrow(run, _INDEX_SQL)
+
+
+class Shard:
+    """A row of the index, for the terms of a test block."""
+
+    def __init__(self, sizes: list[int], terms: bytes, counts: np.ndarray, places: np.ndarray, vocabulary: dict[bytes, int]) -> None:
+        self.starts = _starts(sizes)
+        ends = np.cumsum(counts)
+        self.counts = [0] * len(vocabulary)
+        self.lists: dict[int, np.ndarray] = {}
+        for w, b, n in zip(terms.split(), ends.tolist(), counts.tolist()):
+            if (t := vocabulary.get(w)) is not None:
+                self.counts[t] = n
+                self.lists[t] = places[b - n : b].astype(np.int64)
 
     def find(self, window: tuple[int, ...]) -> np.ndarray:
         """Starts of the window: all its terms in place."""
-        if not all(self.counts[t] for t in window):
-            return np.zeros(0, np.int64)
         order = sorted(range(len(window)), key=lambda k: self.counts[window[k]])
-        starts = self.postings(window[order[0]]) - order[0]
+        starts = self.lists[window[order[0]]] - order[0]
         starts = starts[starts >= 0]
         for k in order[1:]:
             if not len(starts):
                 break
-            listed, due = self.postings(window[k]), starts + k
+            listed, due = self.lists[window[k]], starts + k
             starts = starts[listed[np.minimum(np.searchsorted(listed, due), len(listed) - 1)] == due]
         return starts
 
     def near(self, window: tuple[int, ...], slop: int) -> np.ndarray:
         """Documents with a start, inside or not, from which each term is at most ``slop`` words out of place: the same in any shard."""
-        if not all(self.counts[t] for t in window):
-            return np.zeros(0, np.int64)
         order = sorted(range(len(window)), key=lambda k: self.counts[window[k]])
-        rarest, shifts = self.postings(window[order[0]]), np.arange(-slop, slop + 1)
+        rarest, shifts = self.lists[window[order[0]]], np.arange(-slop, slop + 1)
         starts, of = np.add.outer(rarest - order[0], shifts).ravel(), np.repeat(self.document(rarest), len(shifts))
         for k in order[1:]:
             if not len(starts):
                 break
-            listed, low, high = self.postings(window[k]), np.maximum(starts + k - slop, self.starts[of]), starts + k + slop
+            listed, low, high = self.lists[window[k]], np.maximum(starts + k - slop, self.starts[of]), starts + k + slop
             found = listed[np.minimum(np.searchsorted(listed, low), len(listed) - 1)]
             good = (low <= found) & (found <= high) & (found < self.starts[of + 1])
             starts, of = starts[good], of[good]
@@ -95,81 +137,90 @@ class Shard:
         return np.searchsorted(self.starts, places, side="right") - 1
 
 
-def _answer(docs: list[np.ndarray], asked: Windows, slop: int) -> tuple[list, list, list]:
+def _answer(shard: Shard, n_docs: int, asked: Windows, slop: int) -> tuple[list, list, list]:
     """For each document: hit words as [first, after] runs, items with a window, items with one by proximity."""
-    shard = Shard(docs, len(asked.vocabulary))
-    change = np.zeros(len(shard.terms) + 1, np.int32)
-    exact: list[set] = [set() for _ in docs]
-    near: list[set] = [set() for _ in docs]
-    for window, items in zip(asked.windows, asked.items):
+    change = np.zeros(int(shard.starts[-1]) + 1, np.int32)
+    exact: list[set] = [set() for _ in range(n_docs)]
+    near: list[set] = [set() for _ in range(n_docs)]
+    for k in (k for t in shard.lists for k in asked.by_term.get(t, ())):
+        window, items = asked.windows[k], asked.items[k]
+        if not all(shard.counts[t] for t in window):
+            continue
         starts = shard.find(window)
-        np.add.at(change, starts, 1)
-        np.add.at(change, starts + len(window), -1)
-        for d in set(shard.document(starts).tolist()):
-            exact[d].update(items)
+        if len(starts):
+            np.add.at(change, starts, 1)
+            np.add.at(change, starts + len(window), -1)
+            for d in set(shard.document(starts).tolist()):
+                exact[d].update(items)
         if slop:
             for d in set(shard.near(window, slop).tolist()):
                 near[d].update(items)
     edges = np.diff(np.concatenate([[0], (np.cumsum(change[:-1]) > 0).astype(np.int8), [0]]))
     first, after = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-    of = shard.document(first) if len(first) else first
-    runs: list[list] = [[] for _ in docs]
-    for d, a, b in zip(of.tolist(), first.tolist(), after.tolist()):
+    runs: list[list] = [[] for _ in range(n_docs)]
+    for d, a, b in zip(shard.document(first).tolist(), first.tolist(), after.tolist()):
         runs[d].append([a - int(shard.starts[d]), b - int(shard.starts[d])])
     return runs, exact, near
 
 
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_words", pa.int64()), ("runs", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.string())), ("near_items", pa.list_(pa.string()))])
+_FOUND = pa.schema([
+    ("shard", pa.int64()), ("k", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("n_words", pa.int64()),
+    ("runs", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.string())), ("near_items", pa.list_(pa.string())),
+])
+_FOUND_SQL = "shard long, k long, doc_id long, key long, n_words long, runs array<array<long>>, items array<string>, near_items array<string>"
+
 
+def search(index: DataFrame, items: list[tuple[str | None, bytes | None]], width: int, slop: int, all_documents: bool) -> DataFrame:
+    """What a block of test items finds in an index: a row for every document, or for those with a match alone."""
 
-def _search(docs: DataFrame, items: list[tuple[str | None, bytes | None]], width: int, slop: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = Windows(items, width)
-        kind = np.uint16 if len(asked.vocabulary) < 2**16 else np.uint32  # the former sorts by radix
-        get = asked.vocabulary.get
+        for batch in batches:
+            for row in range(batch.num_rows):
+                shard_no, ids, keys, sizes, terms = (batch.column(c)[row].as_py() for c in range(5))
+                counts, places = (np.frombuffer(batch.column(c)[row].as_buffer(), np.int32) for c in (5, 6))
+                runs, exact, near = _answer(Shard(sizes, terms, counts, places, asked.vocabulary), len(sizes), asked, slop)
+                kept = [k for k in range(len(sizes)) if all_documents or runs[k] or near[k]]
+                columns = [[shard_no] * len(kept), kept, *([x[k] for k in kept] for x in (ids, keys, sizes, runs)), *([_nulls_last(x[k]) for k in kept] for x in (exact, near))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _FOUND)], schema=_FOUND)
 
-        def close(rows: list) -> pa.RecordBatch:
-            runs, exact, near = _answer([r[2] for r in rows], asked, slop)
-            columns = [[r[0] for r in rows], [r[1] for r in rows], [len(r[2]) for r in rows], runs, [_nulls_last(x) for x in exact], [_nulls_last(x) for x in near]]
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA)], schema=_SCHEMA)
+    return index.mapInArrow(run, _FOUND_SQL)
 
-        rows, size = [], 0
-        for batch in batches:
-            for i, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                words = tokens(text.as_py())
-                rows.append((i, key, np.fromiter(map(get, words, repeat(0)), kind, len(words))))
-                if (size := size + len(words) + 1) >= SHARD_TOKENS:
-                    yield close(rows)
-                    rows, size = [], 0
-        if rows:
-            yield close(rows)
 
-    return docs.mapInArrow(run, "doc_id long, key long, n_words long, runs array<array<long>>, items array<string>, near_items array<string>")
+def _united(found: DataFrame) -> DataFrame:
+    """The answers of all blocks about one document as one row, its runs merged."""
+    flat = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    found = found.groupBy("shard", "k", "doc_id", "key", "n_words").agg(flat("runs"), flat("items"), flat("near_items"))
+    last = lambda acc: F.element_at(acc, -1)
+    longer = lambda acc, r: F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.array(last(acc)[0], F.greatest(last(acc)[1], r[1]))))
+    step = lambda acc, r: F.when((F.size(acc) > 0) & (r[0] <= last(acc)[1]), longer(acc, r)).otherwise(F.concat(acc, F.array(r)))
+    return found.withColumn("runs", F.aggregate("runs", F.array().cast("array<array<bigint>>"), step))
 
 
 def find_passages(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, slop: int = 0) -> DataFrame:
     """doc_id, key (a hash of id and text), n_words, runs (hit words as [first, after]), items (ids as strings), near_items: one row per input row.
 
     An item with fewer words than ``width`` is one window; one without words, or with a null text, none. Items with a null
-    id hit like others and are together one null in ``items``, after the ids. A null or wordless document has no hits. ``near_items`` is filled for slop > 0: all words of a window at most ``slop`` words out of place.
-    Test text goes to the tasks in blocks of about BLOCK_BYTES, by a hash of item_id and text; every block meets all documents,
-    and the answers of one document are united, so a test set of any size gives whole results.
-    Repeated rows give repeated results; a null doc_id stays null; other columns are not read.
+    id hit like others and are together one null in ``items``, after the ids. A null or wordless document has no hits. ``near_items`` is
+    filled for slop > 0: all words of a window at most ``slop`` words out of place. Test text goes to the tasks in blocks of
+    about BLOCK_BYTES, one after another, by a hash of item_id and text; every block asks the whole index, and the answers about one
+    document are united, so a test set of any size gives whole results. Repeated rows give repeated results; a null doc_id
+    stays null; other columns are not read.
     """
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(doc_id), F.col(text)).alias("key"), F.col(text).cast("binary").alias("text"))
+    scratch = Scratch(docs.sparkSession, "passages")
+    index = scratch.save(index_documents(docs, doc_id=doc_id, text=text), "index")
     tests = items.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("binary").alias("text"))
     size = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-size // BLOCK_BYTES) or 1
-    block = lambda i: [(r[0], None if r[1] is None else bytes(r[1])) for r in tests.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i).collect()]
-    found = _search(own, block(0), width, slop)
-    for i in range(1, n):
-        found = found.unionByName(_search(own, block(i), width, slop))
+    found = None
+    for i in range(n):
+        block = [(r[0], None if r[1] is None else bytes(r[1])) for r in tests.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i).collect()]
+        one = search(index, block, width, slop, i == 0)
+        one = one if n == 1 else scratch.save(one, f"found{i}")
+        found = one if found is None else found.unionByName(one)
     if n > 1:
-        flat = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
-        found = found.groupBy("doc_id", "key", "n_words").agg(flat("runs"), flat("items"), flat("near_items"), (F.count("*") / n).cast("int").alias("times"))
-        longer = F.aggregate("runs", F.array().cast("array<array<bigint>>"), lambda acc, r: F.when((F.size(acc) > 0) & (r[0] <= F.element_at(acc, -1)[1]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.array(F.element_at(acc, -1)[0], F.greatest(F.element_at(acc, -1)[1], r[1]))))).otherwise(F.concat(acc, F.array(r))))
-        found = found.withColumn("runs", longer).withColumn("times", F.explode(F.sequence(F.lit(1), "times")))
-    return found.select("doc_id", "key", "n_words", "runs", "items", "near_items")
+        scratch.drop("index")
+    return (_united(found) if n > 1 else found).select("doc_id", "key", "n_words", "runs", "items", "near_items")
 
 
 def n_hit():
@@ -182,11 +233,12 @@ def contaminated():
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hit words, items and verdict, for every document."""
-    found = find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    """Hit words, items, verdict, and items by proximity, for every document."""
+    found = find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=SLOP)
+    digest = lambda c: F.sha2(F.array_join(F.array_sort(c), ","), 256)
     return found.select(
-        "doc_id", "n_words", n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
+        "doc_id", "n_words", n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"), digest("items").alias("items_sha256"),
+        F.size("near_items").cast("long").alias("n_near_items"), digest("near_items").alias("near_items_sha256"),
     ).withColumn("contaminated", contaminated())
 
 
@@ -206,10 +258,20 @@ WITH d AS (
   FROM d, (SELECT DISTINCT k FROM q) WHERE len(w) >= k
 ), m AS (SELECT x.doc_id, x.p, x.k, q.item_id FROM x JOIN q ON x.g = q.g AND x.k = q.k),
 h AS (SELECT doc_id, count(DISTINCT z) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + k)) AS z FROM m) GROUP BY doc_id),
+v AS (SELECT row_number() OVER () AS win, k, g, string_split(g, ' ') AS w FROM (SELECT DISTINCT k, g FROM q)),
+vt AS (SELECT win, k, unnest(range(k)) AS j, unnest(w) AS term FROM v),
+pt AS (SELECT doc_id, p, term FROM (SELECT doc_id, unnest(range(len(w))) AS p, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM vt)),
+df AS (SELECT term, count(*) AS n FROM pt GROUP BY term),
+ra AS (SELECT win, arg_min(vt.j, (coalesce(n, 0), vt.j)) AS j, arg_min(vt.term, (coalesce(n, 0), vt.j)) AS term FROM vt LEFT JOIN df ON df.term = vt.term GROUP BY win),
+ca AS (SELECT DISTINCT ra.win, pt.doc_id, pt.p - ra.j + s AS start FROM ra JOIN pt ON pt.term = ra.term CROSS JOIN (SELECT unnest([-1, 0, 1]) AS s)),
+lo AS (SELECT DISTINCT vt.win, vt.j, pt.doc_id, pt.p - vt.j + s AS start FROM vt JOIN pt ON pt.term = vt.term CROSS JOIN (SELECT unnest([-1, 0, 1]) AS s)),
+ne AS (SELECT ca.win, ca.doc_id, ca.start FROM ca JOIN lo ON lo.win = ca.win AND lo.doc_id = ca.doc_id AND lo.start = ca.start JOIN v ON v.win = ca.win GROUP BY 1, 2, 3, v.k HAVING count(*) = v.k),
+nt AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids
+       FROM (SELECT DISTINCT ne.doc_id, q.item_id::VARCHAR AS i FROM ne JOIN v ON v.win = ne.win JOIN q ON q.k = v.k AND q.g = v.g) GROUP BY doc_id),
 t AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids
       FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM m) GROUP BY doc_id)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n_hit, 0)::BIGINT AS n_hit, coalesce(t.n_items, 0)::BIGINT AS n_items,
-       sha256(coalesce(t.ids, '')) AS items_sha256,
+       sha256(coalesce(t.ids, '')) AS items_sha256, coalesce(nt.n_items, 0)::BIGINT AS n_near_items, sha256(coalesce(nt.ids, '')) AS near_items_sha256,
        coalesce(h.n_hit, 0) > 0 AND 20 * coalesce(h.n_hit, 0) >= len(d.w) AS contaminated
-FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
+FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id LEFT JOIN nt ON nt.doc_id = d.doc_id
 """
