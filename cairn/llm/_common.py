@@ -3,41 +3,24 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
-
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.sources.scratch import new_dir
+
 #: Words: maximal runs of anything but a space and the ASCII controls tab to carriage return.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
-
-    Where the setting is missing a local master gets a folder of its own; a real cluster is refused, since a
-    machine-local folder is not visible to the other executors.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    found = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
-    spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 class Scratch:
     """Intermediate tables of one job: written once, read back without lineage, dropped when no longer needed."""
 
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/cairn-{label}-{uuid.uuid4().hex}"
+        self.root = new_dir(spark, label)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
