@@ -1,7 +1,9 @@
 """Corpus pipeline: language ID, near duplicates, contamination, PII and mixing, in this order.
 
-Every stage takes what the one before kept, whole. All but the last return the columns of ``documents``; the last returns
-the mix: how often each document is taken.
+Every stage takes what the one before kept, whole. All but the last return the columns of ``documents``, and no others that
+their input may have; the last returns the mix: how often each document is taken. Rows with the same doc_id are one
+document: of several the near-duplicate stage keeps one, the first by text, whatever their texts. A null doc_id is no
+copy of another. Empty tables give empty tables.
 """
 
 from __future__ import annotations
