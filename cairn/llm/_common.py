@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import gc
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cairn.sources.scratch import new_dir
 
 #: Words: maximal runs of anything but a space and the ASCII controls tab to carriage return.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of an Arrow batch at most.
+ARROW_ROWS = 1000
 
 
 class Scratch:
@@ -42,6 +45,24 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` in batches of ARROW_ROWS rows at most, so that long texts do not fill an executor; a task gives its free memory back.
+
+    The number of rows is a setting of the session, which is lowered where it is higher.
+    """
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """The same rows in small batches, so that what a task makes of a batch stays small too."""
     for batch in batches:

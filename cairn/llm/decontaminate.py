@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm._common import Scratch, table
+from cairn.llm._common import Scratch, arrow_map, table
 
 #: Words in a window; tokens after which a shard is closed; bytes of test text that one pass takes; words out of place in a proximity match.
 WIDTH, SHARD_TOKENS, BLOCK_BYTES, SLOP = 13, 1_000_000, 16_000_000, 1
@@ -91,7 +91,7 @@ def index_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
             yield close()
 
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(doc_id), F.col(text)).alias("key"), F.col(text).cast("binary").alias("text"))
-    return own.mapInArrow(run, _INDEX_SQL)
+    return arrow_map(own, run, _INDEX_SQL)
 
 
 class Shard:
@@ -184,7 +184,7 @@ def search(index: DataFrame, items: list[tuple[str | None, bytes | None]], width
                 columns = [[shard_no] * len(kept), kept, *([x[k] for k in kept] for x in (ids, keys, sizes, runs)), *([_nulls_last(x[k]) for k in kept] for x in (exact, near))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _FOUND)], schema=_FOUND)
 
-    return index.mapInArrow(run, _FOUND_SQL)
+    return arrow_map(index, run, _FOUND_SQL)
 
 
 def _united(found: DataFrame) -> DataFrame:

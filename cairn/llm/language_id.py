@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairn.llm._common import slices, table
+from cairn.llm._common import arrow_map, slices, table
 
 #: Buckets of trigrams (hashed), bytes of text that are expanded at once, smoothing, steps of a mixture at most and the change that ends them.
 BUCKETS, PIECE, SMOOTH, STEPS, CLOSE = 1 << 15, 500_000, 0.5, 20, 1e-3
@@ -103,7 +103,7 @@ def train(docs: DataFrame, *, text: str = "text", lang: str = "lang") -> Model:
             total += np.bincount(grams("   ".join(open_)), minlength=BUCKETS)
 
     used = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    counts = used.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = arrow_map(used, run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(counts["lang"].unique())
     total = np.zeros((len(languages), BUCKETS))
     total[np.searchsorted(np.array(languages, dtype=object), counts["lang"].to_numpy(dtype=object)), counts["bucket"]] = counts["n"]
@@ -134,7 +134,7 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
                 pa.array([[{"lang": a, "share": b} for a, b in f] for f in found], kind),
             ], names=["row", "lang_pred", "score", "languages"])
 
-    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).mapInArrow(run, out)
+    return arrow_map(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")), run, out)
 
 
 def held_out():

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm._common import slices, table
+from cairn.llm._common import arrow_map, slices, table
 from cairn.llm.decontaminate import tokens
 from cairn.llm.licenses import TEMPLATES
 
@@ -198,7 +198,7 @@ def scan_licenses(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip((n, places, spans), list(schema)[1:]))], schema=schema)
 
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    return own.mapInArrow(run, "doc_id long, n_words long, places array<struct<start:long,label:string>>, spans array<struct<start:long,end:long,label:string,score:double>>")
+    return arrow_map(own, run, "doc_id long, n_words long, places array<struct<start:long,label:string>>, spans array<struct<start:long,end:long,label:string,score:double>>")
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm._common import Scratch, slices, table
+from cairn.llm._common import Scratch, arrow_map, slices, table
 from cairn.llm.components import components
 
 #: Words in an n-gram.
@@ -285,8 +285,8 @@ def ngram_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     buckets = min(1 << 16, max(1 << 10, 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
     # 1. Sets with enough shared columns among those that lead by hash.
-    dealt = own.mapInArrow(_deal(True, buckets), _DEAL_SQL).repartition("bucket")
-    first = scratch.save(dealt.mapInArrow(_count_shared, "doc_id long, n long, uid long, shared long"), "first")
+    dealt = arrow_map(own, _deal(True, buckets), _DEAL_SQL).repartition("bucket")
+    first = scratch.save(arrow_map(dealt, _count_shared, "doc_id long, n long, uid long, shared long"), "first")
     rows, known = first.filter("n IS NOT NULL").select("doc_id", "n", "uid"), first.filter("uid IS NOT NULL")
     sums = known.groupBy("uid").agg(F.max("n").alias("n"), F.sum("shared").alias("shared"), F.min("doc_id").alias("b"), F.count("doc_id").alias("m"))
     nodes = scratch.save(sums.filter("b IS NOT NULL AND (m > 1 OR shared >= 1 + floor(3 * n / 40))"), "nodes")
@@ -295,8 +295,8 @@ def ngram_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     # 2. Their columns, rarest first.
     able = nodes.filter("shared >= 1 + floor(3 * n / 40)").select(F.col("b").alias("doc_id")).distinct()
     some = own.join(F.broadcast(able) if able.count() <= BROADCAST_ROWS else able, "doc_id", "left_semi")
-    counted = some.mapInArrow(_deal(False, buckets), _DEAL_SQL).repartition("bucket").mapInArrow(_return_shared(buckets), _DEAL_SQL)
-    sets = scratch.save(counted.repartition("bucket").mapInArrow(_ordered, "uid long, doc_id long, n long, columns array<long>"), "sets")
+    counted = arrow_map(arrow_map(some, _deal(False, buckets), _DEAL_SQL).repartition("bucket"), _return_shared(buckets), _DEAL_SQL)
+    sets = scratch.save(arrow_map(counted.repartition("bucket"), _ordered, "uid long, doc_id long, n long, columns array<long>"), "sets")
     scratch.settle()
     s = F.size("columns")
     leading = sets.select("uid", "doc_id", "n", s.alias("s"), F.posexplode(F.slice("columns", 1, s - F.ceil(3 * F.col("n") / 4).cast("int") + 1)).alias("r", "c"))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm._common import SPACE_WORD, Scratch, slices, table
+from cairn.llm._common import SPACE_WORD, Scratch, arrow_map, slices, table
 
 #: Labelled rows that training takes at most, by a hash of the id.
 LABELLED = 20_000
@@ -155,7 +155,7 @@ def _added_up(rows: DataFrame, make: Callable[[list[np.ndarray]], list[np.ndarra
         for k, v in enumerate(total or []):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), k), pa.int32()), pa.array(np.arange(len(v)), pa.int32()), pa.array(v, pa.float64())], names=["k", "i", "v"])
 
-    found = rows.select("text_view", "meta_view").mapInArrow(run, "k int, i int, v double").groupBy("k", "i").agg(F.sum("v").alias("v")).orderBy("k", "i").toPandas()
+    found = arrow_map(rows.select("text_view", "meta_view"), run, "k int, i int, v double").groupBy("k", "i").agg(F.sum("v").alias("v")).orderBy("k", "i").toPandas()
     return [found["v"][found["k"] == k].to_numpy() for k in range(found["k"].max() + 1 if len(found) else 0)]
 
 
@@ -231,7 +231,7 @@ def features(docs: DataFrame, pages: DataFrame, *, doc_id: str = "doc_id", text:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), pa.list_(pa.float32())) for c in (t, m))], names=["doc_id", "text_view", "meta_view"])
 
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"), F.col(source).alias("source"), F.col(lang).alias("lang"), F.col(n_chars).cast("long").alias("n_chars"))
-    made = own.mapInArrow(run, "doc_id long, text_view array<float>, meta_view array<float>")
+    made = arrow_map(own, run, "doc_id long, text_view array<float>, meta_view array<float>")
     count = lambda c, p: F.coalesce(F.regexp_count(c, F.lit(p)), F.lit(0)).cast("float")
     page = pages.filter("page_id IS NOT NULL").select(F.col("page_id").alias("p_id"), F.array(
         F.lit(1.0).cast("float"), F.coalesce(F.length("url"), F.lit(0)).cast("float"), count("url", "/"), count("url", r"[?#]"), count("url", "^https"),
@@ -275,7 +275,7 @@ def classify_quality(docs: DataFrame, pages: DataFrame, labels: DataFrame, *, la
                 found = model.scores(_views(batch, 1))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.float64()) for x in found)], names=["doc_id", "score", "text_score", "meta_score"])
 
-    return made.select("doc_id", "text_view", "meta_view").mapInArrow(run, "doc_id long, score double, text_score double, meta_score double")
+    return arrow_map(made.select("doc_id", "text_view", "meta_view"), run, "doc_id long, score double, text_score double, meta_score double")
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

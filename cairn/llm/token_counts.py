@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cairn.llm._common import slices, table
+from cairn.llm._common import arrow_map, slices, table
 
 #: Bytes of text that one call encodes; pieces whose length a task remembers, and their bytes at most; most tokens of a document.
 BATCH_BYTES, REMEMBERED, SHORT, LIMIT = 1_000_000, 400_000, 64, 2048
@@ -93,7 +93,7 @@ def count_tokens(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: st
             known.update((p, k) for p, k in counts.items() if len(p) <= SHORT)
 
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    return own.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
+    return arrow_map(own, run, "doc_id long, n_bytes long, n_tokens long")
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
