@@ -68,3 +68,25 @@ def test_gates(spark):
     d = spark.createDataFrame([(0, "answered", "limite", ["a"]), (1, "answered", "limite vidros", ["a"]), (2, "answered", "limite", ["m"]), (3, "answered", "limite", ["forged", "a"]), (4, "answered", "desconto inventado", ["a"])], "question_id int, outcome string, answer string, citations array<string>")
     got = {r.question_id: r.final_outcome for r in G.judge(G.gate_inputs(q, e, d)).collect()}
     assert got == {0: "needs_clarification", 1: "answered", 2: "refused", 3: "refused", 4: "refused"}
+
+
+def test_vector_blocks_give_the_same_ranks(spark, monkeypatch):
+    rows = [(i, [float((i * k) % 7 - 3) for k in range(1, 5)]) for i in range(40)]
+    c = spark.createDataFrame(rows, "id long, embedding array<double>")
+    q = c.filter("id % 5 = 1").withColumnRenamed("id", "question_id")
+    whole = sorted(map(tuple, R.vector_rank(c, q, 3).collect()))
+    monkeypatch.setattr(R, "VECTOR_BLOCK", 64)
+    assert sorted(map(tuple, R.vector_rank(c, q, 3).collect())) == whole and len(whole) == 24
+
+
+def test_execute_without_payments_and_with_unknown_keys(spark):
+    s = "claim_id long, policy_id long, claim_number string, claim_type string, status string, occurrence_date date, claim_amount double"
+    claims = spark.createDataFrame([(1, 7, "SIN-2024-000001", "t", "Aberto", None, 10.0)], s)
+    policies = spark.createDataFrame([(7, "AP-AUTO-000007", "Auto", 5.0)], "policy_id long, policy_number string, product string, annual_premium double")
+    plans = spark.createDataFrame(
+        [(1, 1, "get_claim", "SIN-2024-000001"), (1, 2, "get_claim_payment", "SIN-2024-000001"), (2, 1, "get_claim", "SIN-2024-000009"), (3, 1, "get_policy", "AP-AUTO-000009"), (3, 2, "list_claims_by_policy", "AP-AUTO-000007")],
+        "question_id long, step long, query string, key string",
+    )
+    got = {(r.question_id, r.step): r.text for r in D.execute(plans, claims, policies, None).collect()}
+    assert (1, 2) not in got and got[1, 1].startswith("claim_number: SIN-2024-000001") and got[2, 1] == "sinistro não encontrado: SIN-2024-000009"
+    assert got[3, 1] == "apólice não encontrada: AP-AUTO-000009" and got[3, 2].endswith("paid_amount: nenhum pagamento")

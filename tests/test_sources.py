@@ -35,3 +35,8 @@ def test_upsert_keeps_old_vectors_and_thresholds_make_a_row(spark, tmp_path):
     assert index.thresholds(spark, {"recall": 0.88}).first().recall == 0.88
     index.write_result(old, str(tmp_path / "out"), "parquet")
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_thresholds_of_a_file(spark, tmp_path):
+    (tmp_path / "t.yaml").write_text("budget:\n  p50_latency_s: 4.0  # seconds\n  cost: 0.05\n\n# rate: 9\nrecall@5: 0.88\nname: text\n")
+    assert {r.name: r.value for r in index.read_thresholds(spark, str(tmp_path / "t.yaml")).collect()} == {"p50_latency_s": 4.0, "cost": 0.05, "recall@5": 0.88}

@@ -62,3 +62,15 @@ def test_redaction_is_the_same_on_a_stream(spark):
     df = spark.createDataFrame([(1, "a.b@c.com"), (2, "x")], "id int, text string")
     got = run(spark, df, jobs.redacted, "redacted_out")
     assert sorted((r.id, r.text, tuple(r.pii_kinds)) for r in got.collect()) == [(1, "[EMAIL]", ("email",)), (2, "x", ())]
+
+
+def test_intake_goes_on_from_its_checkpoint(spark, tmp_path):
+    at = lambda i: datetime(2024, 1, 1) + timedelta(seconds=i)
+    parts = [[(1, 0, 0, at(0), "begin"), (1, 0, 1, at(1), "complete")], [(1, 0, 2, at(2), "begin"), (2, 0, 3, at(3), "begin")]]
+    for k, rows in enumerate(parts):
+        spark.createDataFrame(rows, EVENT).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(EVENT).parquet(f"{tmp_path}/in")
+        job = jobs.intake(stream).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+        job.awaitTermination(120)
+    got = {(r.conversation_id, r.seq): r.result for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {(1, 0): "new", (1, 2): "replay", (2, 3): "new"}
