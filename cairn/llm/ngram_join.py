@@ -97,7 +97,10 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
 
 
 def _deal(leading: bool, buckets: int):
-    """An Arrow function of (doc_id, text): every document with its set, and the entries of each set once a chunk."""
+    """An Arrow function of (doc_id, text): documents with their sets, and the entries of each set once a chunk.
+
+    ``leading``: every document and its leading entries; else one document a set and chunk, and all entries.
+    """
 
     def entries(sets: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
         uids = np.repeat(np.fromiter(sets, np.int64, len(sets)), [len(s) for s in sets.values()])
@@ -114,18 +117,24 @@ def _deal(leading: bool, buckets: int):
             yield _packed(uids[often], buckets, c=c[often], uids=uids[often], df=np.full(often.sum(), OFTEN, np.int8))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, size = {}, 0
+        sets, size, seen = {}, 0, 0
         for batch in slices(batches):
-            ids, ns, uids = batch.column(0).to_pylist(), [], []
-            for i, t in zip(ids, batch.column(1)):
+            rows = []
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
                 s = shingle_set(t.as_py())
                 uid = xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 or 1 if len(s) else None
-                ns.append(len(s))
-                uids.append(uid)
-                if i is not None and uid is not None and uid not in sets:  # a null id stands for no set
+                new = i is not None and uid is not None and uid not in sets  # a null id stands for no set
+                if new:
                     sets[uid] = s[: lead(len(s))].copy() if leading else s
                     size += len(sets[uid])
-            yield _batch(_DEAL, bucket=_at(np.array([u or 0 for u in uids], np.int64), buckets).astype(np.int32), doc_id=ids, n=ns, uid=uids)
+                if new or leading:
+                    rows.append((i, len(s), uid))
+            if rows:
+                ids, ns, uids = zip(*rows)
+                # copies have one set, so documents are dealt by it only where each set comes once a chunk
+                key = np.arange(seen, seen + len(rows)) if leading else np.array(uids, np.int64)
+                yield _batch(_DEAL, bucket=_at(key, buckets).astype(np.int32), doc_id=ids, n=ns, uid=uids)
+                seen += len(rows)
             if size >= CHUNK:
                 yield from entries(sets)
                 sets, size = {}, 0
