@@ -155,8 +155,7 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text
         filled = scratch.save(_fill(filled, i == 0, few), f"fill{i}")
         if i:
             scratch.drop(f"fill{i - 1}")
-    scratch.drop("sizes")
-    scratch.drop("histogram")
+    scratch.keep(f"fill{FILLS - 1}")
     return filled.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 

@@ -325,7 +325,8 @@ def ngram_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     more = scratch.save(_linked(_product(_placed(leading, groups)), sets), "more")
     if more.take(1):
         groups = components(scratch, _edges(groups).unionByName(more), "all")
-    scratch.drop("sets")
+    groups = scratch.save(groups, "groups")
+    scratch.keep("first", "groups")
     out = rows.join(groups, F.col("doc_id") == F.col("node"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
