@@ -65,8 +65,12 @@ def _starts(sizes: list[int]) -> np.ndarray:
     return np.cumsum([0, *(n + 1 for n in sizes)])
 
 
-def index_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The positional index of all documents, one row a shard; to be written, since a number of the task tells shards apart."""
+def index_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shard_tokens: int | None = None) -> DataFrame:
+    """The positional index of all documents, one row a shard; to be written, since a number of the task tells shards apart.
+
+    ``shard_tokens`` (else SHARD_TOKENS) bounds what a task holds; a longer text is a shard of its own.
+    """
+    most = shard_tokens or SHARD_TOKENS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId() << 32
@@ -84,7 +88,7 @@ def index_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
             for i, key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 words = tokens(t.as_py())
                 rows.append((i, key, np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words], np.int32)))
-                if (size := size + len(words) + 1) >= SHARD_TOKENS:
+                if (size := size + len(words) + 1) >= most:
                     yield close()
                     shard, rows, vocabulary, size = shard + 1, [], {}, 0
         if rows:
@@ -197,7 +201,7 @@ def _united(found: DataFrame) -> DataFrame:
     return found.withColumn("runs", F.aggregate("runs", F.array().cast("array<array<bigint>>"), step))
 
 
-def find_passages(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, slop: int = 0) -> DataFrame:
+def find_passages(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, slop: int = 0, shard_tokens: int | None = None) -> DataFrame:
     """doc_id, key (a hash of id and text), n_words, runs (hit words as [first, after]), items (ids as strings), near_items: one row per input row.
 
     An item with fewer words than ``width`` is one window; one without words, or with a null text, none. Items with a null
@@ -208,7 +212,7 @@ def find_passages(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
     stays null; other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "passages")
-    index = scratch.save(index_documents(docs, doc_id=doc_id, text=text), "index")
+    index = scratch.save(index_documents(docs, doc_id=doc_id, text=text, shard_tokens=shard_tokens), "index")
     tests = items.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("binary").alias("text"))
     size = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-size // BLOCK_BYTES) or 1
