@@ -115,17 +115,14 @@ def _fill(docs: DataFrame, first: bool, few: bool) -> DataFrame:
     return rest.unionByName(inside).select(*docs.drop("copies").columns, (F.col("copies") + F.col("more")).alias("copies"))
 
 
-def _numbered(rows: DataFrame) -> DataFrame:
-    """The same rows, equal ones with ``row_id`` hashed with their number: counted before the shuffle, then counted out again.
-
-    Many equal rows are counted out in blocks by many tasks.
-    """
-    sizes = rows.groupBy(*rows.columns).agg(F.count("*").alias("m")).withColumn("blocks", F.ceil(F.col("m") / REPEATS))
+def _numbered(counted: DataFrame) -> DataFrame:
+    """The rows that were counted (``m``), equal ones with ``row_id`` hashed with their number. Many equal rows are counted out in blocks by many tasks."""
+    sizes = counted.withColumn("blocks", F.ceil(F.col("m") / REPEATS))
     block = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")
     many = sizes.filter("blocks > 1").select("*", block).repartition("row_id", "block")
     all_rows = sizes.filter("blocks = 1").withColumn("block", F.lit(0).cast("long")).unionByName(many)
     number = F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(REPEATS), F.col("m") - F.col("block") * REPEATS))).alias("k")
-    numbered = all_rows.select(*rows.columns, "block", number)
+    numbered = all_rows.select("doc_id", "source", "size", "row_id", "block", number)
     return numbered.select("doc_id", "source", "size", F.when((F.col("block") == 0) & (F.col("k") == 1), F.col("row_id")).otherwise(F.xxhash64("row_id", "block", "k")).alias("row_id"))
 
 
@@ -140,7 +137,8 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text
     scratch = Scratch(docs.sparkSession, "mix")
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(SPACE_WORD)), F.lit(0)).cast("long")
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), F.xxhash64(F.col(doc_id), F.col(source), F.col(text)).alias("row_id"))
-    sizes = scratch.save(_numbered(own), "sizes")
+    counted = scratch.save(own.groupBy(*own.columns).agg(F.count("*").alias("m")), "counted")  # equal rows meet as counts
+    sizes = scratch.save(_numbered(counted), "sizes")
     histogram = scratch.save(sizes.groupBy("source", "size").agg(F.count("*").alias("n")), "histogram")
     due = targets(histogram.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")))
     few = histogram.select("source").distinct().count() <= BROADCAST_SOURCES
