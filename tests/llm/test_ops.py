@@ -190,7 +190,7 @@ def test_proximity_is_the_same_in_any_shard(spark, monkeypatch):
 
 def test_chat_round_trip(spark):
     rows = [(1, 0, "user", "a \\ <s>[INST] <r> [/INST]"), (1, 1, "assistant", "</s>\\\n"), (1, 1, "assistant", "</s>\\\n"), (2, 0, "tool [IS] x", None), (2, None, None, ""), (None, 0, "user", "é" * 100_000), (3, 0, "system", " [/INST] "), (3, 1, "user", "q"), (3, 2, "assistant", "r")]
-    turns = spark.createDataFrame([(*r, 5, 5) for r in rows], "conv_id long, turn long, role string, text string, segments int, position int")
+    turns = spark.createDataFrame([(*r, 5, 5) for r in rows], "conv_id long, turn long, role string, text string, segments int, position int").withColumns({c: F.lit(5) for c in ("loss", "in_order", "valid", "n_turns", "formatted_chars", "key", "row")})
     got = {r.conv_id: r for r in chat_format.read_chats(chat_format.format_chats(turns)).collect()}
     for conv in (1, 2, 3, None):
         own = sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or ""))
@@ -255,7 +255,7 @@ def test_token_counts(spark, sf, docs, none):
     assert token_counts.count_tokens(none, path).count() == 0
     plain = Tokenizer.from_file(path)
     extra = spark.createDataFrame([(100, "a<|endoftext|>b <|start oftext|>  é x y é ́ 12 it's 's")], "doc_id long, text string")
-    for df in (docs.select("doc_id", "text"), extra, real(spark, sf).select("doc_id", "text")):
+    for df in (docs, extra, real(spark, sf)):
         texts = {r.doc_id: r.text or "" for r in df.collect()}
         for r in token_counts.count_tokens(df, path).collect():
             assert r.n_tokens == len(plain.encode(texts[r.doc_id], add_special_tokens=False)) and r.n_bytes == len(texts[r.doc_id].encode())
