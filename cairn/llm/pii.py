@@ -160,7 +160,7 @@ def mask_pii(docs: DataFrame, *, text: str = "text", kinds: tuple[Kind, ...] = K
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts and digests of the base kinds and all spans, for every document."""
+    """Counts and digests of the base kinds, all spans and their number, for every document."""
     found = find_pii(table(spark, sf_dir, "documents"))
     named = lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])
     base = F.filter("findings", lambda x: x["base"])
@@ -168,7 +168,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *(count(k.name) for k in KINDS if k.base),
         F.sha2(F.array_join(F.transform(base, named), ","), 256).alias("base_sha256"),
-        F.array_join(F.transform("findings", named), ",").alias("spans"),
+        F.array_join(F.transform("findings", named), ",").alias("spans"), F.size("findings").cast("long").alias("n_spans"),
     )
 
 
@@ -204,6 +204,6 @@ k AS (SELECT doc_id, kind, s::BIGINT AS s, kind || ':' || s::BIGINT || ':' || e:
 SELECT d.doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip,
        count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
        sha256(coalesce(string_agg(x, ',' ORDER BY o, s) FILTER (o <= 4), '')) AS base_sha256,
-       coalesce(string_agg(x, ',' ORDER BY o, s), '') AS spans
+       coalesce(string_agg(x, ',' ORDER BY o, s), '') AS spans, count(x) AS n_spans
 FROM d LEFT JOIN k ON d.doc_id = k.doc_id GROUP BY d.doc_id
 """
