@@ -10,7 +10,7 @@ Texts are read once, whatever the number of test blocks, and no posting is shuff
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -65,12 +65,8 @@ def _starts(sizes: list[int]) -> np.ndarray:
     return np.cumsum([0, *(n + 1 for n in sizes)])
 
 
-def index_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shard_tokens: int | None = None) -> DataFrame:
-    """The positional index of all documents, one row a shard; to be written, since a number of the task tells shards apart.
-
-    ``shard_tokens`` (else SHARD_TOKENS) bounds what a task holds; a longer text is a shard of its own.
-    """
-    most = shard_tokens or SHARD_TOKENS
+def _index(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """An Arrow function that makes shards of documents (doc_id, key, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId() << 32
@@ -94,8 +90,19 @@ def index_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         if rows:
             yield close()
 
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(doc_id), F.col(text)).alias("key"), F.col(text).cast("binary").alias("text"))
-    return arrow_map(own, run, _INDEX_SQL)
+    return run
+
+
+def _own(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(doc_id), F.col(text)).alias("key"), F.col(text).cast("binary").alias("text"))
+
+
+def index_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shard_tokens: int | None = None) -> DataFrame:
+    """The positional index of all documents, one row a shard; to be written, since a number of the task tells shards apart.
+
+    ``shard_tokens`` (else SHARD_TOKENS) bounds what a task holds; a longer text is a shard of its own.
+    """
+    return arrow_map(_own(docs, doc_id, text), _index(shard_tokens or SHARD_TOKENS), _INDEX_SQL)
 
 
 class Shard:
@@ -174,8 +181,8 @@ _FOUND = pa.schema([
 _FOUND_SQL = "shard long, k long, doc_id long, key long, n_words long, runs array<array<long>>, items array<string>, near_items array<string>"
 
 
-def search(index: DataFrame, items: list[tuple[str | None, bytes | None]], width: int, slop: int, all_documents: bool) -> DataFrame:
-    """What a block of test items finds in an index: a row for every document, or for those with a match alone."""
+def _search(items: list[tuple[str | None, bytes | None]], width: int, slop: int, all_documents: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """An Arrow function of shards: what a block of test items finds, a row for every document, or for those with a match alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = Windows(items, width)
@@ -188,7 +195,12 @@ def search(index: DataFrame, items: list[tuple[str | None, bytes | None]], width
                 columns = [[shard_no] * len(kept), kept, *([x[k] for k in kept] for x in (ids, keys, sizes, runs)), *([_nulls_last(x[k]) for k in kept] for x in (exact, near))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _FOUND)], schema=_FOUND)
 
-    return arrow_map(index, run, _FOUND_SQL)
+    return run
+
+
+def search(index: DataFrame, items: list[tuple[str | None, bytes | None]], width: int, slop: int, all_documents: bool) -> DataFrame:
+    """What a block of test items finds in a written index."""
+    return arrow_map(index, _search(items, width, slop, all_documents), _FOUND_SQL)
 
 
 def _united(found: DataFrame) -> DataFrame:
@@ -201,25 +213,29 @@ def _united(found: DataFrame) -> DataFrame:
     return found.withColumn("runs", F.aggregate("runs", F.array().cast("array<array<bigint>>"), step))
 
 
-def find_passages(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, slop: int = 0, shard_tokens: int | None = None) -> DataFrame:
+def find_passages(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, slop: int = 0, shard_tokens: int | None = None, store: bool = True) -> DataFrame:
     """doc_id, key (a hash of id and text), n_words, runs (hit words as [first, after]), items (ids as strings), near_items: one row per input row.
 
     An item with fewer words than ``width`` is one window; one without words, or with a null text, none. Items with a null
     id hit like others and are together one null in ``items``, after the ids. A null or wordless document has no hits. ``near_items`` is
     filled for slop > 0: all words of a window at most ``slop`` words out of place. Test text goes to the tasks in blocks of
     about BLOCK_BYTES, one after another, by a hash of item_id and text; every block asks the whole index, and the answers about one
-    document are united, so a test set of any size gives whole results. Repeated rows give repeated results; a null doc_id
+    document are united, so a test set of any size gives whole results. Without
+    ``store`` a small test set, of one block, is asked within the task that makes a shard, which is then not kept. Repeated rows give repeated results; a null doc_id
     stays null; other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "passages")
-    index = scratch.save(index_documents(docs, doc_id=doc_id, text=text, shard_tokens=shard_tokens), "index")
     tests = items.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("binary").alias("text"))
     size = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-size // BLOCK_BYTES) or 1
+    read = lambda i: [(r[0], None if r[1] is None else bytes(r[1])) for r in tests.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i).collect()]
+    if n == 1 and not store:
+        make, ask = _index(shard_tokens or SHARD_TOKENS), _search(read(0), width, slop, True)
+        return arrow_map(_own(docs, doc_id, text), lambda batches: ask(make(batches)), _FOUND_SQL).select("doc_id", "key", "n_words", "runs", "items", "near_items")
+    index = scratch.save(index_documents(docs, doc_id=doc_id, text=text, shard_tokens=shard_tokens), "index")
     found = None
     for i in range(n):
-        block = [(r[0], None if r[1] is None else bytes(r[1])) for r in tests.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i).collect()]
-        one = search(index, block, width, slop, i == 0)
+        one = search(index, read(i), width, slop, i == 0)
         one = one if n == 1 else scratch.save(one, f"found{i}")
         found = one if found is None else found.unionByName(one)
     if n > 1:
