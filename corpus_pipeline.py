@@ -21,7 +21,7 @@ from cairn.llm.pii import mask_pii
 
 #: SQL has no expectation-maximisation and no Newton steps; tests hold the stages against brute force.
 ORACLE_SQL = None
-#: Words of an index shard: small, since tasks here share executors with what earlier stages left.
+#: Words of an index shard: small and not kept, since tasks here share executors with what earlier stages left.
 SHARD = 250_000
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -53,7 +53,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents of which less than a twentieth of the words are in benchmark passages."""
-    found = find_passages(docs, table(spark, sf_dir, "benchmark"), shard_tokens=SHARD).withColumn("n_hit", n_hit())
+    found = find_passages(docs, table(spark, sf_dir, "benchmark"), shard_tokens=SHARD, store=False).withColumn("n_hit", n_hit())
     keyed = docs.withColumn("key", F.xxhash64("doc_id", "text"))
     return _without(keyed, found.filter(contaminated()).select("key"), "key").select(*COLUMNS)
 
