@@ -167,7 +167,9 @@ def test_decontaminate_in_blocks_and_by_proximity(spark, monkeypatch):
     d = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b x c d")], "doc_id long, text string")
     items = spark.createDataFrame([(i, t) for i, t in enumerate(["a b c", "c d e", "z z", "b c d"])], "item_id long, text string")
     whole = sorted(map(str, decontaminate.find_passages(d, items, slop=1).collect()))
+    assert sorted(map(str, decontaminate.find_passages(d, items, slop=1, store=False, shard_tokens=4).collect())) == whole
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 5)
+    assert sorted(map(str, decontaminate.find_passages(d, items, slop=1, store=False).collect())) == whole
     assert sorted(map(str, decontaminate.find_passages(d, items, slop=1).collect())) == whole
     assert [r.near_items for r in decontaminate.find_passages(d, items, slop=1).filter("doc_id = 2").collect()] == [["0", "3"]]
 
