@@ -12,14 +12,18 @@ Rows of the incidence are sets (equal sets are one row), columns are hashed word
 3. Each column multiplies its foremost set with all others; overlaps add up by pair, pairs that cannot reach what both
    sizes ask for are dropped, and the largest overlaps of each set are settled on all shared columns. After a few
    rounds most of every group of copies is one component, at as many pairs as sets.
-4. The product of leading columns between different components. A pair is made at a column only if, were that the first in
-   common, enough columns followed in both for the overlap that both sizes ask for; it is settled on all shared columns.
+4. The product between different components. Columns that the same sets have become one weighted column, ordered by
+   frequency to weight. What two linked sets have in common starts, in this order, with a sequence of columns before which each passes over no
+   more weight than it can miss; a set lists such sequences, each as long as needed to be in few sets. Sets
+   meet by sequence, if their sizes and what each can still reach allow the overlap that both sizes ask for. The product of their weighted
+   columns adds up overlaps by pair; pairs below the bound are dropped, the others are links. So a passage that many
+   documents share pairs none of them; several in the same order of weight must agree.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +40,9 @@ WIDTH = 5
 CHUNK, OFTEN = 1_000_000, 32
 #: Rounds of products with the foremost set, and partners of a set that are settled in each.
 ROUNDS, PARTNERS = 2, 2
+#: Sets that a sequence of columns is expected in at most, were columns independent (they are not, hence so few);
+#: sequences of a set, beyond which single columns lead it; ratio of the classes of sizes.
+EXPECTED, SEQUENCES, CLASS = 1e-4, 512, 1.1
 #: Ids that are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
@@ -241,18 +248,15 @@ def _placed(leading: DataFrame, groups: DataFrame) -> DataFrame:
     return leading.join(groups, F.col("doc_id") == F.col("node"), "left").select("c", "uid", "n", "s", "r", F.coalesce("component", "doc_id").alias("g"))
 
 
-def _may(x: str, y: str, before: bool):
-    """Two entries of one column may be of a pair that links: another component, and enough shared columns from here on in both.
-
-    ``before``: counting the columns before this one, too; else this is the first that the pair has in common.
-    """
+def _may(x: str, y: str):
+    """Two entries of one column may be of a pair that links: another component, and enough shared columns before it and from here on in both."""
     s, t, p, q = (F.col(c) for c in (f"s{x}", f"s{y}", f"r{x}", f"r{y}"))
-    earlier = F.least(p, q) if before else F.lit(0)
-    return (F.col(f"g{x}") != F.col(f"g{y}")) & (earlier + F.least(s - p, t - q) >= _asked(F.col(f"n{x}"), F.col(f"n{y}")))
+    return (F.col(f"g{x}") != F.col(f"g{y}")) & (F.least(p, q) + F.least(s - p, t - q) >= _asked(F.col(f"n{x}"), F.col(f"n{y}")))
 
 
-def _side(entries: DataFrame, x: str) -> DataFrame:
-    return entries.select(*(F.col(c).alias(f"{'' if c == 'uid' else c}{x}") for c in ("c", "uid", "n", "s", "r", "g")))
+def _known(df: DataFrame) -> DataFrame:
+    """Ids, broadcast where they are few."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def _stars(entries: DataFrame, shift: float) -> DataFrame:
@@ -267,17 +271,126 @@ def _stars(entries: DataFrame, shift: float) -> DataFrame:
     two = best.join(one, ["c", "k"]).filter(F.col("g") != F.col("p1.g")).groupBy("c", "k", "p1").agg(F.min("p").alias("p2"))
     met = e.join(two, ["c", "k"]).withColumn("q", F.when(F.col("g") != F.col("p1.g"), F.col("p1")).otherwise(F.col("p2")))
     met = met.select(F.col("uid").alias("a"), *(F.col(x).alias(f"{x}a") for x in "nsrg"), F.col("q.uid").alias("b"), *(F.col(f"q.{x}").alias(f"{x}b") for x in "nsrg"))
-    overlaps = met.filter(_may("a", "b", True)).groupBy("a", "b").agg(F.count("*").alias("overlap"))
+    overlaps = met.filter(_may("a", "b")).groupBy("a", "b").agg(F.count("*").alias("overlap"))
     most = F.slice(F.sort_array(F.collect_list(F.struct("overlap", "b")), asc=False), 1, PARTNERS)  # as many as a has leading columns at most
     return overlaps.groupBy("a").agg(F.explode(most).alias("p")).select("a", "p.b")
 
 
-def _product(entries: DataFrame) -> DataFrame:
-    """All pairs (a, b) of different components that may have a column as their first in common and still reach the overlap that their sizes ask for."""
-    mixed = entries.groupBy("c").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo <> hi").select("c")
-    some = entries.join(mixed, "c")
-    met = _side(some, "a").join(_side(some, "b"), (F.col("ca") == F.col("cb")) & (F.col("a") < F.col("b")) & _may("a", "b", False))
-    return met.select("a", "b").distinct()
+def _weighted(sets: DataFrame, leading: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFrame:
+    """uid, doc_id, n, g, columns (id, df, w): sets that share a leading column with another component, and their merged columns.
+
+    Only columns of two components or more count. Columns in the same sets are one, with their number as its weight, which is the same in all of these.
+    """
+    placed = _placed(leading, groups)
+    mixed = placed.groupBy("c").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo <> hi").select("c")
+    able = scratch.save(placed.join(mixed, "c", "left_semi").select("uid", "g").distinct(), "able")
+    some = scratch.save(sets.join(_known(able), "uid").select("uid", "doc_id", "n", "g", "columns"), "some")
+    cells = some.select("uid", "g", F.explode("columns").alias("c"))
+    h = F.xxhash64("uid")
+    of = cells.groupBy("c").agg(F.count("*").alias("df"), F.bit_xor(h).alias("x"), F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo <> hi")
+    merged = cells.select("uid", "c").join(of.select("c", "df", F.xxhash64("x", "df").alias("id")), "c").groupBy("uid", "id", "df").agg(F.count("*").alias("w"))
+    listed = merged.groupBy("uid").agg(F.collect_list(F.struct("id", "df", "w")).alias("columns"))
+    return scratch.save(some.drop("columns").join(listed, "uid").filter(F.aggregate("columns", F.lit(0).cast("long"), lambda a, x: a + x["w"]) >= F.ceil(3 * F.col("n") / 4)), "weighted")
+
+
+_KEYS = pa.schema([("uid", pa.int64()), ("n", pa.int64()), ("g", pa.int64()), ("key", pa.int64()), ("reach", pa.int64()), ("single", pa.bool_())])
+_KEYS_SQL = "uid long, n long, g long, key long, reach long, single boolean"
+_END, _MASK = 0x5851F42D4C957F2D, (1 << 64) - 1
+
+
+def _joined(key: int, x: int) -> int:
+    key = ((key ^ (x & _MASK)) * 0x9E3779B97F4A7C15) & _MASK
+    return key ^ (key >> 29)
+
+
+def sequences(columns: list[tuple[int, int, int]], n: int, total: int, most: int) -> tuple[list[tuple[int, int]], bool]:
+    """(key, reach) of every sequence of columns (id, df, w) that what the set shares with a linked set may start with; whether they are single columns.
+
+    ``reach``: the weight that the two can still share. A sequence ends where EXPECTED sets of ``total`` should have it at most, or
+    where no more columns are shared. A set with more than ``most`` of them is led by single columns.
+    """
+    columns = sorted(columns, key=lambda c: (c[1] / c[2], c[0]))
+    have = sum(w for _, _, w in columns)
+    spare = have - -(-3 * n // 4)
+    if spare < 0:
+        return [], False
+    out: list[tuple[int, int]] = []
+    todo = [(0, 0, float(total), 0)]
+    while todo and len(out) + len(todo) <= most:
+        at, passed, expected, key = todo.pop()
+        for k in range(at, len(columns)):
+            x, df, w = columns[k]
+            if (fewer := expected * df / total) <= EXPECTED:
+                out.append((_joined(key, x), have - passed))
+            else:
+                todo.append((k + 1, passed, fewer, _joined(key, x)))
+            passed += w
+            if passed > spare:
+                break
+        else:
+            if at:  # nothing more is shared
+                out.append((_joined(key, _END), have - passed))
+    if not todo:
+        return out, False
+    out, passed = [], 0
+    for x, _, w in columns:
+        out.append((_joined(_END, x), have - passed))
+        if (passed := passed + w) > spare:
+            break
+    return out, True
+
+
+def _led(total: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """An Arrow function of weighted sets (uid, n, g, columns): a row for each sequence."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 100):
+            uids, ns, gs = (batch.column(k).to_pylist() for k in range(3))
+            at, cells = batch.column(3).offsets.to_pylist(), batch.column(3).flatten()
+            start = at[0]
+            rows = list(zip(*(c.to_pylist() for c in cells.flatten())))
+            out = []
+            for k, (uid, n, g) in enumerate(zip(uids, ns, gs)):
+                found, single = sequences(rows[at[k] - start : at[k + 1] - start], n, total, most)
+                out += [(uid, n, g, key - (1 << 64) if key >> 63 else key, reach, single) for key, reach in found]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _KEYS)], schema=_KEYS)
+
+    return run
+
+
+def _met(asks: DataFrame, homes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components with a key in common, of sizes and reaches that allow the overlap that both ask for; the larger set asks."""
+    size = lambda n: F.floor(F.log(n) / math.log(CLASS) + 1e-9)
+    high = F.least("na", F.floor(7 * F.col("ra") / 3).cast("long") - F.col("na"))
+    a = asks.select("key", F.col("uid").alias("a"), F.col("n").alias("na"), F.col("g").alias("ga"), F.col("reach").alias("ra"))
+    a = a.withColumn("low", F.ceil(3 * F.col("na") / 4)).withColumn("high", high).filter("low <= high")
+    a = a.withColumn("k", F.explode(F.sequence(size(F.col("low")), size(F.col("high")))))
+    b = homes.select("key", F.col("uid").alias("b"), F.col("n").alias("nb"), F.col("g").alias("gb"), F.col("reach").alias("rb"), size(F.col("n")).alias("k"))
+    smaller = (F.col("nb") < F.col("na")) | (F.col("nb") == F.col("na")) & (F.col("b") < F.col("a"))
+    return a.join(b, ["key", "k"]).filter((F.col("ga") != F.col("gb")) & smaller & (F.least("ra", "rb") >= _asked(F.col("na"), F.col("nb")))).select("a", "b").distinct()
+
+
+def candidates(weighted: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of sets that may link. Sets with too many sequences meet all others by single columns."""
+    own, total = weighted.select("uid", "n", "g", "columns"), weighted.count()
+    keys = scratch.save(arrow_map(own, _led(total, SEQUENCES), _KEYS_SQL), "keys")
+    found = _met(keys.filter("NOT single"), keys.filter("NOT single"))
+    if not keys.filter("single").take(1):
+        return found
+    single = scratch.save(arrow_map(own, _led(total, 0), _KEYS_SQL), "single")
+    long_ = keys.filter("single")
+    return found.unionByName(_met(long_, single)).unionByName(_met(single, long_)).distinct()
+
+
+def _product(pairs: DataFrame, weighted: DataFrame) -> DataFrame:
+    """The documents (a, b) of those pairs whose overlap, added up over the weighted columns that both have, reaches the threshold."""
+    cells = weighted.select("uid", F.explode("columns").alias("x")).select("uid", "x.id", "x.w")
+    met = pairs.join(cells.withColumnRenamed("uid", "a"), "a").join(cells.select(F.col("uid").alias("b"), "id"), ["b", "id"])
+    overlap = met.groupBy("a", "b").agg(F.sum("w").alias("overlap"))
+    one = lambda x: weighted.select(F.col("uid").alias(x), F.col("doc_id").alias(f"d{x}"), F.col("n").alias(f"n{x}"))
+    both = overlap.join(one("a"), "a").join(one("b"), "b")
+    return both.filter(100 * F.col("overlap") >= 75 * (F.col("na") + F.col("nb") - F.col("overlap"))).select(F.col("da").alias("a"), F.col("db").alias("b"))
 
 
 def ngram_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -303,7 +416,7 @@ def ngram_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
 
     # 2. Their columns, rarest first.
     able = nodes.filter("shared >= 1 + floor(3 * n / 40)").select(F.col("b").alias("doc_id")).distinct()
-    some = own.join(F.broadcast(able) if able.count() <= BROADCAST_ROWS else able, "doc_id", "left_semi")
+    some = own.join(_known(able), "doc_id", "left_semi")
     counted = arrow_map(arrow_map(some, _deal(False, buckets), _DEAL_SQL).repartition("bucket"), _return_shared(buckets), _DEAL_SQL)
     sets = scratch.save(arrow_map(counted.repartition("bucket"), _ordered, "uid long, doc_id long, n long, columns array<long>"), "sets")
     scratch.settle()
@@ -312,7 +425,7 @@ def ngram_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
 
     # 3. Equal sets, and rounds of stars.
     twice = nodes.filter("m > 1").select("uid", "b")
-    same = rows.join(F.broadcast(twice) if twice.count() <= BROADCAST_ROWS else twice, "uid")
+    same = rows.join(_known(twice), "uid")
     groups = components(scratch, same.select(F.col("doc_id").alias("a"), "b").filter("a <> b"), "same")
     for i in range(ROUNDS):
         found = scratch.save(_linked(_stars(_placed(leading, groups), i / 2), sets), f"star{i}")
@@ -322,7 +435,8 @@ def ngram_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
         groups = components(scratch, _edges(groups).unionByName(found), f"groups{i}")
 
     # 4. What is left between components.
-    more = scratch.save(_linked(_product(_placed(leading, groups)), sets), "more")
+    weighted = _weighted(sets, leading, groups, scratch)
+    more = scratch.save(_product(scratch.save(candidates(weighted, scratch), "pairs"), weighted), "more")
     if more.take(1):
         groups = components(scratch, _edges(groups).unionByName(more), "all")
     groups = scratch.save(groups, "groups")

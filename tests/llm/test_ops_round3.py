@@ -9,7 +9,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.llm import centroids, minhash, periodic_runs, queries
+from cairn.llm import centroids, minhash, ngram_join, periodic_runs, queries
 
 BASE = "the quick brown fox jumps over the lazy dog and then it sleeps in the warm sun of a late summer day with no care at all "
 ROWS = [
@@ -194,3 +194,51 @@ def test_search_skips_most_centroids():
     finally:
         centroids.squared = whole
     assert (again[0] == near).all() and sum(asked) < 500
+
+
+def passages(n, rng, copies=0):
+    """Documents of five shared passages each; some again with a word changed, which makes them near copies."""
+    shared = [[f"w{x}" for x in rng.integers(0, 100_000, 30)] for _ in range(60)]
+    texts = [[w for k in rng.choice(60, 5, replace=False) for w in shared[k]] for _ in range(n)]
+    for i in range(copies):
+        words = list(texts[i])
+        for p in rng.choice(len(words), int(rng.integers(1, 5)), replace=False):
+            words[p] = "z"
+        texts.append(words)
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("most", [512, 3, 0])
+def test_ngram_join_of_documents_that_share_passages(spark, monkeypatch, most):
+    monkeypatch.setattr(ngram_join, "SEQUENCES", most)
+    rows = passages(300, np.random.default_rng(9), 40)
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [r[:3] for r in brute_components(rows, 5, 75)]
+
+
+def test_shared_passages_pair_few_documents(spark, monkeypatch):
+    seen, plain = [], ngram_join.candidates
+
+    def counted(weighted, scratch):
+        seen.append((weighted.count(), plain(weighted, scratch).count()))
+        return plain(weighted, scratch)
+
+    monkeypatch.setattr(ngram_join, "candidates", counted)
+    rows = passages(2000, np.random.default_rng(3))
+    assert ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).filter("component_id <> doc_id").count() == 0
+    assert seen[0][0] > 1500 and seen[0][1] < 500
+
+
+def test_sequences_hold_what_two_sets_share():
+    rng = np.random.default_rng(12)
+    for _ in range(300):
+        known = {i: (i, int(rng.integers(2, 400)), int(rng.integers(1, 9))) for i in range(12)}
+        a = set(rng.choice(12, int(rng.integers(4, 12)), replace=False).tolist())
+        b = {i for i in a if rng.random() > 0.1} | {i for i in range(12) if rng.random() < 0.1}
+        weight = lambda s: sum(known[i][2] for i in s)
+        if 100 * weight(a & b) < 75 * weight(a | b) or not a & b:
+            continue
+        for most in (512, 0):
+            one, two = (ngram_join.sequences([known[i] for i in s], weight(s), 1000, most)[0] for s in (a, b))
+            common = set(dict(one)) & set(dict(two))
+            assert any(min(dict(one)[k], dict(two)[k]) >= weight(a & b) for k in common)
