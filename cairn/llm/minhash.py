@@ -11,7 +11,8 @@ way in which a link can be lost; more similar ones even less.
    component. The surest candidates of each set are confirmed on whole sets. After a few rounds most groups of copies
    are one component, at as many pairs as entries.
 3. The rest: sets of a bucket's smaller components meet all that is in the bucket. Only pairs of different components, of sizes and
-   with sketches that do not rule the similarity out, leave the join; all of them are confirmed on whole sets.
+   with sketches that do not rule the similarity out, leave the join; all of them are confirmed on whole sets. Here each
+   set also has the parities of its hashes in CELLS cells: two sets differ in no more of them than they have elements apart, so that this test loses nothing.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ WIDTH, PERCENT = 2, 80
 #: Bands, bins of a band, bins; one bit of each is kept, of which so many differ at most between two sets that link (five deviations).
 BANDS, ROWS = 48, 6
 BINS, DIFFER = BANDS * ROWS, 65
+#: Parities of a set: two words or so a cell keep them telling.
+CELLS = 2048
 #: Rounds of stars, and candidates of a set that are confirmed in each.
 ROUNDS, PARTNERS = 2, 2
 #: Ids that are broadcast at most; more are joined by a shuffle.
@@ -89,13 +92,18 @@ def sketch(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys.view(np.int64), np.packbits(bits).view(np.int64)
 
 
+def parities(values: np.ndarray) -> np.ndarray:
+    """Whether each cell has an odd number of hashes, packed."""
+    return np.packbits((np.bincount((values & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _uid(values: np.ndarray) -> int | None:
     return xxhash.xxh3_64_intdigest(values.tobytes()) - 2**63 if len(values) else None
 
 
 _LONGS = pa.list_(pa.int64())
 _ROWS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("uid", pa.int64()), ("bands", _LONGS), ("bits", _LONGS)])
-_COLUMNS = pa.schema([("uid", pa.int64()), ("columns", _LONGS)])
+_COLUMNS = pa.schema([("uid", pa.int64()), ("columns", _LONGS), ("odd", _LONGS)])
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,9 +119,9 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each set of a batch, once."""
     for batch in slices(batches, 100):
-        found = {_uid(s): s.view(np.int64) for s in (shingle_set(t.as_py()) for t in batch.column(0)) if len(s)}
+        found = {_uid(s): (s.view(np.int64), parities(s)) for s in (shingle_set(t.as_py()) for t in batch.column(0)) if len(s)}
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), _LONGS)], schema=_COLUMNS)
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), *(pa.array(c, _LONGS) for c in zip(*found.values()))], schema=_COLUMNS)
 
 
 def _known(df: DataFrame) -> DataFrame:
@@ -121,15 +129,19 @@ def _known(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _differing(x: str, y: str, words: int):
+    """Bits that differ between two arrays of so many numbers."""
+    return sum((F.bit_count(F.col(x)[k].bitwiseXOR(F.col(y)[k])) for k in range(words)), F.lit(0))
+
+
 def _may(x: str, y: str):
     """Two sets that may link: of different components, sizes and bits not ruling it out."""
     n, m = F.col(f"n{x}"), F.col(f"n{y}")
-    differ = sum((F.bit_count(F.col(f"bits{x}")[k].bitwiseXOR(F.col(f"bits{y}")[k])) for k in range(-(-BINS // 64))), F.lit(0))
-    return (F.col(f"g{x}") != F.col(f"g{y}")) & (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & (differ <= DIFFER)
+    return (F.col(f"g{x}") != F.col(f"g{y}")) & (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & (_differing(f"bits{x}", f"bits{y}", -(-BINS // 64)) <= DIFFER)
 
 
-def _side(entries: DataFrame, x: str) -> DataFrame:
-    return entries.select("key", F.col("uid").alias(x), *(F.col(c).alias(f"{c}{x}") for c in ("n", "g", "bits")))
+def _side(entries: DataFrame, x: str, *more: str) -> DataFrame:
+    return entries.select("key", *more, F.col("uid").alias(x), *(F.col(c).alias(f"{c}{x}") for c in ("n", "g", "bits", "odd")))
 
 
 def _stars(entries: DataFrame, shift: float) -> DataFrame:
@@ -145,19 +157,21 @@ def _stars(entries: DataFrame, shift: float) -> DataFrame:
     pairs = met.select(F.col("uid").alias("a"), "b").distinct()
     one_side = lambda x: entries.select(F.col("uid").alias(x), *(F.col(c).alias(f"{c}{x}") for c in ("n", "g", "bits"))).dropDuplicates([x])
     both = pairs.join(one_side("a"), "a").join(one_side("b"), "b").filter(_may("a", "b"))
-    differ = sum((F.bit_count(F.col("bitsa")[k].bitwiseXOR(F.col("bitsb")[k])) for k in range(-(-BINS // 64))), F.lit(0))
+    differ = _differing("bitsa", "bitsb", -(-BINS // 64))
     nearest = F.slice(F.array_sort(F.collect_list(F.struct(differ.alias("d"), "b"))), 1, PARTNERS)  # of BANDS at most
     return both.groupBy("a").agg(F.explode(nearest).alias("p")).select("a", "p.b")
 
 
-def _rest(entries: DataFrame) -> DataFrame:
-    """All pairs (a, b) of different components that share a bucket and may link."""
+def _rest(entries: DataFrame, odd: DataFrame) -> DataFrame:
+    """All pairs (a, b) of different components that share a bucket and may link. ``odd``: uid, odd."""
     held = entries.groupBy("key", "g").agg(F.count("*").alias("m"))
     major = held.groupBy("key").agg(F.max(F.struct("m", "g")).alias("most"), F.count("*").alias("of")).filter("of > 1").select("key", F.col("most.g").alias("major"))
-    some = entries.join(major, "key")
+    some = entries.join(major, "key").join(odd, "uid")
     small = _side(some.filter("g <> major"), "a")
-    every = _side(some, "b").join(major.withColumnRenamed("key", "key_").withColumnRenamed("major", "major_"), F.col("key") == F.col("key_")).withColumn("large", F.col("gb") == F.col("major_")).drop("key_", "major_")
-    met = small.join(every, "key").filter(_may("a", "b") & (F.col("large") | (F.col("a") < F.col("b"))))
+    every = _side(some.withColumn("large", F.col("g") == F.col("major")), "b", "large")
+    # elements that only one of the two has, where the similarity is PERCENT
+    apart = F.floor((F.col("na") + F.col("nb")) * (100 - PERCENT) / (100 + PERCENT))
+    met = small.join(every, "key").filter(_may("a", "b") & (F.col("large") | (F.col("a") < F.col("b"))) & (_differing("odda", "oddb", CELLS // 64) <= apart))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -194,7 +208,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     able = scratch.save(shared.select("uid").distinct().join(sets.select("uid", "b", "n", "bits"), "uid"), "able")
     ids = able.select(F.col("b").alias("doc_id")).distinct()
     texts = own.join(_known(ids), "doc_id", "left_semi").select("text")
-    whole = arrow_map(texts, _sets, "uid long, columns array<long>").groupBy("uid").agg(F.first("columns").alias("columns"))
+    whole = arrow_map(texts, _sets, "uid long, columns array<long>, odd array<long>").groupBy("uid").agg(F.first("columns").alias("columns"), F.first("odd").alias("odd"))
     whole = scratch.save(whole.join(able.select("uid", "b", "n"), "uid"), "whole")
     scratch.settle()
 
@@ -217,7 +231,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     scratch.settle()
 
     # 3. What is left between components.
-    found = scratch.save(_confirmed(_rest(placed()), whole), "rest")
+    found = scratch.save(_confirmed(scratch.save(_rest(placed(), whole.select("uid", "odd")), "pairs"), whole), "rest")
     if found.take(1):
         groups = united(found, "all")
     groups = scratch.save(groups, "groups")
