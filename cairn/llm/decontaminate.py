@@ -3,17 +3,18 @@
 The index is split by document and written once: each row is a shard of documents with the postings (term -> ascending
 positions) of all their terms, closed at a number of tokens. Test items then ask every shard: the postings of a window's rarest
 term in the shard, shifted by the term's offset, are the candidate starts; the shifted postings of the other terms, rarest first,
-are intersected with them, exactly or within a distance. A shard looks at windows whose rarest test term it holds.
+are intersected with them, exactly or within a distance. A shard looks at windows whose rarest test term it holds, if it holds all.
+Terms meet by 64-bit hashes.
 Texts are read once, whatever the number of test blocks, and no posting is shuffled.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from cairn.llm._common import Scratch, arrow_map, table
 
 #: Words in a window; tokens after which a shard is closed; bytes of test text that one pass takes; words out of place in a proximity match.
-WIDTH, SHARD_TOKENS, BLOCK_BYTES, SLOP = 13, 1_000_000, 16_000_000, 1
+WIDTH, SHARD_TOKENS, BLOCK_BYTES, SLOP = 13, 1_000_000, 8_000_000, 1
 #: Words are runs of ASCII digits, letters (lower-cased) and anything beyond ASCII; all else separates.
 _FOLD = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
@@ -30,26 +31,54 @@ def tokens(text: bytes | None) -> list[bytes]:
     return text.translate(_FOLD).split() if text else []
 
 
-def _nulls_last(items: set[str | None]) -> list[str | None]:
-    return sorted(items, key=lambda i: (i is None, i or ""))
-
-
 class Windows:
-    """The windows of a block of test items: tuples of term numbers, the items that have each, and windows by their rarest term in the block."""
+    """The windows of a block of test items, built once by the driver and sent to the tasks as arrays.
+
+    ``terms``: sorted hashes of the block's words, whose places are the numbers of terms. ``ids``: the terms of all items, one after another;
+    window k is ``ids[at[k] : at[k] + size[k]]``, and has the items ``member[of[k] : of[k + 1]]``. Windows stand by their rarest term in the
+    block: those of term t from ``by[t]`` to ``by[t + 1]``. A text takes 12 bytes a word and 20 a different window, so that a block stays below 60 MB.
+    """
 
     def __init__(self, items: list[tuple[str | None, bytes | None]], width: int) -> None:
-        self.vocabulary: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str | None]] = {}
-        for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in tokens(text)]
-            for i in range(max(1, len(ids) - width + 1) if ids else 0):
-                found.setdefault(tuple(ids[i : i + width]), set()).add(item)
-        self.windows = list(found)
-        self.items = [_nulls_last(v) for v in found.values()]
-        often = Counter(t for w in self.windows for t in set(w))
-        self.by_term: dict[int, list[int]] = {}
-        for k, w in enumerate(self.windows):
-            self.by_term.setdefault(min(w, key=lambda t: (often[t], t)), []).append(k)
+        texts = [np.fromiter(map(xxhash.xxh3_64_intdigest, tokens(t)), np.uint64) for _, t in items]
+        self.items, item = np.unique([f"1{i}" if i is not None else "2" for i, _ in items], return_inverse=True)  # by name, null last
+        self.items = [None if i == "2" else i[1:] for i in self.items.tolist()]
+        lengths = np.array([len(t) for t in texts], np.int64)
+        self.terms, ids = np.unique(np.concatenate([np.zeros(0, np.uint64), *texts]), return_inverse=True)
+        self.ids = ids.astype(np.int32)
+        windows = np.where(lengths > 0, np.maximum(lengths - width + 1, 1), 0)
+        of = np.repeat(np.arange(len(items)), windows)
+        at = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows) + np.repeat(np.cumsum(lengths) - lengths, windows)
+        size = np.minimum(lengths, width)[of]
+        often = np.bincount(self.ids, minlength=len(self.terms))
+        h, rarest, least = size.astype(np.uint64), np.zeros(len(at), np.int64), np.full(len(at), np.iinfo(np.int64).max)
+        for k in range(width):
+            here = np.flatnonzero(size > k)
+            t = self.ids[at[here] + k]
+            h[here] = (h[here] ^ self.terms[t]) * np.uint64(0x9E3779B97F4A7C15)
+            h[here] ^= h[here] >> np.uint64(29)
+            fewer = often[t] < least[here]
+            least[here[fewer]], rarest[here[fewer]] = often[t[fewer]], t[fewer]
+        order = np.lexsort((item[of], h, rarest))  # windows by their rarest term, equal ones next to each other
+        h, new = h[order], np.ones(len(order), bool)
+        new[1:] = h[1:] != h[:-1]
+        first = np.flatnonzero(new)
+        self.at, self.size = at[order[first]].astype(np.int32), size[order[first]].astype(np.int32)
+        self.of, self.member = np.r_[first, len(order)].astype(np.int32), item[of[order]].astype(np.int32)
+        self.by = np.searchsorted(rarest[order[first]], np.arange(len(self.terms) + 1)).astype(np.int32)
+
+    def window(self, k: int) -> tuple[int, ...]:
+        return tuple(self.ids[self.at[k] : self.at[k] + self.size[k]].tolist())
+
+    def possible(self, counts: np.ndarray) -> np.ndarray:
+        """The windows all of whose terms a shard has, by its counts of the block's terms."""
+        here = np.flatnonzero(counts)
+        n = self.by[here + 1] - self.by[here]
+        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.by[here], n)
+        for j in range(int(self.size.max(initial=0))):
+            inside = np.minimum(j, self.size[k] - 1)
+            k = k[counts[self.ids[self.at[k] + inside]] > 0]
+        return k
 
 
 #: The index: documents of a shard by number of words; its terms, their counts, and their positions one after another.
@@ -108,37 +137,39 @@ def index_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 class Shard:
     """A row of the index, for the terms of a test block."""
 
-    def __init__(self, sizes: list[int], terms: bytes, counts: np.ndarray, places: np.ndarray, vocabulary: dict[bytes, int]) -> None:
-        self.starts = _starts(sizes)
-        ends = np.cumsum(counts)
-        self.counts = [0] * len(vocabulary)
-        self.lists: dict[int, np.ndarray] = {}
-        for w, b, n in zip(terms.split(), ends.tolist(), counts.tolist()):
-            if (t := vocabulary.get(w)) is not None:
-                self.counts[t] = n
-                self.lists[t] = places[b - n : b].astype(np.int64)
+    def __init__(self, sizes: list[int], terms: bytes, counts: np.ndarray, places: np.ndarray, asked: np.ndarray) -> None:
+        self.starts, self.places = _starts(sizes), places
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, terms.split()), np.uint64, len(counts))
+        at = np.minimum(np.searchsorted(asked, h), max(len(asked) - 1, 0))
+        both = np.flatnonzero(asked[at] == h) if len(asked) else np.zeros(0, np.int64)
+        self.counts, self.ends = np.zeros(len(asked), np.int64), np.zeros(len(asked), np.int64)
+        self.counts[at[both]], self.ends[at[both]] = counts[both], np.cumsum(counts, dtype=np.int64)[both]
+
+    def listed(self, term: int) -> np.ndarray:
+        """The postings of a term."""
+        return self.places[self.ends[term] - self.counts[term] : self.ends[term]].astype(np.int64)
 
     def find(self, window: tuple[int, ...]) -> np.ndarray:
         """Starts of the window: all its terms in place."""
         order = sorted(range(len(window)), key=lambda k: self.counts[window[k]])
-        starts = self.lists[window[order[0]]] - order[0]
+        starts = self.listed(window[order[0]]) - order[0]
         starts = starts[starts >= 0]
         for k in order[1:]:
             if not len(starts):
                 break
-            listed, due = self.lists[window[k]], starts + k
+            listed, due = self.listed(window[k]), starts + k
             starts = starts[listed[np.minimum(np.searchsorted(listed, due), len(listed) - 1)] == due]
         return starts
 
     def near(self, window: tuple[int, ...], slop: int) -> np.ndarray:
         """Documents with a start, inside or not, from which each term is at most ``slop`` words out of place: the same in any shard."""
         order = sorted(range(len(window)), key=lambda k: self.counts[window[k]])
-        rarest, shifts = self.lists[window[order[0]]], np.arange(-slop, slop + 1)
+        rarest, shifts = self.listed(window[order[0]]), np.arange(-slop, slop + 1)
         starts, of = np.add.outer(rarest - order[0], shifts).ravel(), np.repeat(self.document(rarest), len(shifts))
         for k in order[1:]:
             if not len(starts):
                 break
-            listed, low, high = self.lists[window[k]], np.maximum(starts + k - slop, self.starts[of]), starts + k + slop
+            listed, low, high = self.listed(window[k]), np.maximum(starts + k - slop, self.starts[of]), starts + k + slop
             found = listed[np.minimum(np.searchsorted(listed, low), len(listed) - 1)]
             good = (low <= found) & (found <= high) & (found < self.starts[of + 1])
             starts, of = starts[good], of[good]
@@ -153,10 +184,8 @@ def _answer(shard: Shard, n_docs: int, asked: Windows, slop: int) -> tuple[list,
     change = np.zeros(int(shard.starts[-1]) + 1, np.int32)
     exact: list[set] = [set() for _ in range(n_docs)]
     near: list[set] = [set() for _ in range(n_docs)]
-    for k in (k for t in shard.lists for k in asked.by_term.get(t, ())):
-        window, items = asked.windows[k], asked.items[k]
-        if not all(shard.counts[t] for t in window):
-            continue
+    for k in asked.possible(shard.counts).tolist():
+        window, items = asked.window(k), asked.member[asked.of[k] : asked.of[k + 1]].tolist()
         starts = shard.find(window)
         if len(starts):
             np.add.at(change, starts, 1)
@@ -181,26 +210,25 @@ _FOUND = pa.schema([
 _FOUND_SQL = "shard long, k long, doc_id long, key long, n_words long, runs array<array<long>>, items array<string>, near_items array<string>"
 
 
-def _search(items: list[tuple[str | None, bytes | None]], width: int, slop: int, all_documents: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _search(asked: Windows, slop: int, all_documents: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """An Arrow function of shards: what a block of test items finds, a row for every document, or for those with a match alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = Windows(items, width)
         for batch in batches:
             for row in range(batch.num_rows):
                 shard_no, ids, keys, sizes, terms = (batch.column(c)[row].as_py() for c in range(5))
                 counts, places = (np.frombuffer(batch.column(c)[row].as_buffer(), np.int32) for c in (5, 6))
-                runs, exact, near = _answer(Shard(sizes, terms, counts, places, asked.vocabulary), len(sizes), asked, slop)
+                runs, exact, near = _answer(Shard(sizes, terms, counts, places, asked.terms), len(sizes), asked, slop)
                 kept = [k for k in range(len(sizes)) if all_documents or runs[k] or near[k]]
-                columns = [[shard_no] * len(kept), kept, *([x[k] for k in kept] for x in (ids, keys, sizes, runs)), *([_nulls_last(x[k]) for k in kept] for x in (exact, near))]
+                columns = [[shard_no] * len(kept), kept, *([x[k] for k in kept] for x in (ids, keys, sizes, runs)), *([[asked.items[i] for i in sorted(x[k])] for k in kept] for x in (exact, near))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _FOUND)], schema=_FOUND)
 
     return run
 
 
-def search(index: DataFrame, items: list[tuple[str | None, bytes | None]], width: int, slop: int, all_documents: bool) -> DataFrame:
+def search(index: DataFrame, asked: Windows, slop: int, all_documents: bool) -> DataFrame:
     """What a block of test items finds in a written index."""
-    return arrow_map(index, _search(items, width, slop, all_documents), _FOUND_SQL)
+    return arrow_map(index, _search(asked, slop, all_documents), _FOUND_SQL)
 
 
 def _united(found: DataFrame) -> DataFrame:
@@ -230,12 +258,12 @@ def find_passages(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
     n = -(-size // BLOCK_BYTES) or 1
     read = lambda i: [(r[0], None if r[1] is None else bytes(r[1])) for r in tests.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i).collect()]
     if n == 1 and not store:
-        make, ask = _index(shard_tokens or SHARD_TOKENS), _search(read(0), width, slop, True)
+        make, ask = _index(shard_tokens or SHARD_TOKENS), _search(Windows(read(0), width), slop, True)
         return arrow_map(_own(docs, doc_id, text), lambda batches: ask(make(batches)), _FOUND_SQL).select("doc_id", "key", "n_words", "runs", "items", "near_items")
     index = scratch.save(index_documents(docs, doc_id=doc_id, text=text, shard_tokens=shard_tokens), "index")
     found = None
     for i in range(n):
-        one = search(index, read(i), width, slop, i == 0)
+        one = search(index, Windows(read(i), width), slop, i == 0)
         one = one if n == 1 else scratch.save(one, f"found{i}")
         found = one if found is None else found.unionByName(one)
     if n > 1:
