@@ -42,9 +42,8 @@ class Scratch:
             jvm.System.gc()
 
     def drop(self, name: str) -> None:
-        """Frees a table which no DataFrame still in use reads."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        """Frees a table which no DataFrame still in use reads: an empty one takes its place."""
+        self.spark.range(0, 0, 1, 1).write.mode("overwrite").parquet(f"{self.root}/{name}")
         self.names.discard(name)
 
     def keep(self, *names: str) -> None:
@@ -53,14 +52,16 @@ class Scratch:
             self.drop(name)
 
 
-def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType, batch_mb: int | None = None) -> DataFrame:
     """``mapInArrow`` in batches of ARROW_ROWS rows at most, so that long texts do not fill an executor; a task gives its free memory back.
 
-    The number of rows is a setting of the session, which is lowered where it is higher.
+    ``batch_mb`` bounds batches of large rows by size, too. Both bounds are settings of the session, which are lowered where they are higher.
     """
     spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
         spark.conf.set(key, str(ARROW_ROWS))
+    if batch_mb:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{batch_mb}m")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:

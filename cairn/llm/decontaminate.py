@@ -23,6 +23,8 @@ from cairn.llm._common import Scratch, arrow_map, table
 
 #: Words in a window; tokens after which a shard is closed; bytes of test text that one pass takes; words out of place in a proximity match.
 WIDTH, SHARD_TOKENS, BLOCK_BYTES, SLOP = 13, 1_000_000, 8_000_000, 1
+#: Of shards that a task reads at once; a shard has some MB.
+BATCH_MB = 8
 #: Words are runs of ASCII digits, letters (lower-cased) and anything beyond ASCII; all else separates.
 _FOLD = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
@@ -228,7 +230,7 @@ def _search(asked: Windows, slop: int, all_documents: bool) -> Callable[[Iterato
 
 def search(index: DataFrame, asked: Windows, slop: int, all_documents: bool) -> DataFrame:
     """What a block of test items finds in a written index."""
-    return arrow_map(index, _search(asked, slop, all_documents), _FOUND_SQL)
+    return arrow_map(index, _search(asked, slop, all_documents), _FOUND_SQL, BATCH_MB)
 
 
 def _united(found: DataFrame) -> DataFrame:
