@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions import text as X
+from cairn.functions.stem import stem_sql
 from cairn.operators import retrieval as R
 from cairn.plans import standins as S
 from cairn.plans.registry import query
@@ -86,6 +87,36 @@ def c1_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.postings(S.chunks(spark, sf_dir), R.query_terms(S.questions(spark, sf_dir))).select("id", F.col("dl").cast("long").alias("dl"), "term", "tf")
 
 
+_STEM = _TOK[: _TOK.index(" n AS (")] + f""" {stem_sql("st", "(SELECT term FROM po UNION SELECT term FROM qt)")},
+ qs AS (SELECT question_id, stem AS term, sum(qtf)::BIGINT AS qtf FROM qt JOIN st ON st.term = qt.term GROUP BY 1, 2),
+ ps AS (SELECT id, dl, stem AS term, sum(tf)::BIGINT AS tf FROM po JOIN st ON st.term = po.term GROUP BY 1, 2, 3),
+ n AS (SELECT count(*) AS n FROM tk), df AS (SELECT term, count(*) AS df FROM ps GROUP BY term),
+ wt AS (SELECT question_id, qs.term, qtf, ln((greatest(n.n, 1) - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5) + 1) AS w FROM qs CROSS JOIN n LEFT JOIN df ON df.term = qs.term)"""
+
+
+def _stemmed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stems of the questions, postings of these stems, lengths of all chunks."""
+    qs = R.query_stems(R.query_terms(S.questions(spark, sf_dir)))
+    stored = R.stem_index(S.chunks(spark, sf_dir), qs, new_dir(spark, "stems"))
+    return qs, stored.filter("term IS NOT NULL"), R.lengths(stored)
+
+
+@query(S.sql(_QC, _STEM + " SELECT id, dl, ps.term AS stem, tf FROM ps SEMI JOIN qs ON qs.term = ps.term"))
+def c1_stemmed_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stemmed(spark, sf_dir)[1].select("id", F.col("dl").cast("long").alias("dl"), F.col("term").alias("stem"), "tf")
+
+
+@query(S.sql(_QC, _STEM + """, s AS (SELECT question_id, ps.id, round(0.1 * sum(tf) / (0.1 * sum(tf) + 1) * (1 + sum(w)), 9) AS score FROM wt JOIN ps ON ps.term = wt.term
+ JOIN chunks c ON c.id = ps.id WHERE NOT c.superseded GROUP BY 1, 2)
+ SELECT question_id, id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id) AS rank, round(score, 6) AS score FROM s QUALIFY rank <= 50"""))
+def c7_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    qs, po, length = _stemmed(spark, sf_dir)
+    weights, kept = R.term_weights(qs, po, length.select("n")), po.join(_open(S.chunks(spark, sf_dir)).select("id"), "id", "left_semi")
+    hit = weights.join(kept, "term").groupBy("question_id", "id").agg(F.sum("tf").alias("hits"), F.sum("w").alias("w"))
+    scored = hit.select("question_id", "id", F.round(R.cover_density(F.col("hits")) * (1 + F.col("w")), 9).alias("score"))
+    return R.top(scored, R.CANDIDATES).withColumn("score", F.round("score", 6))
+
+
 @query(S.sql(_QC, _TOK + " SELECT question_id, id, count(*) AS n_terms FROM qt JOIN po ON po.term = qt.term GROUP BY 1, 2"))
 def c2_or_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     qt, _, po, _ = _inputs(spark, sf_dir)
