@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import text as X
 from cairn.functions.stem import stem_sql
+from cairn.operators import pruned as P
 from cairn.operators import retrieval as R
 from cairn.plans import standins as S
 from cairn.plans.registry import query
@@ -156,6 +157,23 @@ def c8_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25_ranked(spark, sf_dir, 5).withColumn("score", F.round("score", 6))
 
 
+def _pruned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    _, weights, po, length = _inputs(spark, sf_dir)
+    return P.bm25(weights, po, length, 5)
+
+
+@query(S.sql(_QC, _BM + " SELECT question_id, id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id) AS rank, round(score, 6) AS score FROM bms QUALIFY rank <= 5"))
+def c8_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C8 without the postings that cannot enter the five best."""
+    return _pruned(spark, sf_dir)[0].withColumn("score", F.round("score", 6))
+
+
+@query()
+def c8_pruned_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many postings each question has, and of how many ``c8_pruned`` took candidates."""
+    return _pruned(spark, sf_dir)[1]
+
+
 @query(S.sql(_QC, """ SELECT q.question_id, c.id FROM questions q JOIN chunks c ON NOT c.superseded AND NOT c.contains_pii
  AND (c.product = ['Auto', 'Residencial', 'Empresarial'][(q.question_id % 3 + 1)::INT] OR c.product = 'All')"""))
 def c9_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,6 +186,25 @@ def c10_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vector(spark, sf_dir).withColumn("distance", F.round("distance", 5))
 
 
+def _listed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    chunks, asked = _vectors(spark, sf_dir)
+    path, centroids = new_dir(spark, "lists"), P.coarse_centroids(chunks)
+    stored, radius = P.vector_lists(chunks, centroids, f"{path}/lists")
+    return P.vector_top(stored, centroids, radius, asked, R.CANDIDATES, path)
+
+
+@query(S.sql(_QC, _VEC + " SELECT question_id, id, rank, round(distance, 5) AS distance FROM vec"))
+def c10_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C10 by lists of vectors, of which those too far away are not read."""
+    return _listed(spark, sf_dir)[0].withColumn("distance", F.round("distance", 5))
+
+
+@query()
+def c10_lists_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many lists of vectors there are for each question, and how many ``c10_lists`` read."""
+    return _listed(spark, sf_dir)[1]
+
+
 @query(S.sql(_QC, _FUSED + " SELECT question_id, id, lex_rank, vec_rank, score FROM fused"))
 def c11_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fused(spark, sf_dir)
