@@ -9,6 +9,7 @@ from cairn.functions import text as X
 from cairn.operators import turns as T
 from cairn.plans import standins as S
 from cairn.plans.registry import query
+from cairn.sources.scratch import new_dir
 
 _LOG = ", log AS (SELECT user_id AS conversation_id, event_id % 3 AS client_message_id, event_id AS seq, CASE event_type WHEN 'error' THEN 'fail' WHEN 'purchase' THEN 'complete' ELSE 'begin' END AS kind, props AS value FROM events)"
 
@@ -80,17 +81,32 @@ def f8_safe_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.safe_errors(e, ERRORS, DEFAULT).select("event_id", "error_code", "http_status", "title")
 
 
-@query("""WITH RECURSIVE a AS (SELECT user_id AS source, event_id AS id, epoch(ts) AS t, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
+_BREAKER = """WITH RECURSIVE a AS (SELECT user_id AS source, event_id AS id, epoch(ts) AS t, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
  s AS (SELECT source, 0::BIGINT AS r, NULL::BIGINT AS id, 'closed' AS now, 0::BIGINT AS n, 0.0::DOUBLE AS opened, '' AS state FROM (SELECT DISTINCT source FROM a)
  UNION ALL SELECT source, r, id, after, CASE WHEN shut THEN n WHEN ok THEN 0 ELSE n + 1 END, CASE WHEN NOT shut AND NOT ok AND after = 'open' THEN t ELSE opened END, CASE WHEN shut THEN 'rejected' ELSE after END FROM
   (SELECT *, CASE WHEN shut THEN 'open' WHEN ok THEN 'closed' WHEN now = 'open' OR n + 1 >= 2 THEN 'open' ELSE 'closed' END AS after FROM
    (SELECT a.source, a.r, a.id, a.t, a.ok, s.now, s.n, s.opened, s.now = 'open' AND a.t - s.opened < 3600 AS shut FROM s JOIN a ON a.source = s.source AND a.r = s.r + 1)))
- SELECT source, id, state FROM s WHERE r > 0""")
+ SELECT source, id, state FROM s WHERE r > 0"""
+
+
+def _attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = S.table(spark, sf_dir, "events")
+    return e.select(F.col("user_id").alias("source"), F.col("event_id").alias("id"), "ts", (F.col("event_type") != "error").alias("ok"))
+
+
+@query(_BREAKER)
 def s2_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cairn.streaming.jobs import breaker_batch
 
-    e = S.table(spark, sf_dir, "events")
-    return breaker_batch(e.select(F.col("user_id").alias("source"), F.col("event_id").alias("id"), "ts", (F.col("event_type") != "error").alias("ok")), failures=2, reset=3600.0)
+    return breaker_batch(_attempts(spark, sf_dir), failures=2, reset=3600.0)
+
+
+@query(_BREAKER)
+def s2_breaker_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stream with timers, run to the end of the log."""
+    from cairn.streaming.jobs import breaker_of_log
+
+    return breaker_of_log(_attempts(spark, sf_dir), new_dir(spark, "breaker"), failures=2, reset=3600.0)
 
 
 @query(rf"SELECT doc_id, regexp_matches(text, '{X.EMAIL}') AS has_email FROM documents")

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from itertools import groupby
 from operator import itemgetter
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from cairn.functions import text as X
 
@@ -22,33 +22,54 @@ def simple_intake(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["conversation_id", "client_message_id"])
 
 
-def intake(events: DataFrame, delay: str = "1 hour", expire_ms: int = 24 * 3600 * 1000) -> DataFrame:
-    """Begin events with ``result`` (new, in_flight, replay), state being the status of their key.
+def keep_state_on_disk(spark: SparkSession) -> None:
+    """Stateful processors need a state store with column families: a setting of the session, read when a query starts."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
-    Events (conversation_id, client_message_id, seq, ts, kind) of a key are folded in the order of seq within a batch. A
-    failed key opens again. A key that is silent for ``expire_ms`` of event time is forgotten: that bound is ours.
-    """
 
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        status = state.get[0] if state.exists else ""
-        rows = pd.concat(frames).sort_values("seq")
-        out = []
-        for row in rows.itertuples():
+class _Intake(StatefulProcessor):
+    """The status of a (conversation, client id), and when it was last heard of; a timer of event time forgets a silent one."""
+
+    def __init__(self, expire_ms: int) -> None:
+        self.expire_ms = expire_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.known = handle.getValueState("known", "status string, last long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        status, last = self.known.get() if self.known.exists() else ("", 0)
+        for row in sorted(rows, key=lambda r: r.seq):
+            last = max(last, row.at // 1000)
             if row.kind == "begin":
                 result = "replay" if status == "complete" else "in_flight" if status == "pending" else "new"
                 status = status if status == "complete" else "pending"
-                out.append((*key, row.seq, result))
+                yield Row(conversation_id=key[0], client_message_id=key[1], seq=row.seq, result=result)
             else:
                 status = {"complete": "complete", "fail": "failed"}[row.kind]
-        state.update((status,))
-        state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + expire_ms)
-        yield pd.DataFrame(out, columns=["conversation_id", "client_message_id", "seq", "result"])
+        self.known.update((status, last))
+        self.handle.registerTimer(max(last, timerValues.getCurrentWatermarkInMs()) + self.expire_ms)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        if self.known.exists() and self.known.get()[1] + self.expire_ms <= expiredTimerInfo.getExpiryTimeInMs():
+            self.known.clear()  # else a later event has set a timer of its own
+        return iter(())
+
+    def close(self) -> None:
+        pass
 
-    keyed = events.withWatermark("ts", delay).groupBy("conversation_id", "client_message_id")
-    return keyed.applyInPandasWithState(fold, "conversation_id long, client_message_id long, seq long, result string", "status string", "append", GroupStateTimeout.EventTimeTimeout)
+
+def intake(events: DataFrame, delay: str = "1 hour", expire_ms: int = 24 * 3600 * 1000) -> DataFrame:
+    """Begin events with ``result`` (new, in_flight, replay), state being the status of their key.
+
+    Events (conversation_id, client_message_id, seq, ts, kind) of a key are folded in the order of seq within a batch. A
+    failed key opens again. Events without a time, or later than ``delay``, are left out. A key that is silent for
+    ``expire_ms`` of event time is forgotten by a timer: that bound is ours.
+    """
+    keep_state_on_disk(events.sparkSession)
+    timed = events.filter("ts IS NOT NULL").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp"))).withWatermark("ts", delay)
+    keyed = timed.groupBy("conversation_id", "client_message_id")
+    return keyed.transformWithState(_Intake(expire_ms), "conversation_id long, client_message_id long, seq long, result string", "append", "eventtime")
 
 
 def breaker_steps(ok: Iterable[bool], ts: Iterable[float], state: tuple[str, int, float], failures: int, reset: float) -> tuple[list[str], tuple[str, int, float]]:
@@ -71,21 +92,85 @@ def breaker_steps(ok: Iterable[bool], ts: Iterable[float], state: tuple[str, int
     return out, (now, n, opened)
 
 
-def breaker(attempts: DataFrame, failures: int = FAILURES, reset: float = RESET, delay: str = "1 hour") -> DataFrame:
-    """The breaker of each source after each attempt (source, id, ts, ok), in the order of ts and id within a batch.
+class _Breaker(StatefulProcessor):
+    """The breaker of a source. In order, attempts wait until the watermark has passed them.
 
-    After ``reset`` seconds of event time an open breaker lets one attempt through, which closes or opens it again.
+    Then a timer after each attempt lets it through when no earlier one can come any more, so that attempts count in the order of their time,
+    whatever the order in which they arrive. A timer at the end of the wait half-opens an open breaker; one after a long silence forgets the source.
     """
 
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(frames).sort_values(["ts", "id"])
-        seconds = rows["ts"].astype("datetime64[us]").astype("int64") / 1e6
-        out, after = breaker_steps(rows["ok"], seconds, state.get if state.exists else ("closed", 0, 0.0), failures, reset)
-        state.update(after)
-        yield pd.DataFrame({"source": key[0], "id": rows["id"].to_numpy(), "state": out})
+    def __init__(self, failures: int, reset: float, in_order: bool, expire_ms: int) -> None:
+        self.failures, self.reset, self.in_order, self.expire_ms = failures, reset, in_order, expire_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.now = handle.getValueState("now", "state string, n long, opened double, last long")
+        self.pending = handle.getListState("pending", "at long, id long, ok boolean")
+
+    def step(self, key: tuple, due: list[tuple]) -> Iterator[Row]:
+        """The attempts (at, id, ok) in their order, and the timers that follow from them."""
+        due = sorted(due, key=lambda r: (r[0], r[1] is None, r[1] or 0))
+        state, n, opened, last = self.now.get() if self.now.exists() else ("closed", 0, 0.0, 0)
+        out, (state, n, opened) = breaker_steps([r[2] for r in due], [r[0] / 1e6 for r in due], (state, n, opened), self.failures, self.reset)
+        last = max(last, due[-1][0] // 1000)
+        self.now.update((state, n, opened, last))
+        self.handle.registerTimer(last + self.expire_ms)
+        if state == "open":
+            self.handle.registerTimer(math.ceil(1000 * (opened + self.reset)))
+        for row, after in zip(due, out):
+            yield Row(source=key[0], id=row[1], state=after)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        came = [(r.at, r.id, r.ok) for r in rows]
+        if not self.in_order:
+            yield from self.step(key, came)
+            return
+        for row in came:
+            self.pending.appendValue(row)
+            self.handle.registerTimer(row[0] // 1000 + 1)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        passed = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        waiting = [tuple(r) for r in self.pending.get()] if self.pending.exists() else []
+        due = [r for r in waiting if r[0] // 1000 < passed]
+        if due:
+            left = [r for r in waiting if r[0] // 1000 >= passed]
+            self.pending.put(left) if left else self.pending.clear()
+            yield from self.step(key, due)
+        elif self.now.exists():
+            state, n, opened, last = self.now.get()
+            if not waiting and last + self.expire_ms <= passed:
+                self.now.clear()
+            elif state == "open" and passed / 1000 - opened >= self.reset:
+                self.now.update(("half_open", n, opened, last))
+
+    def close(self) -> None:
+        pass
+
+
+def breaker(attempts: DataFrame, failures: int = FAILURES, reset: float = RESET, delay: str = "1 hour", in_order: bool = False, expire_ms: int = 30 * 24 * 3600 * 1000) -> DataFrame:
+    """The breaker of each source after each attempt (source, id, ts, ok), in the order of ts and id within a batch.
 
-    keyed = attempts.groupBy("source")
-    return keyed.applyInPandasWithState(fold, "source long, id long, state string", "state string, n long, opened double", "append", GroupStateTimeout.NoTimeout)
+    After ``reset`` seconds of event time an open breaker lets one attempt through, which closes or opens it again. ``in_order``:
+    an attempt counts, and its row comes, when the watermark has passed it, so that the order holds across batches too. Attempts
+    without a time, or later than ``delay``, are left out. A source that is silent for ``expire_ms`` of event time starts anew.
+    """
+    keep_state_on_disk(attempts.sparkSession)
+    timed = attempts.filter("ts IS NOT NULL").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp"))).withWatermark("ts", delay)
+    return timed.groupBy("source").transformWithState(_Breaker(failures, reset, in_order, expire_ms), "source long, id long, state string", "append", "eventtime")
+
+
+def breaker_of_log(attempts: DataFrame, path: str, failures: int = FAILURES, reset: float = RESET) -> DataFrame:
+    """S2 over a finished log, as a stream to its end: an attempt of no one, after all others, lets the watermark pass them."""
+    spark, delay = attempts.sparkSession, "1 second"
+    own = attempts.select(F.col("source").cast("long").alias("source"), F.col("id").cast("long").alias("id"), F.col("ts").cast("timestamp").alias("ts"), "ok")
+    own.withColumn("log", F.lit(True)).write.parquet(f"{path}/in")
+    end = F.timestamp_seconds(F.max(F.unix_seconds("ts")) + 60)
+    own.agg(end.alias("ts")).filter("ts IS NOT NULL").selectExpr("CAST(NULL AS LONG) AS source", "CAST(NULL AS LONG) AS id", "ts", "false AS ok", "false AS log").write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema("source long, id long, ts timestamp, ok boolean, log boolean").parquet(f"{path}/in")
+    job = breaker(stream, failures, reset, delay, in_order=True).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
+    job.awaitTermination()
+    return spark.read.schema("source long, id long, state string").parquet(f"{path}/out")
 
 
 def breaker_batch(attempts: DataFrame, failures: int = FAILURES, reset: float = RESET) -> DataFrame:

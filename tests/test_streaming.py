@@ -74,3 +74,61 @@ def test_intake_goes_on_from_its_checkpoint(spark, tmp_path):
         job.awaitTermination(120)
     got = {(r.conversation_id, r.seq): r.result for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got == {(1, 0): "new", (1, 2): "replay", (2, 3): "new"}
+
+
+def attempts(spark, rows, path):
+    spark.createDataFrame(rows, "source long, id long, ts timestamp, ok boolean").coalesce(1).write.mode("append").parquet(path)
+
+
+def advance(spark, tmp_path, **options):
+    """What has come so far, and all rows given out since the start."""
+    stream = spark.readStream.schema("source long, id long, ts timestamp, ok boolean").parquet(f"{tmp_path}/in")
+    job = jobs.breaker(stream, 2, 20.0, "10 seconds", True, **options).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    job.awaitTermination(120)
+    return {(r.source, r.id): r.state for r in spark.read.schema("source long, id long, state string").parquet(f"{tmp_path}/out").collect()}
+
+
+def test_breaker_in_order_across_batches_restarts_and_late_rows(spark, tmp_path):
+    at = lambda s: datetime(2024, 1, 1) + timedelta(seconds=s)
+    first = [(1, 1, at(5), False), (1, 0, at(0), False), (2, 7, at(3), True)]
+    attempts(spark, first, f"{tmp_path}/in")
+    assert advance(spark, tmp_path) == {}  # nothing is certain before the watermark
+    second = [(1, 2, at(2), False), (1, 3, at(26), True), (1, 4, at(30), False), (2, 8, at(40), False)]
+    attempts(spark, second, f"{tmp_path}/in")  # from the checkpoint; id 2 comes after id 1 and counts before it
+    got = advance(spark, tmp_path)
+    assert got == {(1, 0): "closed", (1, 2): "open", (1, 1): "rejected", (1, 3): "closed", (2, 7): "closed"}
+    attempts(spark, [(1, 5, at(1), False), (9, 9, at(100), True)], f"{tmp_path}/in")  # id 5 is too late
+    got = advance(spark, tmp_path)
+    kept = spark.createDataFrame(first + second, "source long, id long, ts timestamp, ok boolean")
+    assert got == {(r.source, r.id): r.state for r in jobs.breaker_batch(kept, 2, 20.0).collect()}
+    assert advance(spark, tmp_path) == got  # a run without news adds nothing
+
+
+def test_silent_sources_are_forgotten_by_a_timer(spark, tmp_path):
+    at = lambda s: datetime(2024, 1, 1) + timedelta(seconds=s)
+    attempts(spark, [(1, 0, at(0), False), (9, 90, at(30), True)], f"{tmp_path}/in")
+    assert advance(spark, tmp_path, expire_ms=60_000) == {(1, 0): "closed"}
+    attempts(spark, [(9, 91, at(200), True)], f"{tmp_path}/in")
+    advance(spark, tmp_path, expire_ms=60_000)
+    attempts(spark, [(1, 1, at(201), False), (9, 92, at(300), True)], f"{tmp_path}/in")
+    assert advance(spark, tmp_path, expire_ms=60_000)[1, 1] == "closed"  # the second failure in a row, were the first not forgotten
+
+
+def test_log_as_a_stream_equals_its_batch_form(spark, tmp_path):
+    rows = [(s, 50 * s + i, datetime(2024, 1, 1) + timedelta(milliseconds=7777 * (17 * i % 50)), (i + s) % 3 == 0) for s in range(3) for i in range(50)]
+    df = spark.createDataFrame(rows, "source long, id long, ts timestamp, ok boolean")
+    got = jobs.breaker_of_log(df, f"{tmp_path}/log", 2, 20.0)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, jobs.breaker_batch(df, 2, 20.0).collect()))
+    assert jobs.breaker_of_log(df.limit(0), f"{tmp_path}/none").count() == 0
+
+
+def test_intake_forgets_silent_keys(spark, tmp_path):
+    at = lambda s: datetime(2024, 1, 1) + timedelta(seconds=s)
+    parts = [[(1, 0, 0, at(0), "begin"), (1, 0, 1, at(1), "complete")], [(2, 0, 2, at(500), "begin")], [(1, 0, 3, at(501), "begin"), (3, 0, 4, at(2), "begin")]]
+    for rows in parts:
+        spark.createDataFrame(rows, EVENT).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(EVENT).parquet(f"{tmp_path}/in")
+        job = jobs.intake(stream, "10 seconds", 60_000).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+        job.awaitTermination(120)
+    got = {(r.conversation_id, r.seq): r.result for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {(1, 0): "new", (2, 2): "new", (1, 3): "new"}  # the row of conversation 3 came too late
