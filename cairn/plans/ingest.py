@@ -11,6 +11,8 @@ from cairn.operators import layout as L
 from cairn.plans import standins as S
 from cairn.plans.registry import query
 from cairn.sources import index
+from cairn.sources.scratch import new_dir
+from cairn.sources.versioned import Versioned
 
 _TRIM = "trim(text, ' ' || chr(9) || chr(13) || chr(10) || chr(11) || chr(12))"
 _KEYED = f", keyed AS (SELECT *, regexp_replace({_TRIM}, '[0-9]+', '#', 'g') AS key FROM lines)"
@@ -37,19 +39,50 @@ def a4_relational_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.read_relational(spark, f"{sf_dir}/orders.parquet", ["o_orderkey", "o_custkey", "o_totalprice"])
 
 
-@query("""SELECT d.doc_id AS id, CASE WHEN d.doc_id % 2 = 0 THEN upper(d.lang) ELSE d.lang END AS lang,
+_UPSERT = """SELECT d.doc_id AS id, CASE WHEN d.doc_id % 2 = 0 THEN upper(d.lang) ELSE d.lang END AS lang,
  CASE WHEN d.doc_id % 2 = 0 AND d.doc_id % 4 = 0 THEN d.n_chars * 10 ELSE d.n_chars END AS embedding FROM documents d
- UNION ALL SELECT doc_id + 1000000000, upper(lang), CASE WHEN doc_id % 4 = 0 THEN n_chars * 10 END FROM documents WHERE doc_id % 2 = 0""")
-def a9_index_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+ UNION ALL SELECT doc_id + 1000000000, upper(lang), CASE WHEN doc_id % 4 = 0 THEN n_chars * 10 END FROM documents WHERE doc_id % 2 = 0"""
+
+
+def _changes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     d = S.table(spark, sf_dir, "documents")
     old = d.select(F.col("doc_id").alias("id"), "lang", F.col("n_chars").alias("embedding"))
     even = d.filter("doc_id % 2 = 0")
     row = (F.upper("lang").alias("lang"), F.when(F.col("doc_id") % 4 == 0, F.col("n_chars") * 10).alias("embedding"))
     new = even.select(F.col("doc_id").alias("id"), *row).unionByName(even.select((F.col("doc_id") + 1000000000).alias("id"), *row))
-    return index.upsert(old, new)
+    return old, new
+
+
+@query(_UPSERT)
+def a9_index_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.upsert(*_changes(spark, sf_dir))
+
+
+@query(_UPSERT)
+def a9_versioned_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same into a stored table: two versions, of which the second is read."""
+    old, new = _changes(spark, sf_dir)
+    stored = Versioned.create(spark, new_dir(spark, "versioned"), old.schema)
+    stored.plant(old)
+    stored.upsert(new)
+    return stored.read()
+
+
+_PLANTED = "SELECT count(*) AS n_start, count(*) + count(*) FILTER (doc_id % 10 = 0) AS n_planted, count(*) AS n_end FROM documents"
+
+
+@query(_PLANTED)
+def a11_versioned_plant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows planted into a stored table and removed again; each version can still be read."""
+    d = S.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    new = d.filter("id % 10 = 0").withColumn("id", F.col("id") + 1000000000)
+    stored = Versioned.create(spark, new_dir(spark, "versioned"), d.schema)
+    versions = (stored.plant(d), stored.plant(new), stored.remove(new.select("id")))
+    start, planted, end = (stored.read(v).agg(F.count("*").alias(c)) for v, c in zip(versions, ("n_start", "n_planted", "n_end")))
+    return start.crossJoin(planted).crossJoin(end)
 
 
-@query("SELECT count(*) AS n_start, count(*) + count(*) FILTER (doc_id % 10 = 0) AS n_planted, count(*) AS n_end FROM documents")
+@query(_PLANTED)
 def a11_plant_and_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = S.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     new = d.filter("id % 10 = 0").withColumn("id", F.col("id") + 1000000000)

@@ -10,6 +10,7 @@ from cairn.operators import turns as T
 from cairn.plans import standins as S
 from cairn.plans.registry import query
 from cairn.sources.scratch import new_dir
+from cairn.streaming.log import TurnLog
 
 _LOG = ", log AS (SELECT user_id AS conversation_id, event_id % 3 AS client_message_id, event_id AS seq, CASE event_type WHEN 'error' THEN 'fail' WHEN 'purchase' THEN 'complete' ELSE 'begin' END AS kind, props AS value FROM events)"
 
@@ -35,12 +36,25 @@ def f1_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.intake(log(spark, sf_dir))
 
 
-@query(S.sql("turns", _LOG + """, g AS (SELECT conversation_id, client_message_id, max(seq) FILTER (kind <> 'begin') AS d, arg_max(kind, seq) FILTER (kind <> 'begin') AS k, arg_max(value, seq) FILTER (kind <> 'begin') AS v, max(seq) FILTER (kind = 'begin') AS b FROM log GROUP BY 1, 2)
- SELECT conversation_id, client_message_id, CASE WHEN d IS NULL OR (k = 'fail' AND b > d) THEN 'pending' WHEN k = 'fail' THEN 'failed' ELSE 'complete' END AS status, CASE WHEN k = 'complete' THEN v END AS answer FROM g"""))
+_CURRENT = S.sql("turns", _LOG + """, g AS (SELECT conversation_id, client_message_id, max(seq) FILTER (kind <> 'begin') AS d, arg_max(kind, seq) FILTER (kind <> 'begin') AS k, arg_max(value, seq) FILTER (kind <> 'begin') AS v, max(seq) FILTER (kind = 'begin') AS b FROM log GROUP BY 1, 2)
+ SELECT conversation_id, client_message_id, CASE WHEN d IS NULL OR (k = 'fail' AND b > d) THEN 'pending' WHEN k = 'fail' THEN 'failed' ELSE 'complete' END AS status, CASE WHEN k = 'complete' THEN v END AS answer FROM g""")
+
+
+@query(_CURRENT)
 def f2_current(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.current(log(spark, sf_dir))
 
 
+@query(_CURRENT)
+def f2_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stored log, which a stream of the events feeds to its end."""
+    e, path = log(spark, sf_dir), new_dir(spark, "log")
+    e.write.parquet(f"{path}/in")
+    stored = TurnLog(spark, path)
+    stored.feed(spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 64).parquet(f"{path}/in"), f"{path}/checkpoint").awaitTermination()
+    return stored.current()
+
+
 @query("""SELECT l_orderkey AS message_id, l_linenumber % 3 AS completion, l_linenumber AS ordinal, l_partkey AS evidence_id FROM lineitem
  QUALIFY l_linenumber % 3 = max(l_linenumber % 3) OVER (PARTITION BY l_orderkey)""")
 def f3_latest_citations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,12 +96,12 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "id", keep: tuple[str, ...
     return both.select(*(value(c).alias(c) for c in old.columns))
 
 
-def plant(chunks: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
+def plant(chunks: DataFrame, rows: DataFrame, key: str | list[str] = "id") -> DataFrame:
     """Inserts or replaces rows."""
     return chunks.join(rows, key, "left_anti").unionByName(rows)
 
 
-def remove(chunks: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+def remove(chunks: DataFrame, ids: DataFrame, key: str | list[str] = "id") -> DataFrame:
     """Deletes rows by id."""
     return chunks.join(ids, key, "left_anti")
 
