@@ -16,6 +16,8 @@ CAPTION = r"^Tabela\s+\d+\s*[-–—]\s+\S"
 FOOTNOTE = r"^\((\d+)\)\s+[A-ZÀ-Ú].+"
 MARKER = r"\((\d+)\)"
 CAPTION_ABOVE, CAPTION_BELOW, NOTE_GAP = 40.0, 2.0, 20.0
+#: Height of the strips of a page by which lines and tables meet.
+STRIP = 50.0
 _KEYS = ["doc", "page"]
 
 
@@ -23,12 +25,24 @@ def _boxes(tables: DataFrame, *more: str) -> DataFrame:
     return tables.select(*_KEYS, "table_no", *(F.col(c).alias(f"t_{c}") for c in ("x0", "y0", "x1", "y1")), *more)
 
 
-def outside_tables(lines: DataFrame, tables: DataFrame) -> DataFrame:
-    """Lines that overlap no table of their page; bounds are closed."""
-    t = _boxes(tables).alias("t")
+def _cells(low: Column, high: Column, height: float) -> Column:
+    """Numbers of the strips of a page that an interval reaches; none if a bound is null or they are the wrong way round."""
+    strip = lambda y: F.floor(y / height)
+    return F.when(low <= high, F.sequence(strip(low), strip(high)))
+
+
+def outside_tables(lines: DataFrame, tables: DataFrame, height: float = STRIP) -> DataFrame:
+    """Lines that overlap no table of their page; bounds are closed.
+
+    Lines and tables meet by strips of ``height`` of their page, so that a line meets the tables at its own height only.
+    """
+    box = ["x0", "y0", "x1", "y1"]
+    t = _boxes(tables).withColumn("cell", F.explode(_cells(F.col("t_y0"), F.col("t_y1"), height)))
+    places = lines.select(*_KEYS, "line_no", *box).distinct().withColumn("cell", F.explode(_cells(F.col("y0"), F.col("y1"), height)))
     apart = (F.col("l.x1") < F.col("t.t_x0")) | (F.col("l.x0") > F.col("t.t_x1")) | (F.col("l.y1") < F.col("t.t_y0")) | (F.col("l.y0") > F.col("t.t_y1"))
-    same = (F.col("l.doc") == F.col("t.doc")) & (F.col("l.page") == F.col("t.page"))
-    return lines.alias("l").join(t, same & ~apart, "left_anti")
+    same = [F.col(f"l.{c}") == F.col(f"t.{c}") for c in (*_KEYS, "cell")]
+    hit = places.alias("l").join(t.alias("t"), [*same, ~apart], "left_semi").select(*_KEYS, "line_no", *box).distinct()
+    return lines.alias("l").join(hit.alias("h"), [F.col(f"l.{c}").eqNullSafe(F.col(f"h.{c}")) for c in (*_KEYS, "line_no", *box)], "left_anti")
 
 
 def prose(lines: DataFrame, *dropped: DataFrame) -> DataFrame:
@@ -39,8 +53,13 @@ def prose(lines: DataFrame, *dropped: DataFrame) -> DataFrame:
 
 
 def captions(lines: DataFrame, tables: DataFrame, pattern: str = CAPTION) -> DataFrame:
-    """The nearest matching line above each table: doc, page, table_no, caption."""
-    near = _boxes(tables).join(lines.filter(F.col("text").rlike(pattern)), _KEYS)
+    """The nearest matching line above each table: doc, page, table_no, caption.
+
+    Lines and tables meet by strips as high as the range in which a caption may end, of which each table reaches two.
+    """
+    height = CAPTION_ABOVE + CAPTION_BELOW
+    near = _boxes(tables).withColumn("cell", F.explode(_cells(F.col("t_y0") - CAPTION_ABOVE, F.col("t_y0") + CAPTION_BELOW, height)))
+    near = near.join(lines.filter(F.col("text").rlike(pattern)).withColumn("cell", F.floor(F.col("y1") / height)), [*_KEYS, "cell"])
     gap = F.col("t_y0") - F.col("y1")
     return near.filter(gap.between(-CAPTION_BELOW, CAPTION_ABOVE)).groupBy(*_KEYS, "table_no").agg(F.min_by("text", F.struct(gap, "text")).alias("caption"))
 
@@ -59,20 +78,17 @@ def footnotes(lines: DataFrame, tables: DataFrame, stops: str = CAPTION) -> Data
     """Doc, page, table_no, note, text: notes below a table whose marker a cell holds.
 
     A note goes on through the next lines while each is at most NOTE_GAP below the last and matches neither a note's start nor
-    ``stops``; anything else ends it.
+    ``stops``; anything else ends it. So the notes of a page do not depend on its tables: they are read once, and meet tables by their number.
     """
-    below = _boxes(tables, "rows").join(lines, _KEYS).filter(F.col("y0") >= F.col("t_y1"))
-    order = W.partitionBy(*_KEYS, "table_no").orderBy("y0", "line_no")
+    order = W.partitionBy(*_KEYS).orderBy("y0", "line_no")
     starts = F.col("text").rlike(FOOTNOTE)
     breaks = ~starts & (F.col("text").rlike(stops) | (F.col("y0") - F.coalesce(F.lag("y1").over(order), F.col("y0")) > NOTE_GAP))
-    told = below.withColumns({"starts": starts, "breaks": breaks}).withColumn("run", F.sum((F.col("starts") | F.col("breaks")).cast("int")).over(order))
-    head = told.groupBy(*_KEYS, "table_no", "run").agg(
-        F.array_sort(F.collect_list(F.struct("y0", "line_no", "text", "starts"))).alias("parts"),
-        F.first(markers(F.flatten("rows"))).alias("marks"),
-    )
-    note = F.regexp_extract(F.col("parts")[0]["text"], FOOTNOTE, 1)
-    text = F.array_join(F.transform("parts", lambda p: p["text"]), " ")
-    return head.filter(F.col("parts")[0]["starts"]).select(*_KEYS, "table_no", note.alias("note"), text.alias("text"), "marks").filter(F.array_contains("marks", F.col("note"))).drop("marks")
+    told = lines.withColumns({"starts": starts, "breaks": breaks}).withColumn("run", F.sum((F.col("starts") | F.col("breaks")).cast("int")).over(order))
+    head = told.groupBy(*_KEYS, "run").agg(F.array_sort(F.collect_list(F.struct("y0", "line_no", "text", "starts"))).alias("parts"))
+    first = F.col("parts")[0]
+    notes = head.filter(first["starts"]).select(*_KEYS, first["y0"].alias("y0"), F.regexp_extract(first["text"], FOOTNOTE, 1).alias("note"), F.array_join(F.transform("parts", lambda p: p["text"]), " ").alias("text"))
+    marked = _boxes(tables, F.explode(markers(F.flatten("rows"))).alias("note"))
+    return marked.join(notes, [*_KEYS, "note"]).filter(F.col("y0") >= F.col("t_y1")).select(*_KEYS, "table_no", "note", "text")
 
 
 def history_rows(tables: DataFrame) -> DataFrame:

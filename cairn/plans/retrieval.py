@@ -9,6 +9,7 @@ from cairn.functions import text as X
 from cairn.functions.stem import stem_sql
 from cairn.operators import pruned as P
 from cairn.operators import retrieval as R
+from cairn.operators.phrases import holding
 from cairn.plans import standins as S
 from cairn.plans.registry import query
 from cairn.sources.index import plant
@@ -276,25 +277,9 @@ def c20_rank_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def expected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """question_id, id, document_code of the chunks that hold a question's text.
-
-    A chunk that does also holds, as terms, all but the first and last term of the question; so only chunks with the
-    rarest of these are searched. Questions too short for that (none as a rule) are searched for in all chunks.
-    """
-    c, q = S.chunks(spark, sf_dir).select("id", "document_code", "section", "text"), S.questions(spark, sf_dir)
-    inner = q.select("question_id", X.terms(F.col("question")).alias("t")).filter(F.size("t") > 2)
-    inner = inner.select("question_id", F.explode(F.array_distinct(F.slice("t", F.lit(2), F.size("t") - 2))).alias("term"))
-    po = R.term_index(c, inner, new_dir(spark, "inner")).filter("term IS NOT NULL").select("id", "term")
-    rare = inner.join(R.document_frequency(po), "term").groupBy("question_id").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
-    near = rare.join(po, "term").select("question_id", "id")
-    low = q.select("question_id", F.lower("question").alias("q"))
-    held = near.join(low, "question_id").join(c.select("id", "document_code", F.lower("text").alias("t")), "id").filter(F.contains("t", F.col("q")))
-    short = low.join(inner, "question_id", "left_anti")
-    held = held.select("question_id", "id", "document_code")
-    if not short.take(1):
-        return held
-    rest = c.select("id", "document_code", F.lower("text").alias("t")).join(short, F.contains("t", F.col("q")))
-    return held.unionByName(rest.select("question_id", "id", "document_code"))
+    """question_id, id, document_code of the chunks that hold a question's text: one pass over the texts."""
+    c = S.chunks(spark, sf_dir)
+    return holding(c, S.questions(spark, sf_dir)).join(c.select("id", "document_code"), "id").select("question_id", "id", "document_code")
 
 
 _EXPECTED = ", expected AS (SELECT question_id, id, document_code FROM chunks JOIN questions ON strpos(lower(text), lower(question)) > 0)"

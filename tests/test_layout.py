@@ -1,3 +1,4 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from cairn.operators import ingest as I
@@ -56,3 +57,43 @@ def test_windows_cut_after_the_last_space(spark):
     got = spark.createDataFrame([(text,), ("x" * 2500,), (" ",), (None,)], "t string").select(I.windows(F.col("t")).alias("w")).collect()
     assert all(len(p) <= 1200 and p.endswith("palavra") for p in got[0].w)
     assert [len(p) for p in got[1].w] == [1200, 1200, 400] and got[2].w == [] and not got[3].w
+
+
+def overlaps(l, t):
+    return not (l[5] < t[3] or l[3] > t[5] or l[6] < t[4] or l[4] > t[6])
+
+
+def test_strips_give_the_rows_of_all_pairs(spark):
+    rng = np.random.default_rng(8)
+    text = lambda: str(rng.choice(["Tabela 1 - Perto", "texto", "(1) Nota um", "(2) Nota", "segue"]))
+    page = lambda: ("d", int(rng.integers(0, 2)))
+    ls = []
+    for i in range(300):
+        x, y = rng.integers(0, 400, 2).astype(float).tolist()
+        ls.append((*page(), i, x, y, x + float(rng.integers(0, 80)), y + float(rng.integers(0, 30)), text()))
+    ls += [("d", 0, 900, None, 1.0, 2.0, 3.0, "null"), ("d", 5, 901, 0.0, 0.0, 1.0, 1.0, "no table"), ls[0]]
+    ts = [(*page(), k, float(x), float(y), float(x + w), float(y + h), ["h"], [["(1)"]]) for k, (x, y, w, h) in enumerate(rng.integers(0, 300, (12, 4)))]
+    own, t = spark.createDataFrame(ls, LINE), spark.createDataFrame(ts, TABLE)
+    whole = sorted(str(l) for l in ls if l[3] is None or not any(l[:2] == b[:2] and overlaps(l, b) for b in ts))
+    for height in (3.0, 50.0, 1000.0):
+        assert sorted(str(tuple(r)) for r in L.outside_tables(own, t, height).collect()) == whole
+    near = {}
+    for b in ts:
+        found = [(b[4] - l[6], l[7]) for l in ls if l[:2] == b[:2] and l[7].startswith("Tabela") and -2 <= b[4] - l[6] <= 40]
+        if found:
+            near[b[:3]] = min(found)[1]
+    assert {tuple(r)[:3]: r.caption for r in L.captions(own, t).collect()} == near and near
+
+
+def test_notes_of_a_page_are_the_notes_below_each_table(spark):
+    own = lines(spark, (10, "(1) Antes"), (205, "(1) Nota"), (216, "que segue"), (230, "(2) Sem marca"), (400, "(1) Depois"), (411, "(3) Outra"))
+    t = [("d", 1, k, 0.0, y - 5, 10.0, y, ["h"], [["a (1)", "(3) (1)"]]) for k, y in enumerate((5.0, 200.0, 401.0))]
+    got = sorted((r.table_no, r.note, r.text) for r in L.footnotes(own, spark.createDataFrame(t, TABLE)).collect())
+    texts = [("1", "(1) Antes"), ("1", "(1) Nota que segue"), ("1", "(1) Depois"), ("3", "(3) Outra")]
+    assert got == sorted([*((0, *x) for x in texts), *((1, *x) for x in texts[1:]), (2, *texts[3])])
+
+
+def test_a_page_of_many_lines_and_boxes(spark):
+    own = spark.range(100_000).selectExpr("'d' AS doc", "1 AS page", "CAST(id AS INT) AS line_no", "0.0D AS x0", "CAST(12 * id AS DOUBLE) AS y0", "9.0D AS x1", "CAST(12 * id + 10 AS DOUBLE) AS y1", "concat('l', id) AS text")
+    t = spark.range(1000).selectExpr("'d' AS doc", "1 AS page", "CAST(id AS INT) AS table_no", "0.0D AS x0", "CAST(1200 * id AS DOUBLE) AS y0", "9.0D AS x1", "CAST(1200 * id + 100 AS DOUBLE) AS y1", "array(array('(1)')) AS rows")
+    assert L.outside_tables(own, t).count() == 100_000 - 9 * 1000
