@@ -60,14 +60,14 @@ def drops_space(path: str) -> bool:
     return plain and added and bool(first) and _splits(first[0])
 
 
-def lengths(tokenizer: Tokenizer, pieces: list[str]) -> list[int]:
-    """Token counts of pieces, encoded in batches of about BATCH_BYTES."""
+def lengths(tokenizer: Tokenizer, pieces: list[bytes]) -> list[int]:
+    """Token counts of pieces of UTF-8, encoded in batches of about BATCH_BYTES."""
     out: list[int] = []
     start = size = 0
     for i, piece in enumerate(pieces):
         size += len(piece)
         if size >= BATCH_BYTES or i + 1 == len(pieces):
-            out += [len(e) for e in tokenizer.encode_batch_fast(pieces[start : i + 1], add_special_tokens=False)]
+            out += [len(e) for e in tokenizer.encode_batch_fast([p.decode() for p in pieces[start : i + 1]], add_special_tokens=False)]
             start, size = i + 1, 0
     return out
 
@@ -85,7 +85,7 @@ def count_tokens(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: st
             texts = [(t.as_py() or b"") for t in batch.column(1)]
             pieces = [t.split() if split else [t] for t in texts]
             new = list({p: 0 for own in pieces for p in own if p not in known})
-            counts = dict(zip(new, lengths(tokenizer, [p.decode() for p in new])))
+            counts = dict(zip(new, lengths(tokenizer, new)))
             n = [sum(counts[p] if p in counts else known[p] for p in own) for own in pieces]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, texts)), pa.int64()), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
             if len(known) + len(counts) > REMEMBERED:
