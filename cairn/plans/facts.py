@@ -158,14 +158,11 @@ def d14_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
  UNION ALL SELECT 'none', 'paid_count: 0' || chr(10) || 'nenhum pagamento nas condições filtradas', 'claim_count: 0' || chr(10) || 'paid_claim_count: 0'"""))
 def d14_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The summaries of each market segment, and of one that does not exist, as text."""
-    out = None
-    for product in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY", "none"):
-        sums = _rounded(D.claims_summary(*_tables(spark, sf_dir), product=product))
-        counts = D.count_claims(*_tables(spark, sf_dir), product=product)
-        cols = lambda df: {c: F.col(c) for c in df.columns}
-        one = sums.select(F.lit(product).alias("product"), D.summary_text(cols(sums)).alias("summary_text")).crossJoin(counts.select(D.count_text(cols(counts)).alias("count_text")))
-        out = one if out is None else out.unionByName(one)
-    return out
+    c, p, y = _tables(spark, sf_dir)
+    asked = p.select("product").distinct().unionByName(spark.range(1).select(F.lit("none").alias("product")))
+    found = _rounded(D.summaries(c, p, y, asked))
+    cols = {k: F.col(k) for k in found.columns}
+    return found.select("product", D.summary_text(cols).alias("summary_text"), D.count_text(cols).alias("count_text"))
 
 
 @query(S.sql("claims payments", rf""" SELECT doc_id, regexp_matches(text, '{X.EMAIL}') AS held FROM documents"""))

@@ -12,6 +12,7 @@ from cairn.plans import gates as PG
 from cairn.plans import retrieval as PR
 from cairn.plans import standins as S
 from cairn.plans.registry import query
+from cairn.sources.index import bounds
 
 _REC = """rec AS (SELECT o_orderkey AS id, o_custkey AS case_id, o_orderkey % 3 + 1 AS run, CASE WHEN o_custkey % 2 = 0 THEN 'judged' ELSE 'deterministic' END AS grade,
  CASE WHEN o_orderpriority = '5-LOW' THEN 'canned' ELSE 'live' END AS provider, CASE o_orderstatus WHEN 'F' THEN 'answered' WHEN 'O' THEN 'refused' ELSE 'needs_clarification' END AS outcome,
@@ -91,7 +92,7 @@ def g5_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(S.sql("questions chunks", PR._BM + PR._TOP5 + PR._EXPECTED + """, m AS (SELECT e.question_id, count(DISTINCT e.id) = count(DISTINCT e.id) FILTER (t.id IS NOT NULL) AS hit FROM expected e LEFT JOIN top5 t ON t.question_id = e.question_id AND t.id = e.id GROUP BY 1)
  SELECT count(*) AS n, round(avg(hit::INT), 6) AS recall, round(avg(hit::INT), 6) >= 0.88 AS passed FROM m"""))
 def h3_recall_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.recall_gate(PR.h2_recall_by_chunk(spark, sf_dir), 0.88)
+    return M.recall_gate(PR.h2_recall_by_chunk(spark, sf_dir), bounds(S.thresholds(spark), "recall_at_5")["recall_at_5"])
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,7 +181,7 @@ def h16_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_VER + " SELECT grade, count(*) AS n, round(avg((verdict = 'pass')::INT), 6) AS rate, round(avg((verdict = 'pass')::INT), 6) >= CASE grade WHEN 'judged' THEN 0.5 ELSE 1.0 END AS ok FROM gra GROUP BY grade")
 def h17_pass_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.pass_rates(graded(spark, sf_dir), {"judged": 0.5, "deterministic": 1.0})
+    return M.pass_rates(graded(spark, sf_dir), bounds(S.thresholds(spark), "judged", "deterministic"))
 
 
 @query(f"WITH {_REC}, {_CHK} SELECT case_id, name, min(run) AS run FROM chk WHERE NOT passed GROUP BY 1, 2")
@@ -198,7 +199,7 @@ def h19_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT provider, mean_cost, max_cost, CASE WHEN provider <> 'live' OR n_replays > 0 THEN 'not measured' WHEN mean_cost <= 0.0085 THEN 'pass' ELSE 'miss' END AS mean_verdict,
  CASE WHEN provider <> 'live' OR n_replays > 0 THEN 'not measured' WHEN max_cost <= 0.0085 THEN 'pass' ELSE 'miss' END AS max_verdict FROM s""")
 def h20_cost_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.cost_verdicts(records(spark, sf_dir), "live", 0.0085)
+    return M.cost_verdicts(records(spark, sf_dir), "live", bounds(S.thresholds(spark), "cost_usd")["cost_usd"])
 
 
 @query(f"""WITH {_REC} SELECT round(avg({_COST}), 9) AS mean_cost, round(max({_COST}), 9) AS max_cost, sum(prompt_tokens)::BIGINT AS prompt, sum(cached_tokens)::BIGINT AS cached,

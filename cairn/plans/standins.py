@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions import text as X
+from cairn.sources.index import read_thresholds
+from cairn.sources.scratch import new_dir
 
 #: Phones in the driver's texts; heading rule for texts without numbered headings: a short line.
 PHONE = r"\+1 \([0-9]{3}\) 555-[0-9]{4}"
@@ -85,6 +87,17 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.withColumn("answer_text", F.when(F.col("status").isin("pending", "failed"), F.lit(None)).otherwise(F.col("a_text"))).drop("a_text")
 
 
+#: The file of thresholds that gates are held against.
+THRESHOLDS = ("retrieval:", "  recall_at_5: 0.88  # of questions", "rates:", "  judged: 0.5", "  deterministic: 1.0", "budget:", "  cost_usd: 0.0085")
+
+
+def thresholds(spark: SparkSession) -> DataFrame:
+    """name, value: the file, written and read."""
+    path = new_dir(spark, "thresholds")
+    spark.createDataFrame([(line,) for line in THRESHOLDS], "value string").coalesce(1).write.text(path)
+    return read_thresholds(spark, path)
+
+
 _SQL = {
     "lines": """lines AS (SELECT source AS doc, doc_id AS page, unnest(range(1, len(l) + 1)) AS line_no, unnest(l) AS text
   FROM (SELECT source, doc_id, string_split(text, chr(10)) AS l FROM documents))""",

@@ -56,6 +56,14 @@ def read_thresholds(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy(F.regexp_extract("value", pattern, 1).alias("name")).agg(F.max(F.regexp_extract("value", pattern, 2).cast("double")).alias("value"))
 
 
+def bounds(table: DataFrame, *names: str) -> dict[str, float]:
+    """The named thresholds of a table (name, value); a missing one is an error, not a pass."""
+    found = dict(table.filter(F.col("name").isin(*names)).select("name", "value").collect())  # as many as names
+    if missing := set(names) - set(found):
+        raise KeyError(f"no threshold {', '.join(sorted(missing))}")
+    return found
+
+
 def thresholds(spark: SparkSession, values: Mapping[str, float]) -> DataFrame:
     """A one-row table of thresholds."""
     return spark.createDataFrame([tuple(map(float, values.values()))], ", ".join(f"{k} double" for k in values))

@@ -2,6 +2,7 @@ import base64
 import json
 
 import numpy as np
+import pytest
 
 from cairn.sources import index
 
@@ -40,3 +41,11 @@ def test_upsert_keeps_old_vectors_and_thresholds_make_a_row(spark, tmp_path):
 def test_thresholds_of_a_file(spark, tmp_path):
     (tmp_path / "t.yaml").write_text("budget:\n  p50_latency_s: 4.0  # seconds\n  cost: 0.05\n\n# rate: 9\nrecall@5: 0.88\nname: text\n")
     assert {r.name: r.value for r in index.read_thresholds(spark, str(tmp_path / "t.yaml")).collect()} == {"p50_latency_s": 4.0, "cost": 0.05, "recall@5": 0.88}
+
+
+def test_bounds_of_gates_come_from_the_table(spark, tmp_path):
+    (tmp_path / "t.yaml").write_text("a: 1\nb: 0.5\n")
+    t = index.read_thresholds(spark, str(tmp_path / "t.yaml"))
+    assert index.bounds(t, "b") == {"b": 0.5}
+    with pytest.raises(KeyError, match="c"):
+        index.bounds(t, "a", "c")
