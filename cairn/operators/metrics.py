@@ -17,7 +17,10 @@ from cairn.functions import text as X
 # Fixed values that results depend on.
 RATES = {"input": 0.75, "cached": 0.075, "output": 4.50}
 CHARS_PER_TOKEN, CEILING, FAILURES, RESET = 3, 0.05, 5, 30.0
+#: Bins of a pass of the exact selection.
 HARD_GATES = ("citation_validity", "pii_leak", "error_leakage")
+#: Bins of a pass of the exact selection.
+BINS = 1024
 FORBIDDEN = ("Traceback", "APIStatusError", "openai.", "You are an internal assistant")
 MODEL_MARKERS = ("gpt-5", "gpt-4")
 CPF_ANYWHERE = r"\d{3}\.\d{3}\.\d{3}-\d{2}"
@@ -159,18 +162,43 @@ def first_failures(checks: DataFrame) -> DataFrame:
     return checks.filter(~F.col("passed")).groupBy("case_id", "name").agg(F.min("run").alias("run"))
 
 
-def latency(records: DataFrame) -> DataFrame:
-    """p50 (the median), p95 (the element at 0.95 (n - 1), rounded half to even), max.
+def selected(values: DataFrame, ranks: Sequence[int], bins: int = BINS) -> list:
+    """The exact values of a one-column table without nulls that have these ranks (from 0) in ascending order.
 
-    The element is found by counts of each distinct latency, so no single task orders all records.
+    Each pass counts what is left of the values in ``bins`` bins for each rank, with their bounds, and goes on in the bin that holds it; bins
+    are combined before the shuffle and the driver sees ranks x bins rows. It ends when a bin has one value, after three passes or so.
     """
-    counts = records.filter("latency_ms IS NOT NULL").groupBy("latency_ms").agg(F.count("*").alias("k"))
-    n = F.sum("k").over(W.partitionBy())
-    upto = F.sum("k").over(W.orderBy("latency_ms"))
-    placed = counts.withColumns({"n": n, "upto": upto})
-    at = lambda pos: F.min(F.when(F.col("upto") > pos, F.col("latency_ms")))
-    p95 = F.least(F.col("n") - 1, F.bround(0.95 * (F.col("n") - 1), 0))
-    return placed.agg(((at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2).alias("p50"), at(p95).alias("p95"), F.max("latency_ms").alias("max"))
+    x = F.col(values.columns[0])
+    whole = values.agg(F.min(x), F.max(x)).first()
+    open_, out = {k: (r, *whole) for k, r in enumerate(ranks)}, [whole[0]] * len(ranks)
+    while open_:
+        ranges = sorted({(lo, hi) for _, lo, hi in open_.values()})
+        cells = F.array(*(F.when(x.between(lo, hi), F.struct(F.lit(i).alias("i"), (F.least(F.floor((x - lo) / (hi - lo) * bins), F.lit(bins - 1)) if hi > lo else F.lit(0)).cast("int").alias("bin"))) for i, (lo, hi) in enumerate(ranges)))
+        counted = values.select(x.alias("x"), F.explode(F.array_compact(cells)).alias("c")).groupBy("c").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
+        at = {}
+        for k, (rank, lo, hi) in open_.items():
+            i = ranges.index((lo, hi))
+            for row in sorted((r for r in counted if r.c.i == i), key=lambda r: r.c.bin):
+                if rank < row.n:
+                    break
+                rank -= row.n
+            if row.lo == row.hi:
+                out[k] = row.lo
+            else:
+                at[k] = (rank, row.lo, row.hi)
+        open_ = at
+    return out
+
+
+def latency(records: DataFrame) -> DataFrame:
+    """p50 (the median), p95 (the element at 0.95 (n - 1), rounded half to even), max; nulls without any latency."""
+    values = records.filter("latency_ms IS NOT NULL").select("latency_ms")
+    kind, n = values.schema[0].dataType.simpleString(), values.count()
+    row = (None, None, None)
+    if n:
+        low, high, p95, most = selected(values, [(n - 1) // 2, n // 2, min(n - 1, round(0.95 * (n - 1))), n - 1])
+        row = ((low + high) / 2, p95, most)
+    return records.sparkSession.createDataFrame([row], f"p50 double, p95 {kind}, max {kind}")
 
 
 def cost_summary(records: DataFrame) -> DataFrame:
