@@ -10,15 +10,17 @@ from cairn.plans import metrics as PM
 from cairn.plans import standins as S
 from cairn.plans import turns as PT
 from cairn.plans.registry import query
-from cairn.sources import index
+from cairn.sources import index, readers
 from cairn.sources.scratch import new_dir
 from cairn.streaming import jobs
 
 
-@query(f"""WITH {PM._REC}, {PM._CHK} SELECT r.case_id, r.run, count(*) AS n_records, sum(prompt_tokens)::BIGINT AS prompt_tokens, count(*) FILTER (provider = 'live') AS n_live, coalesce(max(c.n), 0) AS n_checks, coalesce(max(c.k), 0) AS n_passed
- FROM rec r LEFT JOIN (SELECT case_id, run, count(*) AS n, count(*) FILTER (passed) AS k FROM chk GROUP BY 1, 2) c ON c.case_id = r.case_id AND c.run = r.run GROUP BY r.case_id, r.run""")
-def a5_run_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Run logs, a line for each record of orders with its checks of line items; read back and added up."""
+_RUNS = f"""WITH {PM._REC}, {PM._CHK} SELECT r.case_id, r.run, count(*) AS n_records, sum(prompt_tokens)::BIGINT AS prompt_tokens, count(*) FILTER (provider = 'live') AS n_live, coalesce(max(c.n), 0) AS n_checks, coalesce(max(c.k), 0) AS n_passed
+ FROM rec r LEFT JOIN (SELECT case_id, run, count(*) AS n, count(*) FILTER (passed) AS k FROM chk GROUP BY 1, 2) c ON c.case_id = r.case_id AND c.run = r.run GROUP BY r.case_id, r.run"""
+
+
+def _write_runs(spark: SparkSession, sf_dir: str) -> str:
+    """Run logs, a line for each record of orders with its checks of line items."""
     li = S.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(
         F.collect_list(F.struct(F.element_at(F.array(*map(F.lit, PM.NAMES)), F.col("l_linenumber")).alias("name"), (F.col("l_quantity") > 3).alias("passed"))).alias("checks")
     )
@@ -27,13 +29,64 @@ def a5_run_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = PM.records(spark, sf_dir).join(li, "id", "left").select(F.col("run").cast("int").alias("run"), F.array(record).alias("records"))
     path = new_dir(spark, "runs")
     index.write_result(runs, path)
-    rows = index.read_runs(spark, path, lines=True)
+    return path
+
+
+def _added_up(rows: DataFrame) -> DataFrame:
     return rows.groupBy(F.col("case_id").cast("long").alias("case_id"), F.col("run").cast("long").alias("run")).agg(
         F.count("*").alias("n_records"), F.sum("meta.usage.prompt_tokens").alias("prompt_tokens"), F.count_if(F.col("meta.provider") == "live").alias("n_live"),
         F.sum(F.coalesce(F.array_size("checks"), F.lit(0))).alias("n_checks"), F.sum(F.coalesce(F.array_size(F.filter("checks", lambda c: c["passed"])), F.lit(0))).alias("n_passed"),
     )
 
 
+@query(_RUNS)
+def a5_run_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run logs read back and added up."""
+    return _added_up(index.read_runs(spark, _write_runs(spark, sf_dir), lines=True))
+
+
+@query(_RUNS)
+def a5_run_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same logs as a stream of lines, to its end, in ranges of bytes."""
+    path = new_dir(spark, "runlog")
+    job = readers.stream_run_lines(spark, _write_runs(spark, sf_dir)).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    job.awaitTermination()
+    return _added_up(spark.read.parquet(f"{path}/out"))
+
+
+#: Pages of documents in files by source and a part of the ids; a page's text stands right after its mark.
+_PAGED = """SELECT source AS doc, part, row_number() OVER (PARTITION BY source, part ORDER BY doc_id) AS page, unnest(range(1, len(l) + 1)) AS line_no, unnest(l) AS text
+ FROM (SELECT source, doc_id, doc_id % 16 AS part, string_split(text || chr(10), chr(10)) AS l FROM documents)"""
+
+
+def _write_pages(spark: SparkSession, sf_dir: str) -> str:
+    d = S.table(spark, sf_dir, "documents").select("source", F.pmod("doc_id", F.lit(16)).alias("part"), "doc_id", F.concat(F.lit("===== PAGE 1 ====="), "text").alias("value"))
+    path = new_dir(spark, "pages")
+    d.repartition("source", "part").sortWithinPartitions("source", "part", "doc_id").drop("doc_id").write.partitionBy("source", "part").text(path)
+    return path
+
+
+def _paged(rows: DataFrame) -> DataFrame:
+    """Doc and part are in the folder's name."""
+    part = lambda name: F.regexp_extract("file", f"/{name}=([^/]+)/", 1)
+    return rows.filter("page > 0").select(part("source").alias("doc"), part("part").cast("long").alias("part"), "page", "line_no", "text")
+
+
+@query(_PAGED)
+def a1_paged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page-marked files of documents in ranges of 64 KB, so that pages and lines are placed across ranges at any scale."""
+    return _paged(readers.read_pages(spark, _write_pages(spark, sf_dir), 1 << 16))
+
+
+@query(_PAGED)
+def a1_paged_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files as a stream, to its end."""
+    path = new_dir(spark, "paged")
+    job = readers.stream_pages(spark, _write_pages(spark, sf_dir)).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    job.awaitTermination()
+    return _paged(spark.read.parquet(f"{path}/out"))
+
+
 @query("""SELECT doc_id AS case_id, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 0 END AS n_contain, CASE WHEN doc_id % 2 = 1 THEN 'src1' ELSE '' END AS cite, CASE WHEN doc_id % 4 = 0 THEN TRUE WHEN doc_id % 4 = 2 THEN FALSE END AS refusal,
  sha256(text) AS answer_sha256 FROM documents""")
 def a6_case_files(spark: SparkSession, sf_dir: str) -> DataFrame:
