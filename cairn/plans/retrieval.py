@@ -10,6 +10,7 @@ from cairn.functions.stem import stem_sql
 from cairn.operators import pruned as P
 from cairn.operators import retrieval as R
 from cairn.operators.phrases import holding
+from cairn.operators.probe import probed_split
 from cairn.plans import standins as S
 from cairn.plans.registry import query
 from cairn.sources.index import plant
@@ -250,15 +251,35 @@ def c16_fixed_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 _KEY = "sha256('own' || chr(10) || text)"
 
 
-@query(f"""SELECT count(*) FILTER (k IN (SELECT {_KEY} FROM documents WHERE doc_id % 3 = 0)) AS n_hits,
- count(DISTINCT k) FILTER (k NOT IN (SELECT {_KEY} FROM documents WHERE doc_id % 3 = 0)) AS n_misses FROM (SELECT {_KEY} AS k FROM documents)""")
-def c17_cache_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+_SPLIT = f"""SELECT count(*) FILTER (k IN (SELECT {_KEY} FROM documents WHERE doc_id % 3 = 0)) AS n_hits,
+ count(DISTINCT k) FILTER (k NOT IN (SELECT {_KEY} FROM documents WHERE doc_id % 3 = 0)) AS n_misses FROM (SELECT {_KEY} AS k FROM documents)"""
+
+
+def _cached(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     t = S.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    cache = t.filter("id % 3 = 0").select(R.cache_key(F.lit("own"), F.col("text")).alias("key"), F.array(F.lit(0.0)).alias("vector")).dropDuplicates(["key"])
-    hits, misses = R.cache_split(t, cache, "own")
+    key = R.cache_key(F.lit("own"), F.col("text")).alias("key")
+    return t, t.filter("id % 3 = 0").select(key, F.array(F.lit(0.0)).alias("vector")).dropDuplicates(["key"])
+
+
+@query(_SPLIT)
+def c17_cache_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits, misses = R.cache_split(*_cached(spark, sf_dir), "own")
     return hits.agg(F.count("*").alias("n_hits")).crossJoin(misses.agg(F.count("*").alias("n_misses")))
 
 
+@query(_SPLIT)
+def c17_probed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C17 with filters of keys in front of the joins."""
+    hits, misses, _ = probed_split(*_cached(spark, sf_dir), "own")
+    return hits.agg(F.count("*").alias("n_hits")).crossJoin(misses.agg(F.count("*").alias("n_misses")))
+
+
+@query()
+def c17_probed_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many texts there are and how many met the cache in ``c17_probed``, and the same of the cache's rows."""
+    return probed_split(*_cached(spark, sf_dir), "own")[2]
+
+
 @query("""SELECT vec_id, len(v)::INT AS dim, round(list_sum(list_transform(v, lambda x: x::DOUBLE)), 4) AS total
  FROM (SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN embedding[1:48] ELSE list_concat(embedding, list_transform(range(32), lambda x: 0.0::FLOAT)) END AS v FROM embeddings)""")
 def c19_fit_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
