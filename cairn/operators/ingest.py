@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -110,10 +110,26 @@ def superseded(docs: DataFrame, history: DataFrame) -> DataFrame:
     return all_.select("code", "version", "effective_date", (F.col("by_version").isNotNull() | later).alias("superseded"), reason.alias("reason"))
 
 
+def _counts() -> tuple[Column, ...]:
+    return F.count("*").alias("n_chunks"), F.count_if(F.col("contains_pii")).alias("n_pii"), F.count_if(F.col("superseded")).alias("n_superseded")
+
+
 def report(chunks: DataFrame) -> DataFrame:
     """Counts per (code, version), and a row of totals whose code is null."""
-    counts = (F.count("*").alias("n_chunks"), F.count_if(F.col("contains_pii")).alias("n_pii"), F.count_if(F.col("superseded")).alias("n_superseded"))
-    return chunks.groupingSets([["document_code", "version"], []], "document_code", "version").agg(*counts)
+    return chunks.groupingSets([["document_code", "version"], []], "document_code", "version").agg(*_counts())
+
+
+def write_chunks(chunks: DataFrame, path: str) -> DataFrame:
+    """Stores the chunks and returns the report on them, without making them twice.
+
+    The totals are observed while the rows are written. The lines of documents are as many as documents, which no observation can
+    hold: they are counted from the four columns they need of what was stored; no text is read again.
+    """
+    seen = Observation()
+    chunks.observe(seen, *_counts()).write.parquet(path)
+    lines = chunks.sparkSession.read.schema(chunks.schema).parquet(path).groupBy("document_code", "version").agg(*_counts())
+    totals = [None, None, *(seen.get[c] for c in lines.columns[2:])]
+    return lines.unionByName(chunks.sparkSession.createDataFrame([tuple(totals)], lines.schema))
 
 
 def corpus_stats(chunks: DataFrame) -> DataFrame:

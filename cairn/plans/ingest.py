@@ -232,12 +232,21 @@ def b25_supersession(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.superseded(docs, history)
 
 
-@query(S.sql("chunks", """SELECT document_code, version, count(*) AS n_chunks, count(*) FILTER (contains_pii) AS n_pii, count(*) FILTER (superseded) AS n_superseded
- FROM chunks GROUP BY GROUPING SETS ((document_code, version), ())"""))
+_REPORT = S.sql("chunks", """SELECT document_code, version, count(*) AS n_chunks, count(*) FILTER (contains_pii) AS n_pii, count(*) FILTER (superseded) AS n_superseded
+ FROM chunks GROUP BY GROUPING SETS ((document_code, version), ())""")
+
+
+@query(_REPORT)
 def b26_ingest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.report(S.chunks(spark, sf_dir))
 
 
+@query(_REPORT)
+def b26_written_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same while the chunks are stored."""
+    return I.write_chunks(S.chunks(spark, sf_dir), new_dir(spark, "chunks"))
+
+
 @query(S.sql("chunks", "SELECT count(*) AS n_chunks, count(DISTINCT (document_code, version)) AS n_versions FROM chunks"))
 def b27_corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.corpus_stats(S.chunks(spark, sf_dir))
