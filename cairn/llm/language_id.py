@@ -20,22 +20,42 @@ from pyspark.sql import types as T
 
 from cairn.llm._common import arrow_map, slices, table
 
-#: Buckets of trigrams (hashed), bytes of text that are expanded at once, smoothing, steps of a mixture at most and the change that ends them.
+#: Buckets of trigrams (hashed), trigrams of text that are expanded at once, smoothing, steps of a mixture at most and the change that ends them.
 BUCKETS, PIECE, SMOOTH, STEPS, CLOSE = 1 << 15, 500_000, 0.5, 20, 1e-3
 #: A further language must gain PENALTY * log(trigrams) in log likelihood, and have a share of at least SHARE.
 PENALTY, SHARE = 2.0, 0.02
+#: Languages that a model can have: it takes 128 KB of a task for each, training twice that.
+MOST_LANGUAGES = 500
 _LETTER = regex.compile(r"\p{L}")
 _SPACE = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 UND = "und"
 
 
-def grams(text: str) -> np.ndarray:
-    """Bucket numbers of the byte trigrams of the lower-cased text, all but letters taken as space."""
-    b = np.frombuffer(f"  {text.lower()}  ".encode("utf-8", "replace").translate(_SPACE), np.uint8).astype(np.uint32)
+def _letters(text: str) -> bytes:
+    """The lower-cased text between spaces, all but letters taken as space."""
+    return f"  {text.lower()}  ".encode("utf-8", "replace").translate(_SPACE)
+
+
+def _buckets(letters: bytes) -> np.ndarray:
+    b = np.frombuffer(letters, np.uint8).astype(np.uint32)
     ids = ((b[:-2] * np.uint32(961) + b[1:-1] * np.uint32(31) + b[2:]) * np.uint32(2654435761)) >> np.uint32(17)
     return ids[(b[:-2] != 32) | (b[1:-1] != 32) | (b[2:] != 32)]
 
 
+def grams(text: str) -> np.ndarray:
+    """Bucket numbers of the byte trigrams of the lower-cased text, all but letters taken as space."""
+    return _buckets(_letters(text))
+
+
+def tally(text: str, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a whole text's trigrams and how often each occurs; ``piece`` of them are expanded at once."""
+    letters, total = _letters(text), np.zeros(BUCKETS, np.int64)
+    for i in range(0, len(letters) - 2, piece):
+        total += np.bincount(_buckets(letters[i : i + piece + 2]), minlength=BUCKETS)
+    seen = np.flatnonzero(total)
+    return seen, total[seen]
+
+
 def shares(p: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, float]:
     """Proportions of the rows of ``p`` (likelihoods of the seen trigrams) by expectation-maximisation, and their log likelihood."""
     share, n = np.full(len(p), 1 / len(p)), counts.sum()
@@ -56,8 +76,11 @@ class Model:
     log_p: np.ndarray
 
     def mixture(self, ids: np.ndarray) -> list[tuple[str, float]]:
-        """The chosen languages with their proportions, largest first."""
-        seen, counts = np.unique(ids, return_counts=True)
+        """The chosen languages with their proportions, largest first, of a list of buckets."""
+        return self.chosen(*np.unique(ids, return_counts=True))
+
+    def chosen(self, seen: np.ndarray, counts: np.ndarray) -> list[tuple[str, float]]:
+        """The same of distinct buckets and how often each occurs."""
         log_p = self.log_p[:, seen]
         p = np.exp(log_p - log_p.max(axis=0))
         share, _ = shares(p, counts)
@@ -69,14 +92,17 @@ class Model:
                 break
             more = np.r_[chosen, i]
             next_found, gained = shares(p[more], counts)
-            if gained - best <= PENALTY * np.log(len(ids)):
+            if gained - best <= PENALTY * np.log(counts.sum()):
                 break
             chosen, found, best = more, next_found, gained
         return sorted(((self.languages[i], float(w)) for i, w in zip(chosen, found)), key=lambda x: (-x[1], x[0]))
 
 
 def train(docs: DataFrame, *, text: str = "text", lang: str = "lang") -> Model:
-    """Counts over all rows with a text and a language; what reaches the driver is BUCKETS numbers a language at most."""
+    """Counts over all rows with a text and a language; what reaches the driver is BUCKETS numbers a language at most.
+
+    More than MOST_LANGUAGES values of ``lang`` are an error: they are not languages, and none is left out silently.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -103,6 +129,8 @@ def train(docs: DataFrame, *, text: str = "text", lang: str = "lang") -> Model:
             total += np.bincount(grams("   ".join(open_)), minlength=BUCKETS)
 
     used = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
+    if used.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     counts = arrow_map(used, run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(counts["lang"].unique())
     total = np.zeros((len(languages), BUCKETS))
@@ -128,7 +156,7 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
             found = []
             for t in batch.column(0).field(text):
                 t = t.as_py()
-                found.append(model.mixture(grams(t)) if t and model.languages and _LETTER.search(t) else [])
+                found.append(model.chosen(*tally(t)) if t and model.languages and _LETTER.search(t) else [])
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([f[0][0] if f else UND for f in found], pa.string()), pa.array([f[0][1] if f else 0.0 for f in found], pa.float64()),
                 pa.array([[{"lang": a, "share": b} for a, b in f] for f in found], kind),

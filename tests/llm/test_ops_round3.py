@@ -9,7 +9,8 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.llm import centroids, minhash, ngram_join, periodic_runs, queries
+import corpus_pipeline
+from cairn.llm import centroids, language_id, minhash, ngram_join, periodic_runs, quality_classifier, queries
 
 BASE = "the quick brown fox jumps over the lazy dog and then it sleeps in the warm sun of a late summer day with no care at all "
 ROWS = [
@@ -243,3 +244,106 @@ def test_sequences_hold_what_two_sets_share():
             one, two = (ngram_join.sequences([known[i] for i in s], weight(s), 1000, most)[0] for s in (a, b))
             common = set(dict(one)) & set(dict(two))
             assert any(min(dict(one)[k], dict(two)[k]) >= weight(a & b) for k in common)
+
+
+def test_trigrams_in_pieces_are_those_of_the_whole_text():
+    rng = np.random.default_rng(1)
+    for text in ("", "a", "Ünïcode ß 漢字 x" * 40, "".join(rng.choice(list("ab é\n1"), 500)), "..."):
+        want = np.unique(language_id.grams(text), return_counts=True)
+        for piece in (1, 2, 7, 64, language_id.PIECE):
+            assert all(np.array_equal(a, b) for a, b in zip(language_id.tally(text, piece), want))
+
+
+def test_trained_counts_against_a_plain_count(spark):
+    rows = [("en", "The cat, the dog"), ("de", "Der Hund über Straße"), ("en", "a  b"), (None, "left out"), ("fr", None), ("de", "x" * 40)]
+    model = language_id.train(spark.createDataFrame(rows, "lang string, text string"))
+    assert model.languages == ["de", "en"]
+    for lang, log_p in zip(model.languages, model.log_p):
+        n = np.full(language_id.BUCKETS, language_id.SMOOTH)
+        for own, text in rows:
+            if own == lang:
+                # bytes of the lower-cased text, ASCII letters and all beyond ASCII; anything else is a space
+                b = [32, 32, *(c if c > 127 or 97 <= c <= 122 else 32 for c in text.lower().encode()), 32, 32]
+                for x, y, z in zip(b, b[1:], b[2:]):
+                    if (x, y, z) != (32, 32, 32):
+                        n[((x * 961 + y * 31 + z) * 2654435761 % 2**32) >> 17] += 1
+        assert np.allclose(log_p, np.log(n / n.sum()), atol=1e-5)
+
+
+def test_too_many_languages_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 3)
+    rows = lambda n: spark.range(n).select(F.col("id").cast("string").alias("lang"), F.lit("some text").alias("text"))
+    assert len(language_id.train(rows(3)).languages) == 3
+    with pytest.raises(ValueError, match="languages"):
+        language_id.train(rows(4))
+
+
+def test_chosen_languages_against_all_sets():
+    """No set of the languages has a penalised likelihood that is better by more than the steps leave open."""
+    rng = np.random.default_rng(6)
+    log_p = np.log(rng.dirichlet(np.full(40, 0.3), 4) + 1e-6)
+    model = language_id.Model(list("abcd"), log_p)
+
+    def best(rows, counts):  # many more steps than the operator's, from the same start
+        p, w = np.exp(log_p[rows]), np.full(len(rows), 1 / len(rows))
+        for _ in range(3000):
+            joint = w[:, None] * p
+            w = (joint / joint.sum(axis=0) @ counts) / counts.sum()
+        return counts @ np.log(w @ p) - (len(rows) - 1) * language_id.PENALTY * np.log(counts.sum())
+
+    for mix in ([1, 0, 0, 0], [0, 0, 1, 0], [0.5, 0.5, 0, 0], [0.4, 0, 0.3, 0.3], [0, 0.7, 0, 0.3], [0.25] * 4):
+        counts = rng.multinomial(3000, np.array(mix) @ (np.exp(log_p) / np.exp(log_p).sum(axis=1, keepdims=True)))
+        seen = np.flatnonzero(counts)
+        found = model.chosen(seen, counts[seen])
+        rows = [model.languages.index(x) for x, _ in found]
+        assert set(rows) == {i for i, w in enumerate(mix) if w} and all(abs(w - mix[i]) < 0.06 for i, (_, w) in zip(rows, found))
+        sets = [[i for i in range(4) if m >> i & 1] for m in range(1, 16)]
+        assert best(rows, counts) >= max(best(s, counts) for s in sets) - 1
+
+
+def test_ridge_regression_is_at_its_minimum():
+    """The loss written out anew: no small move of any weight makes it smaller, and its slope is flat."""
+    rng = np.random.default_rng(8)
+    x = np.c_[rng.normal(size=(300, 4)), np.ones(300)]
+    for y in ((x[:, 0] + rng.normal(size=300) > 0).astype(float), (x[:, 1] > 5).astype(float), (x[:, 2] > 0).astype(float)):
+        w = quality_classifier._newton(x, y)
+
+        def loss(v):
+            z = x @ v
+            ridge = quality_classifier.RIDGE * (v[:-1] @ v[:-1]) + 1e-6 * v[-1] ** 2
+            return sum(np.log1p(np.exp(-abs(a))) + max(a, 0) - b * a for a, b in zip(z, y)) + ridge / 2
+
+        here = loss(w)
+        for i in range(5):
+            for step in (1e-2, -1e-2):
+                moved = w.copy()
+                moved[i] += step
+                assert loss(moved) >= here - 1e-9
+
+
+def test_pseudo_labels_by_hand():
+    model = quality_classifier.Logistic(np.zeros(1), np.ones(1), np.array([1.0, 0.0]))
+    low = float(np.log(quality_classifier.SURE / (1 - quality_classifier.SURE)))
+    x = np.array([[low - 0.01], [low + 0.001], [low + quality_classifier.BIN * 2.5], [-low - quality_classifier.BIN * 1.5], [0.0]])
+    bins = quality_classifier._bins(model, x)
+    assert bins[1].tolist() == [-1, 0, 2, -1, -1] and bins[0].tolist() == [-1, -1, -1, 1, -1]
+    none = quality_classifier.BINS
+    one = quality_classifier.Round([model, model], {(0, 1): 1, (0, 0): 0, (1, 1): none, (1, 0): none})
+    got = quality_classifier.given([one], [x, x])
+    assert np.isnan(got[0]).all() and [None if np.isnan(v) else v for v in got[1]] == [None, None, 1.0, 0.0, None]
+
+
+def test_pipeline_stages_with_shared_ids_and_clashing_columns(spark, sf):
+    rows = [(1, "b " + BASE * 3, "en", "s", 1), (1, "a wholly other text that has the same id as one before it does", "en", "s", 2), (2, "b " + BASE * 3, "de", None, None),
+            (None, "a text without any id is a document of its own here", None, "t", 4), (None, "a text without any id is a document of its own here", None, "t", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit("7") for c in [*CLASH, "row", "key", "score", "lang_pred", "component_id", "size", "taken", "target"]})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, sf)
+        assert kept.columns == corpus_pipeline.COLUMNS
+        got = sorted((str(r.doc_id), r.text) for r in kept.collect())
+        if name == "near_duplicates":  # of two rows with one id the first by text; the copy under another id goes
+            assert got == [("1", rows[1][1]), ("None", rows[3][1]), ("None", rows[3][1])]
+        else:
+            assert got == sorted((str(r[0]), r[1]) for r in rows)
+    mixed = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
+    assert len(mixed) == len(rows) and all(r.taken <= 2 * r.size for r in mixed)
