@@ -40,7 +40,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near copies, and one row of each id."""
-    scratch = Scratch(spark, "near")
+    scratch, docs = Scratch(spark, "near"), docs.select(*COLUMNS)
     found = scratch.save(ngram_components(docs).select("doc_id", "component_id"), "found")
     kept = _without(docs, found.filter("component_id < doc_id").select("doc_id"), "doc_id")
     twice = scratch.save(found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "twice")
