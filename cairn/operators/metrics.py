@@ -6,11 +6,14 @@ reasoning_tokens, degraded), ``checks`` (case_id, run, name, passed).
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cairn.functions import text as X
 
@@ -227,11 +230,29 @@ def refusals(records: DataFrame, expected: DataFrame) -> DataFrame:
     return both.agg(F.count("due").alias("correct"), (F.count("*") - F.count("due")).alias("wrong"))
 
 
-def resolved(citations: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Per message: requested and resolved citations, and the texts in cited order; unknown ids are left out."""
-    rows = citations.join(chunks.select(F.col("id").alias("evidence_id"), "text"), "evidence_id", "left")
-    texts = F.transform(F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("ordinal", "text")))), lambda x: x["text"])
-    return rows.groupBy("message_id").agg(F.count("*").alias("requested"), F.count("text").alias("resolved"), texts.alias("texts"))
+def resolved(citations: DataFrame, chunks: DataFrame, value: Column | None = None) -> DataFrame:
+    """Per message: requested and resolved citations, and the texts in cited order (ties by text); unknown ids are left out.
+
+    ``value``: what a message gets of each text in the place of the text itself, such as its digest or its packed form. It is made once a chunk. What is
+    shuffled by message has this value and a number that grows with the text, so that citations with one ordinal are put in order without their texts.
+    """
+    at = F.when(F.col("text").isNotNull(), F.monotonically_increasing_id())
+    own = chunks.orderBy("text").select(F.col("id").alias("evidence_id"), at.alias("at"), (F.col("text") if value is None else value).alias("value"))
+    rows = citations.join(own, "evidence_id", "left").select("message_id", "ordinal", "at", "value").repartition("message_id")
+    texts = F.transform(F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("ordinal", "at", "value")))), lambda x: x["value"])
+    return rows.groupBy("message_id").agg(F.count("*").alias("requested"), F.count("at").alias("resolved"), texts.alias("texts"))
+
+
+@F.pandas_udf(T.BinaryType())
+def packed(texts: pd.Series) -> pd.Series:
+    """Texts compressed, for shuffles that carry a text many times."""
+    return texts.map(lambda t: None if t is None else zlib.compress(t.encode()))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def unpacked(values: pd.Series) -> pd.Series:
+    """The texts of arrays of packed ones."""
+    return values.map(lambda row: None if row is None else [zlib.decompress(v).decode() for v in row])
 
 
 def grader_prompts(answers: DataFrame) -> DataFrame:
