@@ -41,11 +41,11 @@ _QC = "questions chunks"
 
 
 def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Question terms, their weights over all chunks, the postings of asked terms, and the lengths of all chunks."""
+    """Question terms, their weights over all chunks, the index of asked terms, and the lengths of all chunks."""
     qt = R.query_terms(S.questions(spark, sf_dir))
-    stored = R.term_index(S.chunks(spark, sf_dir), qt, new_dir(spark, "terms"))
-    po, length = stored.filter("term IS NOT NULL"), R.lengths(stored)
-    return qt, R.term_weights(qt, po, length.select("n")), po, length.select("avg_dl")
+    stored = R.chunk_index(S.chunks(spark, sf_dir), qt, new_dir(spark, "terms"), ("superseded",))
+    length = R.lengths(stored)
+    return qt, R.term_weights(qt, R.by_term(stored), length.select("n")), stored, length.select("avg_dl")
 
 
 def _open(c: DataFrame) -> DataFrame:
@@ -53,11 +53,9 @@ def _open(c: DataFrame) -> DataFrame:
 
 
 def _lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, weights, po, _ = _inputs(spark, sf_dir)
+    _, weights, stored, _ = _inputs(spark, sf_dir)
     # statistics cover all chunks; only chunks that may answer are scored
-    po = po.join(_open(S.chunks(spark, sf_dir)).select("id"), "id", "left_semi")
-    hit = weights.join(po, "term").groupBy("question_id", "id").agg(F.sum("tf").alias("hits"), F.sum("w").alias("w"))
-    return R.top(hit.select("question_id", "id", F.round(R.cover_density(F.col("hits")) * (1 + F.col("w")), 9).alias("score")), R.CANDIDATES)
+    return R.cover_ranked(weights, _open(stored), R.CANDIDATES)
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -81,8 +79,8 @@ def _boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_ranked(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    _, weights, po, length = _inputs(spark, sf_dir)
-    return R.bm25(weights, po, length, k)
+    _, weights, stored, length = _inputs(spark, sf_dir)
+    return R.bm25(weights, stored, length, k)
 
 
 @query(S.sql(_QC, _TOK + " SELECT po.id, po.dl, po.term, po.tf FROM po SEMI JOIN qt ON qt.term = po.term"))
@@ -98,44 +96,42 @@ _STEM = _TOK[: _TOK.index(" n AS (")] + f""" {stem_sql("st", "(SELECT term FROM
 
 
 def _stemmed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Stems of the questions, postings of these stems, lengths of all chunks."""
+    """Stems of the questions, the index of these stems, lengths of all chunks."""
     qs = R.query_stems(R.query_terms(S.questions(spark, sf_dir)))
-    stored = R.stem_index(S.chunks(spark, sf_dir), qs, new_dir(spark, "stems"))
-    return qs, stored.filter("term IS NOT NULL"), R.lengths(stored)
+    stored = R.stem_index(S.chunks(spark, sf_dir), qs, new_dir(spark, "stems"), ("superseded",))
+    return qs, stored, R.lengths(stored)
 
 
 @query(S.sql(_QC, _STEM + " SELECT id, dl, ps.term AS stem, tf FROM ps SEMI JOIN qs ON qs.term = ps.term"))
 def c1_stemmed_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stemmed(spark, sf_dir)[1].select("id", F.col("dl").cast("long").alias("dl"), F.col("term").alias("stem"), "tf")
+    return R.by_term(_stemmed(spark, sf_dir)[1]).select("id", F.col("dl").cast("long").alias("dl"), F.col("term").alias("stem"), "tf")
 
 
 @query(S.sql(_QC, _STEM + """, s AS (SELECT question_id, ps.id, round(0.1 * sum(tf) / (0.1 * sum(tf) + 1) * (1 + sum(w)), 9) AS score FROM wt JOIN ps ON ps.term = wt.term
  JOIN chunks c ON c.id = ps.id WHERE NOT c.superseded GROUP BY 1, 2)
  SELECT question_id, id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id) AS rank, round(score, 6) AS score FROM s QUALIFY rank <= 50"""))
 def c7_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    qs, po, length = _stemmed(spark, sf_dir)
-    weights, kept = R.term_weights(qs, po, length.select("n")), po.join(_open(S.chunks(spark, sf_dir)).select("id"), "id", "left_semi")
-    hit = weights.join(kept, "term").groupBy("question_id", "id").agg(F.sum("tf").alias("hits"), F.sum("w").alias("w"))
-    scored = hit.select("question_id", "id", F.round(R.cover_density(F.col("hits")) * (1 + F.col("w")), 9).alias("score"))
-    return R.top(scored, R.CANDIDATES).withColumn("score", F.round("score", 6))
+    qs, stored, length = _stemmed(spark, sf_dir)
+    weights = R.term_weights(qs, R.by_term(stored), length.select("n"))
+    return R.cover_ranked(weights, _open(stored), R.CANDIDATES).withColumn("score", F.round("score", 6))
 
 
 @query(S.sql(_QC, _TOK + " SELECT question_id, id, count(*) AS n_terms FROM qt JOIN po ON po.term = qt.term GROUP BY 1, 2"))
 def c2_or_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    qt, _, po, _ = _inputs(spark, sf_dir)
-    return R.matches(qt, po).groupBy("question_id", "id").agg(F.count("*").alias("n_terms"))
+    qt, _, stored, _ = _inputs(spark, sf_dir)
+    return R.matched(qt, stored).select("question_id", "id", "n_terms")
 
 
 @query(S.sql(_QC, _TOK + """, need AS (SELECT question_id, count(*) AS n_terms FROM qt GROUP BY 1), h AS (SELECT question_id, id, count(*) AS k FROM qt JOIN po ON po.term = qt.term GROUP BY 1, 2)
  SELECT need.question_id, n_terms, count(*) FILTER (k = n_terms) AS and_matches, count(k) AS or_matches FROM need LEFT JOIN h ON h.question_id = need.question_id GROUP BY 1, 2"""))
 def c3_and_or_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    qt, _, po, _ = _inputs(spark, sf_dir)
-    return R.and_or_counts(qt, po)
+    qt, _, stored, _ = _inputs(spark, sf_dir)
+    return R.and_or_counts(qt, stored)
 
 
 @query(S.sql(_QC, _TOK + " SELECT df.term, df.df FROM df SEMI JOIN qt ON qt.term = df.term"))
 def c4_document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.document_frequency(_inputs(spark, sf_dir)[2])
+    return R.document_frequency(R.by_term(_inputs(spark, sf_dir)[2]))
 
 
 @query(S.sql(_QC, _TOK + " SELECT question_id, term, qtf, round(w, 6) AS w FROM wt"))
@@ -145,8 +141,8 @@ def c5_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(S.sql(_QC, _TOK + " SELECT question_id, id, round(0.1 * sum(tf) / (0.1 * sum(tf) + 1), 6) AS r FROM qt JOIN po ON po.term = qt.term GROUP BY 1, 2"))
 def c6_cover_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    qt, _, po, _ = _inputs(spark, sf_dir)
-    return R.matches(qt, po).groupBy("question_id", "id").agg(F.round(R.cover_density(F.sum("tf")), 6).alias("r"))
+    qt, _, stored, _ = _inputs(spark, sf_dir)
+    return R.matched(qt, stored).select("question_id", "id", F.round(R.cover_density(F.col("hits")), 6).alias("r"))
 
 
 @query(S.sql(_QC, _LEX + " SELECT question_id, id, rank, round(score, 6) AS score FROM lex"))
@@ -160,8 +156,8 @@ def c8_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pruned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    _, weights, po, length = _inputs(spark, sf_dir)
-    return P.bm25(weights, po, length, 5)
+    _, weights, stored, length = _inputs(spark, sf_dir)
+    return P.bm25(weights, R.by_term(stored), length, 5)
 
 
 @query(S.sql(_QC, _BM + " SELECT question_id, id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id) AS rank, round(score, 6) AS score FROM bms QUALIFY rank <= 5"))
@@ -340,7 +336,7 @@ def c21_planted_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, q = S.chunks(spark, sf_dir).select("id", "section", "text"), S.questions(spark, sf_dir)
     planted = plant(c, q.select((F.col("question_id") + 1_000_000_000).alias("id"), F.lit("planted").alias("section"), F.col("question").alias("text")))
     qt = R.query_terms(q)
-    stored = R.term_index(planted, qt, new_dir(spark, "planted"))
-    po, length = stored.filter("term IS NOT NULL"), R.lengths(stored)
-    best = R.bm25(R.term_weights(qt, po, length.select("n")), po, length.select("avg_dl"), 1)
+    stored = R.chunk_index(planted, qt, new_dir(spark, "planted"))
+    length = R.lengths(stored)
+    best = R.bm25(R.term_weights(qt, R.by_term(stored), length.select("n")), stored, length.select("avg_dl"), 1)
     return best.select("question_id", "id", (F.col("id") == F.col("question_id") + 1_000_000_000).alias("is_planted"))
