@@ -157,7 +157,7 @@ def c8_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _pruned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     _, weights, stored, length = _inputs(spark, sf_dir)
-    return P.bm25(weights, R.by_term(stored), length, 5)
+    return P.bm25(weights, stored, length, 5)
 
 
 @query(S.sql(_QC, _BM + " SELECT question_id, id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id) AS rank, round(score, 6) AS score FROM bms QUALIFY rank <= 5"))
