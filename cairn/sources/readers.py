@@ -1,6 +1,6 @@
 """A1, A5: files of text lines as a data source of Spark's, in batch and as a stream: ``cairn_lines`` and ``cairn_pages``.
 
-A file is read in ranges of bytes, each by a task of its own, a block of lines at a time; a line belongs to the range in which it
+A file is read in ranges of bytes, a block of lines at a time; a task takes ranges of some MB, of several files if they are small; a line belongs to the range in which it
 begins. A stream's offset is how much of each file has been taken: it has an entry for each file of the folder.
 Folders are listed and files opened by ``pyarrow.fs``, by their URI, on the driver and in tasks alike. Names that begin with ``_`` or ``.`` are left out.
 
@@ -25,8 +25,9 @@ from pyspark.sql.window import Window as W
 
 from cairn.sources.index import PAGE, RUN
 
-#: Bytes of a range; bytes of lines in a batch of rows; bytes read at once.
-RANGE, BATCH, READ = 64 << 20, 1 << 20, 1 << 20
+#: Bytes of a range; bytes of lines in a batch of rows; bytes read at once; bytes of ranges that a task of a batch read takes one after another;
+#: bytes read at once where a line runs on behind its range.
+RANGE, BATCH, READ, TASK, AHEAD = 64 << 20, 1 << 20, 1 << 20, 8 << 20, 1 << 14
 _MARK = re.compile(PAGE.replace(r"\d", "[0-9]").encode())
 _LINES = "file string, start long, value string"
 _PAGES = "file string, start long, mark long, line long, text string"
@@ -43,6 +44,17 @@ class Range(InputPartition):
     last: bool = True
 
 
+class Span(Range):
+    """Whole ranges of a file that a task reads one after another."""
+
+
+@dataclass
+class Spans(InputPartition):
+    """Several of them, where they are small."""
+
+    parts: list[Span]
+
+
 def listed(path: str) -> dict[str, int]:
     """Files under a folder, or the file itself, with their sizes, in order of their names. Empty files have no rows and are left out."""
     system, root = fs.FileSystem.from_uri(path)
@@ -68,12 +80,12 @@ def whole_lines(path: str, file: str, size: int, least: int = 0) -> int:
 
 
 def lines_of(path: str, part: Range) -> Iterator[tuple[int, bytes]]:
-    """The lines that belong to a range, with the places where they begin; what is read ahead is one block."""
+    """The lines that belong to a range, with the places where they begin; what is read ahead is one block, and little more than the range is read."""
     with _opened(path, part.file) as f:
         size, at, rest = f.size(), part.start, []
         if at:  # a line that begins before the range is another's
             at -= 1
-            while block := f.read_at(READ, at):
+            while block := f.read_at(AHEAD, at):
                 if (cut := block.find(b"\n")) >= 0:
                     at += cut + 1
                     break
@@ -81,7 +93,7 @@ def lines_of(path: str, part: Range) -> Iterator[tuple[int, bytes]]:
             else:
                 return
         begin = at
-        while begin < part.end and (block := f.read_at(READ, at)):
+        while begin < part.end and (block := f.read_at(min(READ, max(part.end - at, AHEAD)), at)):
             at += len(block)
             *whole, tail = block.split(b"\n")
             for piece in whole:
@@ -106,8 +118,10 @@ class _Reader:
         cuts = [*range(start, end, self.range), end]
         return [Range(file, a, b, last and b == end) for a, b in zip(cuts, cuts[1:])]
 
-    def read(self, part: Range | None) -> Iterator[pa.RecordBatch]:
-        return self.rows(self.path, part, self.tally) if part else iter(())  # None: there are no ranges
+    def read(self, part: Range | Spans | None) -> Iterator[pa.RecordBatch]:
+        for one in part.parts if isinstance(part, Spans) else [part] if part else []:  # None: there are no ranges
+            for own in self.ranges(one.file, one.start, one.end, one.last) if isinstance(one, Span) else [one]:
+                yield from self.rows(self.path, own, self.tally)
 
 
 def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -154,8 +168,18 @@ class _Pages(_Reader):
 
 
 class _Batch(DataSourceReader):
-    def partitions(self) -> list[Range]:
-        return [r for file, size in listed(self.path).items() for r in self.ranges(file, 0, size)]
+    def partitions(self) -> list[Span | Spans]:
+        """Ranges by some MB, so that the number of tasks follows the bytes and not the number of ranges or files."""
+        step, found, size = self.range * max(1, TASK // self.range), [], 0
+        for file, end in listed(self.path).items():
+            for a in range(0, end, step):
+                b = min(a + step, end)
+                if not found or size + b - a > step:
+                    found.append([])
+                    size = 0
+                found[-1].append(Span(file, a, b, b == end))
+                size += b - a
+        return [parts[0] if len(parts) == 1 else Spans(parts) for parts in found]
 
 
 class _Stream(DataSourceStreamReader):

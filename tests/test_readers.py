@@ -102,3 +102,36 @@ def test_pages_as_a_stream(spark, tmp_path):
 def test_an_empty_folder_has_no_rows(spark, tmp_path):
     assert readers.read_pages(spark, written(tmp_path / "in", {"g.txt": ""})).collect() == []
     assert readers.read_run_lines(spark, str(tmp_path / "in")).collect() == []
+
+
+def test_tasks_follow_the_bytes_not_the_ranges(tmp_path, monkeypatch):
+    path = written(tmp_path / "in", {f"{i}.txt": "===== PAGE 1 =====\n" + "a line of text\n" * 900 for i in range(8)})
+    reader = readers._PagesBatch({"path": path, "range_bytes": "1000", "tally": "true"})
+    assert len(reader.partitions()) == 1
+    monkeypatch.setattr(readers, "TASK", 5000)
+    assert len(reader.partitions()) == 24  # of 13.5 KB each, in parts of 5 KB
+    read = []
+
+    class Counted:
+        def __init__(self, file):
+            self.file = file
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.file.close()
+
+        def size(self):
+            return self.file.size()
+
+        def read_at(self, n, at):
+            read.append(n)
+            return self.file.read_at(n, at)
+
+    opened = readers._opened
+    monkeypatch.setattr(readers, "_opened", lambda *a: Counted(opened(*a)))
+    monkeypatch.setattr(readers, "AHEAD", 100)
+    told = [row for part in reader.partitions() for batch in reader.read(part) for row in batch.to_pylist()]
+    assert len(told) == 8 * 14 and sum(r["marks"] for r in told) == 8 and sum(r["lines"] for r in told) == 8 * 902
+    assert sum(read) < 2 * sum(n for n in readers.listed(path).values())
