@@ -95,8 +95,8 @@ def breaker_steps(ok: Iterable[bool], ts: Iterable[float], state: tuple[str, int
 class _Breaker(StatefulProcessor):
     """The breaker of a source. In order, attempts wait until the watermark has passed them.
 
-    Then a timer after each attempt lets it through when no earlier one can come any more, so that attempts count in the order of their time,
-    whatever the order in which they arrive. A timer at the end of the wait half-opens an open breaker; one after a long silence forgets the source.
+    Then a timer after the earliest of them lets through all that no earlier one can come before any more, so that attempts count in the order of their
+    time, whatever the order in which they arrive: one row of state and one timer for the attempts of a batch, not one for each attempt. A timer at the end of the wait half-opens an open breaker; one after a long silence forgets the source.
     """
 
     def __init__(self, failures: int, reset: float, in_order: bool, expire_ms: int) -> None:
@@ -105,7 +105,7 @@ class _Breaker(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.now = handle.getValueState("now", "state string, n long, opened double, last long")
-        self.pending = handle.getListState("pending", "at long, id long, ok boolean")
+        self.pending = handle.getListState("pending", "at array<long>, id array<long>, ok array<boolean>")  # a row for the attempts of a batch
 
     def step(self, key: tuple, due: list[tuple]) -> Iterator[Row]:
         """The attempts (at, id, ok) in their order, and the timers that follow from them."""
@@ -125,17 +125,21 @@ class _Breaker(StatefulProcessor):
         if not self.in_order:
             yield from self.step(key, came)
             return
-        for row in came:
-            self.pending.appendValue(row)
-            self.handle.registerTimer(row[0] // 1000 + 1)
+        if came:
+            self.pending.appendValue(tuple(map(list, zip(*came))))
+            self.handle.registerTimer(min(row[0] for row in came) // 1000 + 1)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
         passed = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
-        waiting = [tuple(r) for r in self.pending.get()] if self.pending.exists() else []
+        waiting = [row for packed in self.pending.get() for row in zip(*packed)] if self.pending.exists() else []
         due = [r for r in waiting if r[0] // 1000 < passed]
         if due:
             left = [r for r in waiting if r[0] // 1000 >= passed]
-            self.pending.put(left) if left else self.pending.clear()
+            if left:
+                self.pending.put([tuple(map(list, zip(*left)))])
+                self.handle.registerTimer(min(row[0] for row in left) // 1000 + 1)
+            else:
+                self.pending.clear()
             yield from self.step(key, due)
         elif self.now.exists():
             state, n, opened, last = self.now.get()

@@ -132,3 +132,49 @@ def test_intake_forgets_silent_keys(spark, tmp_path):
         job.awaitTermination(120)
     got = {(r.conversation_id, r.seq): r.result for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got == {(1, 0): "new", (2, 2): "new", (1, 3): "new"}  # the row of conversation 3 came too late
+
+
+class _Handle:
+    """The states and timers that a processor asks for, counted."""
+
+    class State:
+        def __init__(self):
+            self.rows, self.writes = [], 0
+
+        def exists(self):
+            return bool(self.rows)
+
+        def get(self):
+            return self.rows
+
+        def put(self, rows):
+            self.rows, self.writes = list(rows), self.writes + 1
+
+        def appendValue(self, row):
+            self.put([*self.rows, row])
+
+        def appendList(self, rows):
+            self.put([*self.rows, *rows])
+
+        def clear(self):
+            self.rows = []
+
+    def __init__(self):
+        self.timers, self.list = set(), self.State()
+
+    def getValueState(self, *_):
+        return self.State()
+
+    def getListState(self, *_):
+        return self.list
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+
+def test_attempts_of_a_batch_take_one_timer_and_one_write():
+    handle, breaker = _Handle(), jobs._Breaker(2, 20.0, True, 1000)
+    breaker.init(handle)
+    rows = [type("Attempt", (), {"at": 1_000_000 * i, "id": i, "ok": True}) for i in range(50, 0, -1)]
+    assert list(breaker.handleInputRows((1,), iter(rows), None)) == []
+    assert handle.timers == {1001} and handle.list.writes == 1
