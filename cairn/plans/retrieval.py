@@ -295,8 +295,7 @@ def c20_rank_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def expected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """question_id, id, document_code of the chunks that hold a question's text: one pass over the texts."""
-    c = S.chunks(spark, sf_dir)
-    return holding(c, S.questions(spark, sf_dir)).join(c.select("id", "document_code"), "id").select("question_id", "id", "document_code")
+    return holding(S.chunks(spark, sf_dir), S.questions(spark, sf_dir), keep=("document_code",))
 
 
 _EXPECTED = ", expected AS (SELECT question_id, id, document_code FROM chunks JOIN questions ON strpos(lower(text), lower(question)) > 0)"
