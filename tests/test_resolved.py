@@ -45,3 +45,21 @@ def test_prompts_get_texts_by_range(spark, sf):
     plan = registry.QUERIES["h24_grader_prompts"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression [message_id#" not in plan.split("Generate explode")[0]  # what is dealt by message still is a row a text and range
     assert "Sort [text" not in plan  # a sort by texts sends whole ones to the driver as samples
+
+
+def test_a_citation_crosses_one_shuffle(spark, sf):
+    plan = registry.QUERIES["h24_grader_prompts"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Repartition") == 1 and "collect_list" not in plan  # texts are wanted by ranges, not by lists of citations
+
+
+def test_ranges_of_odd_ids(spark):
+    chunks = spark.createDataFrame([(1, "b"), (1, "a"), (1, None), (2, None), (None, "x"), (3, "")], "id long, text string").repartition(3)
+    rows = [(m, o, e) for m in (None, -(2**62), 5, 2**62, 2**62 + 1) for o in (None, 1, 1, 2) for e in (1, 2, 3, 4, None)] + [(6, 0, 4)]
+    cites = spark.createDataFrame(rows, "message_id long, ordinal int, evidence_id long").repartition(3)
+    got = lambda df: {r.message_id: (r.requested, r.resolved, r.texts) for r in df.collect()}
+    want = got(M.resolved(cites, chunks))
+    assert want[5][:2] == (28, 12) and want[6] == (1, 0, [])
+    assert got(M.resolved_by_range(cites, chunks)) == got(M.resolved_by_range(cites, chunks, 50)) == want
+    named = cites.withColumn("message_id", F.concat(F.lit("m"), "message_id"))
+    assert got(M.resolved_by_range(named, chunks)) == {k if k is None else f"m{k}": v for k, v in want.items()}
+    assert M.resolved_by_range(cites.limit(0), chunks).collect() == []
