@@ -1,11 +1,14 @@
 """Plans meet the columns of texts, not texts; few plans and many give the same rows."""
 
 import datetime
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from cairn.operators import facts as D
 from cairn.plans import registry
+from cairn.sources.scratch import CLEANUP, stored
 
 DAY = datetime.date(2024, 1, 1)
 
@@ -44,3 +47,14 @@ def test_few_and_many_plans_of_odd_tables(spark, monkeypatch, with_payments):
 def test_no_text_is_shuffled(spark, sf):
     plan = registry.QUERIES["d18_execute"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join LeftOuter, (key#") == plan.count("Join ") == 3 and "Window" not in plan  # three kinds of plans, by key; the tables were joined and stored before
+
+
+def test_shuffle_files_of_stored_rows_go(spark):
+    names = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if "shuffle_" in f.getName()}
+    before = names()
+    found = stored(spark.range(10_000).groupBy((F.col("id") % 7).alias("k")).agg(F.collect_list("id").alias("v")), "own")
+    assert found.select(F.sum(F.size("v"))).first()[0] == 10_000 and spark.conf.get(CLEANUP) == "false"
+    late = time.time() + 10
+    while (left := {n for n in names() - before if n.endswith(".data")}) and time.time() < late:
+        time.sleep(0.2)
+    assert len(left) <= 1  # what the sum of sizes itself has shuffled
